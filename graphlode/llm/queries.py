@@ -9,9 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import read
 from .exact_dedup import exact_duplicates
+from .packing import pack_documents
+from .sstable import read_shards, write_shards
 from .warc import read_archives, write_archives
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_shards(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=0)
+    folder = manifest.select("folder").head()
+    if folder is None:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_shards(spark, folder[0], manifest)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -24,8 +40,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder[0], with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_warc)}
+    return {f.__name__: f for f in (op1_token_shards, op2_exact_dedup, op7_warc, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
