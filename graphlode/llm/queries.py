@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
+from .bpe import bpe_round_trip
 from .common import read
 from .exact_dedup import exact_duplicates
+from .language import language_id
+from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality import quality_rules
 from .sstable import read_shards, write_shards
 from .warc import read_archives, write_archives
 
@@ -32,6 +37,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_archives(read(spark, sf_dir, "pages"))
     folder = written.select("folder").head()
@@ -45,8 +59,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_exact_dedup, op7_warc, op8_packing)}
+    return {f.__name__: f for f in (op1_token_shards, op2_exact_dedup, op3_bpe, op5_line_dedup, op7_warc, op8_packing, op9_quality, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

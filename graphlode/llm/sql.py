@@ -26,4 +26,19 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-ORACLES = {"op2_exact_dedup": OP2, "op7_warc": OP7}
+OP5 = r"""
+WITH l AS (
+  SELECT doc_id, i, line, lower_az(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')) AS k
+  FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
+), f AS (
+  SELECT k, min(doc_id) AS first_id FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2
+), j AS (
+  SELECT l.*, f.first_id IS NOT NULL AND f.first_id <> l.doc_id AS gone FROM l LEFT JOIN f USING (k)
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+""".replace("lower_az(", "translate(").replace("'[\\x20\\x09-\\x0D]+$', ''))", "'[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+ORACLES = {"op5_line_dedup": OP5, "op2_exact_dedup": OP2, "op7_warc": OP7}
