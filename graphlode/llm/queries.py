@@ -11,8 +11,10 @@ from . import sql
 from .bpe import bpe_round_trip
 from .common import read
 from .exact_dedup import exact_duplicates
+from .html_text import extract
 from .language import language_id
 from .line_dedup import dedup_lines
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 from .sstable import read_shards, write_shards
@@ -41,11 +43,19 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = write_archives(read(spark, sf_dir, "pages"))
     folder = written.select("folder").head()
@@ -68,8 +78,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_shards, op2_exact_dedup, op3_bpe, op5_line_dedup, op7_warc, op8_packing, op9_quality, op10_language_id)}
+    named = (
+        op1_token_shards, op2_exact_dedup, op3_bpe, op4_ngram_join, op5_line_dedup, op6_html_text, op7_warc, op8_packing, op9_quality, op10_language_id, pipeline,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
