@@ -166,7 +166,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = staged(reduce(DataFrame.union, positives), "positives")
         # the texts of each pair are compared byte by byte; a digest whose texts differ would not be merged
         ids = pairs.select("digest", F.explode(F.array("rep", "old_rep")).alias("doc_id")).distinct()
-        texts = rows.join(ids, "doc_id").where(F.sha2("text", 256) == F.col("digest")).groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
+        texts = rows.join(ids.hint("merge"), "doc_id").where(F.sha2("text", 256) == F.col("digest")).groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
         differing = texts.where("differ").select("digest", F.lit(True).alias("split"))
     else:
         differing = groups.where(F.lit(False)).select("digest", F.lit(True).alias("split"))
