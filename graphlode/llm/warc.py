@@ -145,7 +145,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     )
     keys = rows.select("page_id", "row_key")
     revisits = keys.join(first, "row_key").where("page_id > first_id").groupBy("page_id", "row_key").agg(F.min("first_id").alias("refers_to"))
-    dealt = rows.join(revisits, ["page_id", "row_key"], "left").select("page_id", "url", "payload", "row_key", "refers_to").repartitionByRange("page_id", "row_key").sortWithinPartitions("page_id", "row_key")
+    # a marker row goes ahead of the record it makes a revisit, so payloads are shuffled once
+    markers = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "row_key", "refers_to", F.lit(0).alias("kind"))
+    records = rows.select("page_id", "url", "payload", "row_key", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
+    dealt = records.unionByName(markers).repartitionByRange("page_id", "row_key").sortWithinPartitions("page_id", "row_key", "kind")
 
     def write(batches):
         from pyspark import TaskContext
@@ -153,9 +156,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         part = TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
         out = writer = None
+        marked = None
         n, final, temp = 0, f"{base}/part-{part:06d}.warc.zst", f"{base}/_{part:06d}-{uuid.uuid4().hex}"
         for b in batches:
-            for page_id, url, payload, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+            for page_id, url, payload, key, refers, kind in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "row_key", "refers_to", "kind")), strict=True):
+                if kind == 0:
+                    marked = page_id, key, refers
+                    continue
+                refers = marked[2] if marked and marked[:2] == (page_id, key) else None
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(temp)
