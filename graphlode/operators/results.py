@@ -64,7 +64,7 @@ def plot_rows(rows: DataFrame, top_layer_only: bool = False, exclude: dict[str,
     for column, values in (exclude or {}).items():
         kept = kept.where(~F.col(column).isin(*values))
     keys = [F.col("builder_type"), F.col("dataset"), F.col("k"), F.col("higher_level_max_heap_size").alias("hlmhs"), F.col("max_heap_size").alias("mhs"), F.col("layer_count").alias("layer")]
-    out = kept.groupBy(*keys).agg(F.avg("qps").alias("qps"), F.avg("recall").alias("recall"), F.min_by("elapsed_time", "seq").alias("build_time_raw"))
+    out = kept.groupBy(*keys).agg(F.avg("qps").alias("qps"), F.avg("recall").alias("recall"), F.min_by("elapsed_time", F.struct("seq", "elapsed_time")).alias("build_time_raw"))
     if top_layer_only:
         top = F.max("layer").over(Window.partitionBy("builder_type", "dataset", "k", "hlmhs", "mhs"))
         out = out.withColumn("top", top).where("layer = top").drop("top")
@@ -90,7 +90,7 @@ def renamed(rows: DataFrame) -> DataFrame:
 
 
 def first_params(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("builder_type").agg(F.min_by("params", "seq").alias("params"))
+    return rows.groupBy("builder_type").agg(F.min_by("params", F.struct("seq", "params")).alias("params"))
 
 
 def union_results(first: DataFrame, *others: DataFrame) -> DataFrame:

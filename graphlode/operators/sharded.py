@@ -95,7 +95,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int | None = None,
     if from_level is not None:
         index = index.where(F.col("level") <= from_level)
     last = index.agg(F.max("shard")).head()[0] or 0
-    asked = queries.select("query_id", "embedding", F.explode(F.expr(f"sequence(0L, {last}L)")).alias("shard"))
+    asked = queries.select("query_id", F.col("embedding").alias("wanted"), F.explode(F.expr(f"sequence(0L, {last}L)")).alias("shard"))
 
     def run(rows: pa.Table, asked_: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked_.num_rows:
@@ -111,7 +111,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int | None = None,
             levels.append((np.array([place[v] for v in part["vec_id"].to_pylist()]), part["neighbours"].to_pylist(), part["parent"].to_numpy()))
         entries = [i for i, e in enumerate(rows.slice(int((level < level.max()).sum()))["entry"].to_pylist()) if e] or [0]
         out = []
-        for query_id, q in zip(asked_["query_id"].to_pylist(), matrix(asked_["embedding"]), strict=True):
+        for query_id, q in zip(asked_["query_id"].to_pylist(), matrix(asked_["wanted"]), strict=True):
             if len(levels) == 1:
                 got = kernels.greedy_search(x, levels[0][1], q, entries, k, max(ef, k), max_frontier)
             else:

@@ -15,7 +15,7 @@ _R = """r AS (SELECT 'builder' || (l_suppkey % 5) AS builder_type, CASE WHEN l_r
   CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS seq, 'degree=' || (l_partkey % 50) AS params FROM lineitem)"""
 _DS = "CASE WHEN data_set IN ('300K', '3M', '10M', '100M') THEN 'LAION-' || data_set ELSE data_set END"
 _PLOT = f"""p AS (SELECT builder_type, {_DS} AS dataset, k, higher_level_max_heap_size AS hlmhs, max_heap_size AS mhs, layer_count AS layer,
-  avg(qps) AS qps, avg(recall) AS recall, arg_min(elapsed_time, seq) AS build_time_raw FROM r GROUP BY ALL)"""
+  avg(qps) AS qps, avg(recall) AS recall, arg_min(elapsed_time, row(seq, elapsed_time)) AS build_time_raw FROM r GROUP BY ALL)"""
 
 
 def _rows(spark, sf):
@@ -62,7 +62,7 @@ def _(spark, sf):
     return results.renamed(_rows(spark, sf)).select("builder_type", "dataset", "seq")
 
 
-@query("rel7_first_params", f"WITH {_R} SELECT builder_type, arg_min(params, seq) AS params FROM r GROUP BY builder_type")
+@query("rel7_first_params", f"WITH {_R} SELECT builder_type, arg_min(params, row(seq, params)) AS params FROM r GROUP BY builder_type")
 def _(spark, sf):
     return results.first_params(_rows(spark, sf))
 
