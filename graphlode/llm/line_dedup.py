@@ -86,7 +86,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), rest.alias("row"))
     lines = staged(line_hashes(rows.select("id", "text"), min_chars), "lines")
     cuts = lines.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    cuts = sorted(set(map(int, cuts)))
+    cuts = sorted({min(int(c), LAST_ID - 1) for c in cuts})  # any cut will do: a batch takes what lies between two
     runs, low = Runs(fanout), None
     for high in [*cuts, None]:
         inside = F.lit(True) if low is None else F.col("id") > low
