@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a local session without that setting gets a folder of its own."""
+    """A fresh path under spark.checkpoint.dir; a local session without that setting gets a folder of its own, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("graphlode.local.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="graphlode-")
         spark.conf.set("graphlode.local.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
