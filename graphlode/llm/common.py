@@ -1,35 +1,13 @@
-"""What the corpus operators share: the shared folder, staged tables and input projection."""
+"""What the corpus operators share: stored tables and input projection."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, staged
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir).
-
-    Where the setting is unset (a local session), a folder is made once and kept in the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_by_code = spark.sparkContext.getCheckpointDir()
-        base = set_by_code or spark.conf.get("graphlode.local.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="graphlode-")
-            spark.conf.set("graphlode.local.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents", "read", "shared_dir", "staged"]
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
