@@ -1,6 +1,7 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document's set of word shingles is hashed into `GROUPS` groups; the counts of the groups are its point. The
+A document's set of word shingles is hashed into groups, 64 to 4,096 with its size; the counts of the groups are its
+point, which is summed to `GROUPS` = 64 in the tree and compared at the common fineness of two sets that the tree lets through. The
 sum over the groups of the smaller of two counts bounds two sets' overlap from above, and the sum of the smaller of two boxes'
 upper corners does so for all points inside. An R-tree over points prunes boxes and points by
 these bounds; what survives is verified on the sets themselves.
@@ -39,8 +40,8 @@ from .components import components
 from .textvec import Words, mix, slices, windows
 
 GROUPS = 64
-CELLS = 1 << 22
-HOT_CELLS = 1 << 16
+CELLS = 1 << 24
+HOT_CELLS = 1 << 17
 LEAF = 32
 TILE = 2048
 _SHORT = np.uint64(0x5851F42D4C957F2D)
@@ -72,8 +73,46 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def fineness(n: int) -> int:
+    """Bits of the group number: with about as many groups as elements few differences of two sets cancel out."""
+    return 6 if n < 128 else 8 if n < 512 else 10 if n < 2048 else 12
+
+
+def point(s: np.ndarray, bits: int | None = None) -> bytes:
+    """Counts of the groups, after a byte for their fineness and one for the bytes of a count."""
+    bits = bits or fineness(len(s))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    top = counts.max()
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([bits, width]) + counts.astype(f"<u{width}").tobytes()
+
+
+class Points:
+    """The points of a column: `coarse` has GROUPS counts for all rows, finer counts serve pairs of rows that both have them."""
+
+    def __init__(self, column):
+        found = column.to_pylist()
+        self.bits = np.array([x[0] for x in found], np.int64)
+        rows = [np.frombuffer(x, f"<u{x[1]}", offset=2).astype(np.int32) for x in found]
+        self.levels = {}
+        for bits in (6, 8, 10, 12):
+            at = np.flatnonzero(self.bits >= bits)
+            place = np.full(len(rows), -1)
+            place[at] = np.arange(len(at))
+            summed = [rows[i].reshape(1 << bits, -1).sum(axis=1, dtype=np.int32) for i in at]
+            self.levels[bits] = place, (np.stack(summed) if summed else np.empty((0, 1 << bits), np.int32))
+        self.coarse = self.levels[6][1].astype(np.int64)
+        self.sizes = self.coarse.sum(axis=1)
+
+    def allow(self, a: np.ndarray, other: Points, b: np.ndarray, percent: int) -> np.ndarray:
+        """For each pair of rows a[i], b[i] whether the bound at their common fineness allows the threshold."""
+        bits, out = np.minimum(self.bits[a], other.bits[b]), np.empty(len(a), bool)
+        for level in np.unique(bits).tolist():
+            every = np.flatnonzero(bits == level)
+            for at in np.array_split(every, -(-(len(every) << level) // (1 << 22))):
+                x, y = self.levels[level][1][self.levels[level][0][a[at]]], other.levels[level][1][other.levels[level][0][b[at]]]
+                out[at] = np.minimum(x, y).sum(axis=1) * (100 + percent) >= needed(self.sizes[a[at]] + other.sizes[b[at]], percent)
+        return out
 
 
 def _cells(s: np.ndarray) -> np.ndarray:
@@ -81,8 +120,8 @@ def _cells(s: np.ndarray) -> np.ndarray:
 
 
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: doc_id, n, s1, s2, point of each document; kind 1: cell (in doc_id) and count (in n) of frequent cells."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary())])
+    """kind 0: doc_id, n, s1, s2, point, coarse point of each document; kind 1: cell (in doc_id) and count (in n) of frequent cells."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("coarse", pa.binary())])
 
     def run(batches):
         counts = np.zeros(CELLS, np.uint32)
@@ -91,15 +130,15 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
             for first, texts in slices(b.column(1)):
                 sets = shingle_sets(texts, n)
                 np.add.at(counts, _cells(np.concatenate(sets)), 1)
-                out += [(0, ids[first + i], len(s), *signature(s), point(s).tobytes()) for i, s in enumerate(sets)]
+                out += [(0, ids[first + i], len(s), *signature(s), point(s), point(s, 6)) for i, s in enumerate(sets)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-        often = np.flatnonzero(counts >= 8 + 4 * counts.mean())
+        often = np.flatnonzero(counts >= 4 + 4 * counts.mean())
         if len(often):
             none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), np.int32)), pa.array(often), pa.array(counts[often].astype(np.int64)), none, none, pa.nulls(len(often), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), np.int32)), pa.array(often), pa.array(counts[often].astype(np.int64)), none, none, *[pa.nulls(len(often), pa.binary())] * 2], schema=schema)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, point binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, point binary, coarse binary")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -224,42 +263,47 @@ PAIR = "a1 long, a2 long, b1 long, b2 long"
 _PAIR_SCHEMA = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
 
 
-def tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components in each tree. members: key, s1, s2, n, component, point.
+def tree_pairs(members: DataFrame, percent: int, group_rows: int = 10_000) -> DataFrame:
+    """Pairs of classes of different components in each tree. members (stored): key, m (classes of the key), s1, s2, n, component, point.
 
-    A key with more than TILE classes is cut into tiles in order of size; each pair of tiles is a group of its own.
+    Keys of few classes share a group, a tree each. A key with more than TILE classes is cut into tiles in order of size;
+    each pair of tiles whose sizes can reach the threshold together is a group of its own.
     """
+    groups = -(-members.count() // group_rows)
+    small, large = members.where(F.col("m") <= TILE), members.where(F.col("m") > TILE)
+    small = small.withColumns({"g": F.pmod(F.xxhash64("key"), F.lit(max(groups, 1))), "left": F.lit(-1).cast("long"), "right": F.lit(-1).cast("long"), "side": F.lit(0)})
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "s1", "s2")) - 1
-    tiled = members.withColumn("tile", F.floor(place / TILE).cast("long"))
-    sizes = tiled.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = sizes.alias("x"), sizes.alias("y")
-    # tiles whose sizes can reach the threshold together
+    tiled = large.withColumn("tile", F.floor(place / TILE).cast("long"))
+    spans = tiled.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = spans.alias("x"), spans.alias("y")
     meets = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") <= F.col("y.tile")) & (F.col("y.lo") * percent <= F.col("x.hi") * 100))
     meets = meets.select(F.col("x.key").alias("key"), F.col("x.tile").alias("left"), F.col("y.tile").alias("right"))
-    left = meets.join(tiled.withColumnRenamed("tile", "left"), ["key", "left"]).withColumn("side", F.lit(0))
-    right = meets.where("left < right").join(tiled.withColumnRenamed("tile", "right"), ["key", "right"]).withColumn("side", F.lit(1))
-    both = left.unionByName(right)
+    one = meets.join(tiled.withColumnRenamed("tile", "left"), ["key", "left"]).withColumn("side", F.lit(0))
+    two = meets.where("left < right").join(tiled.withColumnRenamed("tile", "right"), ["key", "right"]).withColumn("side", F.lit(1))
+    both = small.unionByName(one.unionByName(two).withColumn("g", F.col("key")))
 
     def run(table: pa.Table) -> pa.Table:
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        side, comp = table["side"].to_numpy(), table["component"].to_numpy()
+        points = Points(table["point"])
+        side, comp, key = table["side"].to_numpy(), table["component"].to_numpy(), table["key"].to_numpy()
         ids = np.stack([table["s1"].to_numpy(), table["s2"].to_numpy()])
-        one = np.flatnonzero(side == 0)
-        two = np.flatnonzero(side == 1)
-        a = RTree(points[one])
-        b, other = (RTree(points[two]), two) if len(two) else (a, one)
+        order = np.lexsort((side, key))
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
         found = []
-        for p, q in a.join(b, percent):
-            p, q = one[p], other[q]
-            good = comp[p] != comp[q]
-            if not len(two):
-                good &= p < q
-            if good.any():
-                found.append(np.concatenate([ids[:, p[good]], ids[:, q[good]]]))
+        for rows in np.split(order, cuts):
+            first, second = rows[side[rows] == 0], rows[side[rows] == 1]
+            a = RTree(points.coarse[first])
+            b, other = (RTree(points.coarse[second]), second) if len(second) else (a, first)
+            for p, q in a.join(b, percent):
+                p, q = first[p], other[q]
+                good = comp[p] != comp[q]
+                if not len(second):
+                    good &= p < q
+                if good.any():
+                    found.append(np.concatenate([ids[:, p[good]], ids[:, q[good]]]))
         got = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
         return pa.table([pa.array(c) for c in got], schema=_PAIR_SCHEMA)
 
-    return ordered(both.groupBy("key", "left", "right").applyInArrow(run, PAIR)).distinct()
+    return ordered(both.groupBy("g", "left", "right").applyInArrow(run, PAIR)).distinct()
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -276,8 +320,10 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("pa", "pb"))
-            good = np.minimum(x, y).sum(axis=1) * (100 + percent) >= needed(x.sum(axis=1) + y.sum(axis=1), percent)
+            if not b.num_rows:
+                continue
+            x, y, every = Points(b.column("pa")), Points(b.column("pb")), np.arange(b.num_rows)
+            good = x.allow(every, y, every, percent)
             yield b.select(["a1", "a2", "b1", "b2"]).filter(pa.array(good))
 
     return with_b.select("a1", "a2", "b1", "b2", "pa", "pb").mapInArrow(run, PAIR)
@@ -291,20 +337,47 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.where(both * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a1", "a2", "b1", "b2")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(s1, s2, elements) of the documents with the ids in wanted (doc_id)."""
-    schema = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("elements", pa.list_(pa.int64()))])
+def id_filter(wanted: DataFrame, n: int, most_bits: int = 1 << 24) -> np.ndarray:
+    """A one-hash Bloom filter of ids (doc_id), of at most 2 MB: it grows with n up to there, and lets more through beyond."""
+    bits = 1 << min(max(n * 16, 1024).bit_length(), most_bits.bit_length() - 1)
+
+    def fill(batches):
+        out = np.zeros(bits, bool)
+        for b in batches:
+            out[_slots(b.column(0).to_numpy(), bits)] = True
+        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(out).tobytes()]}, schema=pa.schema([("bits", pa.binary())]))
+
+    parts = wanted.select("doc_id").repartition(4).mapInArrow(fill, "bits binary").collect()  # four rows
+    return np.unpackbits(np.bitwise_or.reduce([np.frombuffer(r[0], np.uint8) for r in parts])).astype(bool)
+
+
+def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def class_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(s1, s2, elements) of the classes (s1, s2, rep) that are in pairs, stored.
+
+    A filter on the ids goes to the documents, so only texts that are needed are hashed again and no text is shuffled.
+    """
+    ends = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
+    wanted = staged(classes.select("s1", "s2", F.col("rep").alias("doc_id")).join(ends, ["s1", "s2"], "left_semi"), "wanted")
+    passes = id_filter(wanted, wanted.count())
+    schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
-            for _, texts in slices(b.column(1)):
-                sets = [s for s in shingle_sets(texts, n) if len(s)]
-                if sets:
-                    sigs = np.array([signature(s) for s in sets], np.int64)
-                    of = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.ListArray.from_arrays(pa.array(of), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
+            b = b.filter(pa.array(passes[_slots(b.column(0).to_numpy(), len(passes))]))
+            for first, texts in slices(b.column(1)):
+                sets = shingle_sets(texts, n)
+                sigs = np.array([signature(s) for s in sets], np.int64)
+                of = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                elements = pa.ListArray.from_arrays(pa.array(of), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), elements], schema=schema)
 
-    return docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "s1 long, s2 long, elements array<long>")
+    found = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, s1 long, s2 long, elements array<long>")
+    # rows that repeat an id may repeat a set; a pair that is found twice is the same link
+    return staged(found.join(wanted, ["doc_id", "s1", "s2"], "left_semi").select("s1", "s2", "elements"), "sets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -314,13 +387,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs_of = profiled.where("kind = 0")
     live = docs_of.where("n > 0 and doc_id is not null")
     hot = [(r.cell, r.total) for r in profiled.where("kind = 1").groupBy(F.col("doc_id").alias("cell")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "cell").limit(HOT_CELLS).collect()]
-    classes = staged(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
+    classes = staged(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("coarse").alias("coarse")), "classes")
 
     block = staged(blocks(keys(rows.where("doc_id is not null"), words, percent, hot)), "blocks")
     in_blocks = classes.join(block.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi")
-    points = staged(in_blocks.select("s1", "s2", "rep", "point"), "points")
-    sets = staged(class_sets(rows, points.select(F.col("rep").alias("doc_id")), words).dropDuplicates(["s1", "s2"]), "sets")
-
+    points = staged(in_blocks.select("s1", "s2", "rep", "point", "coarse"), "points")
     stars = block.where("s1 != l1 or s2 != l2").select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     tried = staged(bounded(ordered(stars).distinct(), points, percent), "star-pairs")
     ends = points.select("s1", "s2", "rep")
@@ -329,20 +400,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         u = pairs.join(ends.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("rep").alias("u")), ["a1", "a2"])
         return u.join(ends.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("rep").alias("v")), ["b1", "b2"]).select("u", "v")
 
-    star_links = staged(edges(verified(tried, sets, percent)), "links")
+    star_links = staged(edges(verified(tried, class_sets(rows, points, tried, words), percent)), "links")
     first = components(star_links)
 
-    labelled = points.join(first, points.rep == first.node, "left").select("s1", "s2", "point", F.coalesce("component", "rep").alias("component"))
-    placed = block.select("key", "n", "s1", "s2").join(labelled.select("s1", "s2", "component"), ["s1", "s2"])
-    # keys with one component have nothing to join; of keys with the same classes one is enough
+    labelled = points.join(first, points.rep == first.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    placed = staged(block.join(labelled, ["s1", "s2"]), "placed")
+    # keys with one component have nothing to join, of keys with the same classes one is enough, and two classes
+    # that were offered to each other, or whose sizes are too far apart, are done
     marks = placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"),
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.sum(F.when((F.col("s1") != F.col("l1")) | (F.col("s2") != F.col("l2")), 1).otherwise(0)).alias("offers"),
         F.bit_xor(F.xxhash64("s1", "s2")).alias("h1"), F.bit_xor(F.xxhash64("s2", F.lit(1), "s1")).alias("h2"),
     )
-    trees = marks.where("lo != hi").groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key")
-    members = block.select("key", "n", "s1", "s2").join(trees, "key").join(labelled, ["s1", "s2"])
-    offered = tree_pairs(staged(members, "trees"), percent).join(tried, ["a1", "a2", "b1", "b2"], "left_anti")
-    more = staged(edges(verified(staged(offered, "tree-pairs"), sets, percent)), "links")
+    open_ = marks.where((F.col("lo") != F.col("hi")) & ((F.col("m") > 2) | (F.col("offers") == 0) & (F.col("most") * percent <= F.col("least") * 100)))
+    trees = open_.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m")
+    members = staged(placed.select("key", "n", "s1", "s2", "component").join(trees, "key"), "trees").join(points.select("s1", "s2", F.col("coarse").alias("point")), ["s1", "s2"])
+    offered = tree_pairs(staged(members, "tree-points"), percent).join(tried, ["a1", "a2", "b1", "b2"], "left_anti")
+    offered = staged(bounded(staged(offered, "tree-pairs"), points, percent), "bounded-pairs")
+    more = staged(edges(verified(offered, class_sets(rows, points, offered, words), percent)), "links")
     final = components(star_links.unionByName(more))
 
     of_class = classes.join(final, classes.rep == final.node, "left").select("s1", "s2", "rows", "rep", "component").where("rows > 1 or component is not null")
