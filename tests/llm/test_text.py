@@ -143,3 +143,24 @@ def test_language(spark, no_docs, odd_docs):
     assert {i for i in range(180) if got[i].held_out} == {i for i in range(180) if __import__("zlib").crc32(str(i).encode()) % 5 == 0}
     assert language_id(no_docs).count() == 0 and language_id(odd_docs).count() == odd_docs.count()
     assert docs.where(held_out()).count() == sum(r.held_out for r in got.values())
+
+
+def texts_of(spark, rows, parts=1):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in extract(pages).collect()}
+
+
+def plain_page(*blocks):
+    return "".join(f"<div>{x}</div>" for x in ("Site menu", *blocks, "About us"))
+
+
+def test_copies_keep_their_content(spark):
+    story = [f"Paragraph {i} of a story that was copied on this host" for i in range(5)]
+    near = [[*story[:k], f"Changed block {k} stands here now", *story[k + 1 :]] for k in range(5)]
+    other = ["An entirely different story about rivers", "and what its second paragraph has to say of them"]
+    bodies = [story, story, *near, story, other]
+    got = texts_of(spark, [(i, f"http://c.x/{i}", plain_page(*b)) for i, b in enumerate(bodies)])
+    assert got == {i: "\n\n".join(b) for i, b in enumerate(bodies)}
+    # without a different page nothing can be told apart
+    alike = texts_of(spark, [(i, f"http://c.x/{i}", plain_page(*story)) for i in range(3)])
+    assert set(alike.values()) == {"\n\n".join(["Site menu", *story, "About us"])}
