@@ -164,3 +164,16 @@ def test_copies_keep_their_content(spark):
     # without a different page nothing can be told apart
     alike = texts_of(spark, [(i, f"http://c.x/{i}", plain_page(*story)) for i in range(3)])
     assert set(alike.values()) == {"\n\n".join(["Site menu", *story, "About us"])}
+
+
+def test_every_page_meets_its_real_neighbours(spark):
+    rows = [(i, f"http://{'ab'[i % 2]}.x/{i:03d}", plain_page(f"Story {i} tells of {i * i} things and of {i + 7} more")) for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert texts_of(spark, rows, 3) == {i: f"Story {i} tells of {i * i} things and of {i + 7} more" for i, _, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
