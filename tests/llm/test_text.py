@@ -177,3 +177,15 @@ def test_every_page_meets_its_real_neighbours(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_marks_leave_the_article():
+    text = lambda source: main_text(page_lines(source))
+    for name in ("post category-social", "tag-search", "social"):
+        assert text(f'<article class="{name}"><p>Text</article>') == "Text"
+        assert text(f'<main id="{name}"><p>Text</main>') == "Text"
+    assert text('<div class="content-with-sidebar"><p>Text</div>') == "Text"
+    assert text('<div class="page-social"><article><p>Text</article></div>') == "Text"
+    assert text('<article><h2 id="social-impact">Impact</h2><p id="search-strategy">Plan<section id="share-prices" class="alert-levels"><p>Prices</section></article>') == "Impact\n\nPlan\n\nPrices"
+    assert text('<article><p>Text<div class="share-buttons">Share</div><div id="comments">No</div><article class="comment">Nor</article></article>') == "Text"
+    assert text('<article hidden><p>No</article><div class="site-banner">No</div><div>Text</div>') == "Text"
