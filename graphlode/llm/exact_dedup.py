@@ -4,8 +4,9 @@ The corpus is taken in as batches. Duplicates inside a new batch are grouped by
 (pre-aggregated, so a group with a third of all rows is combined before the shuffle). The distinct
 digests of the batch are then screened by the filter of every earlier snapshot: a static
 binary-fuse filter of 16 bits a key for each digest bucket. Only positives join the snapshot's exact
-bucket, and what joins has its texts compared. The batch's distinct digests then become a snapshot
-themselves, with filters built from them.
+bucket, and what joins has its texts compared. A group whose text is in a snapshot joins the group there; the
+others are new groups and become a snapshot themselves, with filters built from them. Groups of
+different batches are merged in no other way.
 
 Sizes: a bucket holds about ``bucket_keys`` distinct digests whatever the input's size (the number of
 buckets follows the count), digests are uniform, and copies are gone before dealing, so no bucket is hot.
@@ -21,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, staged
@@ -138,6 +139,15 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInArrow(test, incoming.schema)
 
 
+def with_equal_texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """digest, home: the least snapshot in which the text of pairs' (digest, rep, old_rep, home) rep is, byte by byte, that of old_rep."""
+    at = F.coalesce("doc_id", F.lit(-1)).alias("at")  # a representative without id is found by its digest
+    ids = pairs.select("digest", "home", F.explode(F.array("rep", "old_rep")).alias("doc_id")).select("digest", "home", at).distinct()
+    texts = rows.select(at, "text", F.sha2("text", 256).alias("digest")).join(ids.hint("merge"), ["at", "digest"])
+    same = texts.groupBy("digest", "home").agg((F.min("text") == F.max("text")).alias("same")).where("same")
+    return same.groupBy("digest").agg(F.min("home").cast("long").alias("home"))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, bucket_keys: int = 50_000) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, text_length.
 
@@ -155,29 +165,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .withColumn("bucket", F.pmod(F.xxhash64("digest", F.lit(7)), F.lit(buckets)))
     )
     groups = staged(groups, "batch-groups")
-    positives = []
+    snapshots, homes = [groups.where(F.col("batch") == 0)], []
     for b in range(1, batches):
         incoming = groups.where(F.col("batch") == b)
-        for s in range(b):
-            snapshot = groups.where(F.col("batch") == s)
+        positives = []
+        for s, snapshot in enumerate(snapshots):
             passed = screen(incoming.select("bucket", "key", "digest", "rep"), build_filters(snapshot))
-            positives.append(passed.join(snapshot.select("digest", F.col("rep").alias("old_rep")), "digest").select("digest", "rep", "old_rep"))
-    if positives:
-        pairs = staged(reduce(DataFrame.union, positives), "positives")
-        # the texts of each pair are compared byte by byte; a digest whose texts differ would not be merged
-        ids = pairs.select("digest", F.explode(F.array("rep", "old_rep")).alias("doc_id")).distinct()
-        texts = rows.join(ids.hint("merge"), "doc_id").where(F.sha2("text", 256) == F.col("digest")).groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
-        differing = texts.where("differ").select("digest", F.lit(True).alias("split"))
-    else:
-        differing = groups.where(F.lit(False)).select("digest", F.lit(True).alias("split"))
-    merged = (
-        groups.join(differing, "digest", "left")
-        .groupBy("digest", F.when(F.col("split"), F.col("batch")).alias("own"))
-        .agg(F.max("rep").alias("keep_id"), F.sum("n").alias("group_size"))
-    )
-    many = merged.where("group_size > 1").select("digest", "own", "keep_id", "group_size")
+            positives.append(passed.join(snapshot.select("digest", F.col("rep").alias("old_rep")), "digest").select("digest", "rep", "old_rep", F.lit(s).alias("home")))
+        found = staged(with_equal_texts(rows, staged(reduce(DataFrame.union, positives), "positives")), "verified")
+        homes.append(found.select("digest", F.lit(b).cast("long").alias("batch"), "home"))
+        if b < batches - 1:
+            snapshots.append(staged(incoming.join(found, "digest", "left_anti"), "snapshot"))
+    placed = groups.withColumn("home", F.col("batch"))
+    if homes:
+        placed = groups.join(reduce(DataFrame.union, homes), ["digest", "batch"], "left").withColumn("home", F.coalesce("home", "batch"))
+    group = Window.partitionBy("digest", "home")  # at most a row for each batch
+    many = placed.select("digest", "batch", F.max("rep").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size")).where("group_size > 1")
     d = digested.withColumn("batch", batch_of)
-    out = d.join(many, (d.digest == many.digest) & (many.own.isNull() | (many.own == d.batch)), "left")
+    out = d.join(many, (d.digest == many.digest) & (d.batch == many.batch), "left")
     keep = F.when(many.group_size.isNull(), d.doc_id).otherwise(many.keep_id)
     return out.select(
         d.doc_id, keep.alias("keep_id"), F.coalesce(many.group_size, F.lit(1)).cast("long").alias("group_size"),

@@ -164,3 +164,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 50)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(1, 51)} | {100: 100, 200: 100, 300: 100}
+
+
+def test_batches_merge_by_verified_positives(spark, docs, monkeypatch):
+    from graphlode.llm import exact_dedup
+
+    columns = ("doc_id", "keep_id", "group_size", "kept")
+    whole = {tuple(r) for r in exact_dedup.exact_duplicates(docs, batches=1).select(*columns).collect()}
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(docs, batches=4).select(*columns).collect()} == whole
+    monkeypatch.setattr(exact_dedup, "screen", lambda incoming, filters: incoming.where("false"))
+    assert {tuple(r) for r in exact_dedup.exact_duplicates(docs, batches=4).select(*columns).collect()} != whole
