@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlode.llm.common import read, shared_dir
-from graphlode.llm.language import UNDETERMINED, fit, held_out, identify
+from graphlode.llm.language import MIN_WORDS, UNDETERMINED, coverage_floor, fit, held_out, identify
 from graphlode.llm.line_dedup import dedup_lines
 from graphlode.llm.ngram_join import near_duplicates
 from graphlode.llm.packing import pack_documents
@@ -29,10 +29,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told."""
-    teach = docs.where(~held_out()).select("doc_id", "text", "lang")
-    judged = identify(docs, fit(teach), keep=COLUMNS)
-    return judged.where(F.col("lang_pred") != UNDETERMINED).select("row.*")
+    """Keeps the documents whose language can be told: those with a letter that are short or hold enough words of the model.
+
+    The floor of that coverage is checked on labelled held-out rows. If no row teaches, all documents with a letter stay.
+    """
+    known = docs.select("doc_id", "text", "lang")
+    model = fit(known.where(~held_out()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    floor = coverage_floor(known.where(held_out()), model)
+    judged = identify(docs, model, keep=COLUMNS)
+    covered = (F.col("n_words") < MIN_WORDS) | (F.col("coverage") >= floor)
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & covered).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ bounded size. It is learned from at most `sample` rows of each language (those w
 
 Defined results: a null text, a text without a letter, and any text when nothing could be learned are `und`
 with score 0. Rows without language teach nothing.
+
+Beside these, `identify` tells how many words a text has and which share of them the model knows (coverage). `coverage_floor`
+gives the least coverage of a text in a learned language; texts of fewer than `MIN_WORDS` words have too little evidence for it.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .common import staged
 from .textvec import Words, slices
 
 UNDETERMINED = "und"
+#: Fewer words tell nothing by their coverage. A lesser coverage speaks of no learned language, if KEEP_SHARE of held-out labelled rows reach it.
+MIN_WORDS, LEAST_COVERAGE, KEEP_SHARE = 20, 0.2, 0.995
 GRAMS = (5, 4, 3, 2, 1)
 HAS_LETTER = regex.compile(r"\p{L}")
 LETTER = np.zeros(256, bool)
@@ -115,13 +120,14 @@ def fit(docs: DataFrame, sample: int = 4_000, max_words: int = 100_000, max_gram
     return LanguageModel(names, words, logs, {n: table(n, max_grams // len(GRAMS)) for n in GRAMS})
 
 
-def score_texts(model: LanguageModel, texts: list[str], evidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the language and posterior share for each text; -1 and 0 if it has no words."""
+def score_texts(model: LanguageModel, texts: list[str], evidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language, posterior share (-1 and 0 if it has no words), number of words and share of known ones for each text."""
     words, k = _lowered(texts), len(model.languages)
     n_words, owner = np.diff(words.of), words.owner()
     evidence_of = np.zeros((len(words.hashes), k))
     at, known = _find(model.words, words.hashes)
     evidence_of[known] = model.word_logs[at[known]]
+    coverage = np.bincount(owner, weights=known, minlength=len(texts)) / np.maximum(n_words, 1)
     left = np.flatnonzero(~known)
     for n in GRAMS:
         if not len(left):
@@ -139,11 +145,11 @@ def score_texts(model: LanguageModel, texts: list[str], evidence: float) -> tupl
     share = np.exp(mean - mean.max(axis=1, keepdims=True))
     share /= share.sum(axis=1, keepdims=True)
     best = share.argmax(axis=1)
-    return np.where(n_words > 0, best, -1), np.where(n_words > 0, share[np.arange(len(texts)), best], 0.0)
+    return np.where(n_words > 0, best, -1), np.where(n_words > 0, share[np.arange(len(texts)), best], 0.0), n_words, coverage
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", evidence: float = 20.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score for each row, and a struct `row` of the columns named in keep."""
+    """doc_id, lang_pred, score, n_words, coverage for each row, and a struct `row` of the columns named in keep."""
     rest = [F.struct(*keep).alias("row")] if keep else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *rest)
 
@@ -151,24 +157,38 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches):
         for b in batches:
-            langs, scores = [], []
+            langs, scores, counts, known = [], [], [], []
             for _, texts in slices(b.column("text")):
                 if model.languages:
-                    best, share = score_texts(model, texts, evidence)
+                    best, share, n_words, coverage = score_texts(model, texts, evidence)
                 else:
-                    best, share = np.full(len(texts), -1), np.zeros(len(texts))
+                    best, share, n_words, coverage = np.full(len(texts), -1), np.zeros(len(texts)), np.diff(_lowered(texts).of), np.zeros(len(texts))
+                counts.extend(n_words)
+                known.extend(coverage)
                 for text, i, s in zip(texts, best, share, strict=True):
                     ok = i >= 0 and HAS_LETTER.search(text)
                     langs.append(model.languages[i] if ok else UNDETERMINED)
                     scores.append(float(s) if ok else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *(b.column(c) for c in carried)], names=["doc_id", "lang_pred", "score", *carried])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(known, pa.float64()), *(b.column(c) for c in carried)], names=["doc_id", "lang_pred", "score", "n_words", "coverage", *carried])
 
-    ddl = "doc_id long, lang_pred string, score double"
+    ddl = "doc_id long, lang_pred string, score double, n_words long, coverage double"
     if rest:
         ddl += f", row {rows.schema['row'].dataType.simpleString()}"
     return rows.mapInArrow(run, ddl)
 
 
+def coverage_floor(held: DataFrame, model: LanguageModel, sample: int = 10_000) -> float:
+    """The least coverage of a text in a learned language: LEAST_COVERAGE, or less where KEEP_SHARE of the labelled rows of held (doc_id, text, lang) do not reach that; 0 if there are none.
+
+    It is checked on the rows with the smallest hash of the id, `sample` ids at most.
+    """
+    usable = held.where("text is not null and doc_id is not null").where(F.col("lang").isin(model.languages))
+    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    told = identify(usable.join(F.broadcast(ids), "doc_id"), model).where(F.col("n_words") >= MIN_WORDS)
+    reached = told.agg(F.expr(f"percentile_disc({1 - KEEP_SHARE:.6f}) within group (order by coverage)")).head()[0]
+    return 0.0 if reached is None else min(LEAST_COVERAGE, reached)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5):
     """True for the rows that teach nothing: the CRC-32 of the id in decimal is a multiple of `folds`."""
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % folds == 0, F.lit(False))

@@ -1,4 +1,7 @@
+import random
+
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -42,3 +45,17 @@ def test_odd_rows(spark, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         docs.count()
+
+
+def test_language_stage_rejects_what_no_language_covers(spark):
+    rng = random.Random(5)
+    vocabulary = {"en": ["the", "house", "thing", "with", "water", "ring"], "de": ["der", "haus", "dinge", "wasser", "mit", "über"]}
+    rows = [(i, " ".join(rng.choices(vocabulary[lang], k=40)), lang) for i, lang in enumerate(["en", "de"] * 50)]
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60))
+    rows += [(1000, noise, None), (1001, "talossa on punainen katto ja vanha ovi " * 8, None), (1002, "12 34", None), (1003, "talo", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], schema)
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {*range(100), 1003}
+    untold = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in stage(spark, untold, SF).collect()} == {*range(100), 1000, 1001, 1003}
