@@ -189,3 +189,13 @@ def test_marks_leave_the_article():
     assert text('<article><h2 id="social-impact">Impact</h2><p id="search-strategy">Plan<section id="share-prices" class="alert-levels"><p>Prices</section></article>') == "Impact\n\nPlan\n\nPrices"
     assert text('<article><p>Text<div class="share-buttons">Share</div><div id="comments">No</div><article class="comment">Nor</article></article>') == "Text"
     assert text('<article hidden><p>No</article><div class="site-banner">No</div><div>Text</div>') == "Text"
+
+
+def test_toxic_documents_do_not_set_the_threshold(spark):
+    rng = random.Random(6)
+    words = {"good": ["the", "of", "and", "house", "river", "said"], "toxic": ["hate", "idiot", "scum", "vile", "stupid", "filth"]}
+    kinds = ["good", "toxic"] * 60
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[k], k=80))) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(k == "toxic")) for i, k in enumerate(kinds) if i < 80], "doc_id long, quality int, toxic int")
+    out = quality_rules(docs, labels).where("not base_failed").collect()
+    assert out and all(r.kept == (r.doc_id % 2 == 0) for r in out)
