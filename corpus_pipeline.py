@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame. `run` writes each result as
 Parquet to the shared folder and reads it again for the next stage. All stages but the last return the columns
 of documents. A filtering stage keeps a row unless its operator rejects it. Rows with a null id are
-judged by their text alone; an empty table goes through all stages.
+judged by their text alone, in groups of near duplicates after all rows with an id; an empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlode.llm.common import read, shared_dir
+from graphlode.llm.common import read, shared_dir, staged
 from graphlode.llm.language import MIN_WORDS, UNDETERMINED, coverage_floor, fit, held_out, identify
 from graphlode.llm.line_dedup import dedup_lines
 from graphlode.llm.ngram_join import near_duplicates
@@ -51,8 +51,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = with_keys(docs)
+    gone = near_duplicates(keyed, id_col="key").where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(gone.hint("merge"), "key", "left_anti").select(*COLUMNS)
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with a key in the order of ids: the id, and for rows without one a number of their own above all ids; without room for these, ids are moved down."""
+    named = docs.withColumn("key", F.col("doc_id").cast("long"))
+    without = docs.where("doc_id is null")
+    if without.isEmpty():
+        return named
+    numbered = staged(without.withColumn("at", F.monotonically_increasing_id()), "without-id")
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
+    last = numbered.agg(F.max("at")).head()[0]
+    least, most = (0, -1) if most is None else (least, most)
+    down = max(0, most + 1 + last - (2**63 - 1))
+    if least - down < -(2**63):
+        raise ValueError("the ids leave no room for rows without one")
+    moved = named.where("doc_id is not null").withColumn("key", F.col("key") - F.lit(down))
+    return moved.unionByName(numbered.withColumn("key", F.col("at") + F.lit(most - down + 1)).drop("at"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,18 @@ def test_language_stage_rejects_what_no_language_covers(spark):
     assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {*range(100), 1003}
     untold = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in stage(spark, untold, SF).collect()} == {*range(100), 1000, 1001, 1003}
+
+
+def test_near_copies_without_id(spark):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(3)]
+    near = texts[0].replace(texts[0].split(" ")[40], "changed")
+    rows = [(None, texts[0]), (None, texts[0]), (None, near), (7, texts[1]), (None, texts[1]), (None, texts[2]), (2**63 - 1, "one two three four five six")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    for part in (rows, rows[:-1], [r for r in rows if r[0] is None]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in part], schema)
+        got = [(r.doc_id, r.text) for r in stage(spark, docs, SF).collect()]
+        assert len(got) == len(part) - 3 + (len(part) == 5)
+        assert sum(t in (texts[0], near) for _, t in got) == 1 and (None, texts[2]) in got
+        assert [i for i, t in got if t == texts[1]] == ([7] if (7, texts[1]) in part else [None])
