@@ -227,7 +227,7 @@ def random_lists(n: int, k: int, seed: int) -> list[list[int]]:
 def build_rnn_descent(x: np.ndarray, params: RNNParams, seed: int = 0) -> list[list[int]]:
     """Relative-neighbourhood descent: edges hidden by a nearer neighbour move on to it; reverse edges come in each outer round."""
     n = len(x)
-    near = [dict(zip(r, distances(x, r, x[i]).tolist(), strict=True)) if r else {} for i, r in enumerate(random_lists(n, min(params.initial_degree, 32), seed))]
+    near = [dict(zip(r, distances(x, r, x[i]).tolist(), strict=True)) if r else {} for i, r in enumerate(random_lists(n, params.initial_degree, seed))]
     for outer in range(params.n_outer_loops):
         for _ in range(params.n_inner_loops):
             moved = 0

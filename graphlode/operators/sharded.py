@@ -28,8 +28,19 @@ _FIELDS = pa.schema(
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("dist", pa.float64())])
 
 
+#: Parameters that the in-memory builders do not read: only their defaults are taken.
+UNREAD = {
+    DEGParams: ("improve_eps",),
+    HNSWParams: ("n_rounds", "finetune_rnn", "finetune_sen", "post_prune_heuristic"),
+    RNGGParams: ("prune", "prune_extend_degree"),
+}
+
+
 def local_builder(params, start=None, seed: int = 0) -> Callable[[np.ndarray], tuple[list, list[int]]]:
     """x -> (levels, entry points) for the parameters of a builder; start: parameters of an NSSG's input graph."""
+    for name in UNREAD.get(type(params), ()):
+        if getattr(params, name) != getattr(type(params)(), name):
+            raise ValueError(f"{type(params).__name__}.{name} is not implemented in the in-memory builder")
 
     def flat(adjacency, n, entries=(0,)):
         ids = np.arange(n)
@@ -47,7 +58,7 @@ def local_builder(params, start=None, seed: int = 0) -> Callable[[np.ndarray], t
             case HNSWParams():
                 return kernels.build_hnsw(x, params, seed), [0]
             case NSSGParams():
-                levels, _ = local_builder(start or BruteforceKNNParams(min(params.range, 40)), None, seed)(x)
+                levels, _ = local_builder(start or BruteforceKNNParams(params.range), None, seed)(x)
                 adjacency, roots = kernels.build_nssg(x, levels[0][1], params, seed)
                 return flat(adjacency, n, roots)
             case RNGGParams():

@@ -87,3 +87,19 @@ def test_repair_reaches_all():
                 seen.add(j)
                 stack.append(j)
     assert seen == set(range(6))
+
+
+def test_builders_take_all_of_their_degrees(monkeypatch):
+    x, asked = np.random.default_rng(1).normal(size=(120, 4)).astype(np.float32), []
+    random_lists, nearest_lists = kernels.random_lists, kernels.nearest_lists
+    monkeypatch.setattr(kernels, "random_lists", lambda n, k, seed: asked.append(k) or random_lists(n, k, seed))
+    monkeypatch.setattr(kernels, "nearest_lists", lambda x, k: asked.append(k) or nearest_lists(x, k))
+    local_builder(RNNParams(n_outer_loops=1, n_inner_loops=1))(x)
+    local_builder(NSSGParams())(x)
+    assert asked == [100, 70]
+
+
+@pytest.mark.parametrize("params", [HNSWParams(n_rounds=2), HNSWParams(finetune_rnn=True), HNSWParams(finetune_sen=True), HNSWParams(post_prune_heuristic=True), DEGParams(improve_eps=0.1), RNGGParams(prune_extend_degree=50)])
+def test_parameters_that_are_not_read_are_refused(params):
+    with pytest.raises(ValueError, match="not implemented"):
+        local_builder(params)
