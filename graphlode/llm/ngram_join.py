@@ -1,49 +1,58 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document's set of word shingles is hashed into groups, 64 to 4,096 with its size; the counts of the groups are its
-point, which is summed to `GROUPS` = 64 in the tree and compared at the common fineness of two sets that the tree lets through. The
-sum over the groups of the smaller of two counts bounds two sets' overlap from above, and the sum of the smaller of two boxes'
-upper corners does so for all points inside. An R-tree over points prunes boxes and points by
-these bounds; what survives is verified on the sets themselves.
+A document's set of word shingles is hashed into groups (a power of two, 64 to 4,096, about as many as the set is large); the
+counts of the groups are its point. The sum over the groups of the smaller of two counts bounds two sets' overlap from above, and
+the sum of the smaller of two boxes' upper corners does so for all points inside. An R-tree over points prunes boxes and
+points by these bounds; every pair that survives in an R-tree is verified on the sets themselves, and links come from nowhere else.
 
 One tree over a whole corpus prunes nothing: the points of unrelated texts lie at nearly equal distances, so
 every box meets every other and the work grows with the square of the input. So there is a forest. Each tree holds the
 documents that share one *key*, an element among the first n - ceil(n * percent / 100) + 1 of the set in a global
-order; two sets at or above the threshold always share such a key, so no pair is lost. The
-order puts elements that many documents hold last (by counts of all documents, in cells of a sketch), so passages that
-many share are no keys. Elements with a key of their own fall away as soon as keys are dealt.
+order; two sets at or above the threshold always share such a key, so no pair is lost, whatever the order. It
+puts elements that many documents hold last, by counts over all documents, so passages that many share are no keys.
 
-1. `profile`: size, signature and point of each document, and the counts of frequent cells. Documents with equal sets
+1. `profile`: size and signature of each document, and the counted elements of each task in packed form. Documents with equal sets
    are one class from here on.
-2. `dealt keys`: each key's classes, streamed in order of size; each is offered to the first of its key and size class,
-   a star and not all pairs. Offers within the bound are verified; links give components.
-3. `trees`: keys whose classes are in several components get an R-tree each (keys with the same classes share one). Only
-   pairs from different components within the bound are verified. Components again.
+2. `frequent`: elements are counted over all documents; ranks of the frequent ones make a table of CELLS cells.
+3. `keys`, `blocks`: each class gives its keys; a key that several classes give is a block. Blocks with the same classes are one.
+4. `forest`: blocks are dealt by their least class, so a class is sent once for many blocks. A task grows each block's tree, joins it with
+   itself, and verifies only pairs that are not connected yet; a block that is one component is done, so copies cost a number of
+   verifications in proportion to their number. Only links that connect leave the task.
+5. A block above `tile_rows` or `tile_elements` is cut into tiles by a hash. Each tile is a tree of its own, then one tree holds a head
+   of each tile, and then trees are joined for those pairs of tiles that are not of one component (tiles are cut anew, by component).
 
-Links are only looked for where they could join two components, so groups of near copies cost a number of
-verifications in proportion to their size, and the components are exact.
+Equality is that of 64-bit shingle hashes and of 128-bit set signatures; both are fixed mixing functions without a secret, so
+texts made on purpose can collide.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows
-with a null id take no part and have a null component. Rows that repeat an id count as one document when
-components are named.
+with a null id take no part and have a null component. Rows that repeat an id are nodes of their own: each gets the smallest id
+that its own text reaches.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, staged
 from .components import components
 from .textvec import Words, mix, slices, windows
 
-GROUPS = 64
 CELLS = 1 << 24
-HOT_CELLS = 1 << 17
+#: At most so many frequent elements have a rank; they come to the driver and go to the tasks as a table of CELLS bytes.
+MOST_FREQUENT = 1 << 22
+LEAST_FREQUENT = 4
+#: Elements that a task counts before it sends the counts on, and elements of a bucket that are counted together.
+CHUNK, BUCKET = 1 << 21, 1 << 21
+#: A key that more documents hold is dealt to several tasks.
+HOT_BITS = 12
 LEAF = 32
-TILE = 2048
+MOST_TRIED = 1 << 20
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -73,153 +82,163 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def fineness(n: int) -> int:
-    """Bits of the group number: with about as many groups as elements few differences of two sets cancel out."""
-    return 6 if n < 128 else 8 if n < 512 else 10 if n < 2048 else 12
-
-
-def point(s: np.ndarray, bits: int | None = None) -> bytes:
-    """Counts of the groups, after a byte for their fineness and one for the bytes of a count."""
-    bits = bits or fineness(len(s))
-    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    top = counts.max()
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-    return bytes([bits, width]) + counts.astype(f"<u{width}").tobytes()
-
-
-class Points:
-    """The points of a column: `coarse` has GROUPS counts for all rows, finer counts serve pairs of rows that both have them."""
-
-    def __init__(self, column):
-        found = column.to_pylist()
-        self.bits = np.array([x[0] for x in found], np.int64)
-        rows = [np.frombuffer(x, f"<u{x[1]}", offset=2).astype(np.int32) for x in found]
-        self.levels = {}
-        for bits in (6, 8, 10, 12):
-            at = np.flatnonzero(self.bits >= bits)
-            place = np.full(len(rows), -1)
-            place[at] = np.arange(len(at))
-            summed = [rows[i].reshape(1 << bits, -1).sum(axis=1, dtype=np.int32) for i in at]
-            self.levels[bits] = place, (np.stack(summed) if summed else np.empty((0, 1 << bits), np.int32))
-        self.coarse = self.levels[6][1].astype(np.int64)
-        self.sizes = self.coarse.sum(axis=1)
-
-    def allow(self, a: np.ndarray, other: Points, b: np.ndarray, percent: int) -> np.ndarray:
-        """For each pair of rows a[i], b[i] whether the bound at their common fineness allows the threshold."""
-        bits, out = np.minimum(self.bits[a], other.bits[b]), np.empty(len(a), bool)
-        for level in np.unique(bits).tolist():
-            every = np.flatnonzero(bits == level)
-            for at in np.array_split(every, -(-(len(every) << level) // (1 << 22))):
-                x, y = self.levels[level][1][self.levels[level][0][a[at]]], other.levels[level][1][other.levels[level][0][b[at]]]
-                out[at] = np.minimum(x, y).sum(axis=1) * (100 + percent) >= needed(self.sizes[a[at]] + other.sizes[b[at]], percent)
-        return out
-
-
-def _cells(s: np.ndarray) -> np.ndarray:
-    return (s & np.uint64(CELLS - 1)).astype(np.int64)
-
-
-def profile(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: doc_id, n, s1, s2, point, coarse point of each document; kind 1: cell (in doc_id) and count (in n) of frequent cells."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("coarse", pa.binary())])
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, their bytes put together by place, under Zstandard."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def prefix(s: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits + 32 bits of hashes, by which they are counted."""
+    return s >> np.uint64(32 - bits)
+
+
+def counted(s: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, gaps of sorted distinct 32-bit rests, how often each) for hashes with repeats."""
+    values, times = np.unique(prefix(s, bits), return_counts=True)
+    buckets, rest = values >> np.uint64(32), (values & np.uint64(2**32 - 1)).astype(np.uint32)
+    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(values)]
+    return [(int(buckets[a]), pack(np.diff(rest[a:b], prepend=np.uint32(0))), pack(np.minimum(times[a:b], 2**32 - 1))) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+PROFILE = "kind int, doc_id long, n long, s1 long, s2 long, gaps binary, times binary"
+
+
+def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """kind 0: doc_id, n, s1, s2 of each document; kind 1: bucket (in doc_id), gaps and times of counted elements."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gaps", pa.binary()), ("times", pa.binary())])
+
+    def rows(kind: int, columns: list) -> pa.RecordBatch:
+        size = len(columns[0] if kind == 0 else columns[-1])
+        full = [pa.array(np.full(size, kind, np.int32)), *(pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True))]
+        return pa.RecordBatch.from_arrays(full, schema=schema)
 
     def run(batches):
-        counts = np.zeros(CELLS, np.uint32)
+        seen, held, size = set(), [], 0
+
+        def counts():
+            found = counted(np.concatenate(held), bits)
+            return rows(1, [[x[0] for x in found], None, None, None, [x[1] for x in found], [x[2] for x in found]])
+
         for b in batches:
-            ids, out = b.column(0).to_pylist(), []
+            ids = b.column(0)
             for first, texts in slices(b.column(1)):
                 sets = shingle_sets(texts, n)
-                np.add.at(counts, _cells(np.concatenate(sets)), 1)
-                out += [(0, ids[first + i], len(s), *signature(s), point(s), point(s, 6)) for i, s in enumerate(sets)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-        often = np.flatnonzero(counts >= 4 + 4 * counts.mean())
-        if len(often):
-            none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), np.int32)), pa.array(often), pa.array(counts[often].astype(np.int64)), none, none, *[pa.nulls(len(often), pa.binary())] * 2], schema=schema)
-
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, point binary, coarse binary")
+                sigs = [signature(s) for s in sets]
+                for s, sig in zip(sets, sigs, strict=True):
+                    if len(s) and sig not in seen:  # a text counts once in a task
+                        seen.add(sig)
+                        held.append(s)
+                        size += len(s)
+                yield rows(0, [ids.slice(first, len(texts)), [len(s) for s in sets], [x[0] for x in sigs], [x[1] for x in sigs], None, None])
+                if size >= CHUNK:
+                    yield counts()
+                    held, size = [], 0
+        if held:
+            yield counts()
+
+    return docs.mapInArrow(run, PROFILE)
+
+
+def frequent(profiled: DataFrame, bits: int) -> np.ndarray:
+    """A rank (bits of the count) for each of CELLS cells; 0 for all but the MOST_FREQUENT elements that LEAST_FREQUENT documents hold."""
+    schema = pa.schema([("cell", pa.int32()), ("rank", pa.int32()), ("level", pa.int32())])
+
+    def count(table: pa.Table) -> pa.Table:
+        values = np.concatenate([np.cumsum(unpack(x.as_py()), dtype=np.uint32) for x in table["gaps"]])
+        times = np.concatenate([unpack(x.as_py()) for x in table["times"]]).astype(np.int64)
+        order = np.argsort(values, kind="stable")
+        values, times = values[order], times[order]
+        firsts = np.flatnonzero(np.diff(values, prepend=values[:1] + np.uint32(1)))
+        total = np.add.reduceat(times, firsts)
+        often = total >= LEAST_FREQUENT
+        cells = (values[firsts][often] & np.uint32(CELLS - 1)).astype(np.int32)
+        logs = np.log2(total[often])
+        return pa.table([pa.array(cells), pa.array(logs.astype(np.int32) + 1), pa.array((logs * 4).astype(np.int32))], schema=schema)
+
+    found = staged(profiled.where("kind = 1").select(F.col("doc_id").alias("bucket"), "gaps", "times").groupBy("bucket").applyInArrow(count, "cell int, rank int, level int"), "frequent")
+    levels, least, room = {r.level: r["count"] for r in found.groupBy("level").count().collect()}, 0, MOST_FREQUENT  # at most 256 rows
+    for level in sorted(levels, reverse=True):
+        room -= levels[level]
+        if room < 0:
+            least = level + 1
+            break
+    table = np.zeros(CELLS, np.uint8)
+    cells = found.where(F.col("level") >= least).groupBy("cell").agg(F.max("rank").cast("byte").alias("rank")).toArrow()  # at most MOST_FREQUENT rows of 5 bytes
+    table[cells["cell"].to_numpy()] = cells["rank"].to_numpy()
+    return table
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def keys(docs: DataFrame, n: int, percent: int, hot: list[tuple[int, int]]) -> DataFrame:
-    """(key, n, s1, s2) for each key of each distinct set of a task. hot: count of frequent cells, at most HOT_CELLS rows."""
-    hot_cells = np.array([c for c, _ in hot], np.int64)
-    hot_ranks = np.array([int(k).bit_length() for _, k in hot], np.uint8)
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+def keys(docs: DataFrame, n: int, percent: int, bits: int, ranks: np.ndarray) -> DataFrame:
+    """(key, part, s1, s2) for each key of each distinct set of a task. part: 0, or by s1 for keys of very many documents."""
+    schema = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    packed = zstandard.ZstdCompressor(level=1).compress(ranks.tobytes())
 
     def run(batches):
-        rank = np.zeros(CELLS, np.uint8)
-        rank[hot_cells] = hot_ranks
+        ranks = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
         seen = set()
         for b in batches:
             for _, texts in slices(b.column(1)):
-                parts, meta = [], []
+                parts, rank_of, meta = [], [], []
                 for s in shingle_sets(texts, n):
                     if len(s) and (sig := signature(s)) not in seen:
                         seen.add(sig)
-                        ranks = rank[_cells(s)]
+                        rank = ranks[(prefix(s, bits) & np.uint64(CELLS - 1)).astype(np.int64)]
                         # sorted already by hash; frequent ones go last
-                        order = np.argsort(ranks, kind="stable") if ranks.any() else slice(None)
-                        first = s[order][: prefix_length(len(s), percent)]
-                        parts.append(first)
-                        meta.append((len(first), len(s), *sig))
+                        first = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
+                        parts.append(s[first])
+                        rank_of.append(rank[first])
+                        meta.append((len(first), *sig))
                 if parts:
-                    times, *columns = (np.array(c, np.int64) for c in zip(*meta, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), *(pa.array(np.repeat(c, times)) for c in columns)], schema=schema)
+                    times, s1, s2 = (np.array(c, np.int64) for c in zip(*meta, strict=True))
+                    s1, s2, rank = np.repeat(s1, times), np.repeat(s2, times), np.concatenate(rank_of).astype(np.int64)
+                    shares = np.int64(1) << np.maximum(rank - HOT_BITS, 0)
+                    part = np.where(shares > 1, 1 + (s1 & (shares - 1)), 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(part), pa.array(s1), pa.array(s2)], schema=schema)
 
-    return docs.mapInArrow(run, "key long, n long, s1 long, s2 long")
+    return docs.mapInArrow(run, "key long, part long, s1 long, s2 long")
 
 
 def blocks(keyed: DataFrame) -> DataFrame:
-    """(key, n, s1, s2, l1, l2): rows of keys with several classes; l1, l2: the first class of the key and size class.
-
-    Rows of a key stream by in order of size; only the last row and the open star's first are held.
-    """
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "n", "s1", "s2")
-    schema = pa.schema([(c, pa.int64()) for c in ("key", "n", "s1", "s2", "l1", "l2")])
-    names = ("key", "n", "s1", "s2")
+    """(key, s1, s2): the distinct rows of keys that several classes give, and all of a key dealt in parts. Rows stream by in order; one is held."""
+    dealt = keyed.repartition("key", "part").sortWithinPartitions("key", "part", "s1", "s2")
+    names = ("key", "part", "s1", "s2")
+    schema = pa.schema([(c, pa.int64()) for c in ("key", "s1", "s2")])
 
-    def emit(rows: np.ndarray, many: np.ndarray):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, many]], schema=schema)
+    def emit(rows: np.ndarray, which: np.ndarray):
+        return pa.RecordBatch.from_arrays([pa.array(rows[c][which]) for c in (0, 2, 3)], schema=schema)
 
     def run(batches):
-        held = None  # the last distinct row with its star, and whether its key had a row before
+        held, had = None, False  # the last distinct row, and whether its key had a row before
         for b in batches:
             rows = np.stack([b.column(c).to_numpy() for c in names])
             if not rows.shape[1]:
                 continue
-            before = rows[:, :1] if held is None else held[0][:4]
             if held is not None:
-                rows = np.concatenate([before, rows], axis=1)
+                rows = np.concatenate([held, rows], axis=1)
             new = np.ones(rows.shape[1], bool)
             new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
             rows = rows[:, new]
-            size_class = np.floor(np.log(rows[1]) / np.log(1.25)).astype(np.int64)
-            opens = np.ones(rows.shape[1], bool)
-            opens[1:] = (rows[0, 1:] != rows[0, :-1]) | (size_class[1:] != size_class[:-1])
-            star = rows[2:4, np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))]
-            same = rows[0, 1:] == rows[0, :-1]
-            many = np.zeros(rows.shape[1], bool)
+            same = (rows[:2, 1:] == rows[:2, :-1]).all(axis=0)
+            many = rows[1] > 0
             many[1:] |= same
             many[:-1] |= same
-            if held is not None:
-                many[0] |= held[1]
-                open_star = np.cumsum(opens) == 1  # goes on with the star that was open
-                star[:, open_star] = held[0][4:]
-            full = np.concatenate([rows, star])
-            last = full[:, -1:]
-            went_before = bool(same[-1]) if len(same) else bool(held is not None and held[1])
+            many[0] |= had
+            had = bool(same[-1]) if len(same) else had
             if many[:-1].any():
-                yield emit(full[:, :-1], many[:-1])
-            held = last, went_before
-        if held is not None and held[1]:
-            yield emit(held[0], np.array([True]))
+                yield emit(rows[:, :-1], many[:-1])
+            held = rows[:, -1:]
+        if held is not None and (had or held[1, 0] > 0):
+            yield emit(held, np.array([True]))
 
-    return dealt.mapInArrow(run, "key long, n long, s1 long, s2 long, l1 long, l2 long")
+    return dealt.mapInArrow(run, "key long, s1 long, s2 long")
 
 
 def needed(total: np.ndarray | int, percent: int):
@@ -227,114 +246,137 @@ def needed(total: np.ndarray | int, percent: int):
     return percent * total
 
 
+def fineness(n: int) -> int:
+    """Bits of the group number: with about as many groups as elements few differences of two sets cancel out."""
+    return min(12, max(6, (n - 1).bit_length()))
+
+
+def point(s: np.ndarray, bits: int) -> np.ndarray:
+    """Counts of the groups."""
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
 class RTree:
     """Points packed into leaves by size and coordinates, leaves into nodes; boxes keep upper corners and least sizes."""
 
     def __init__(self, points: np.ndarray):
         sizes = points.sum(axis=1)
-        wide = np.argsort(points.var(axis=0) / (points.mean(axis=0) + 1))[::-1][:2]
+        wide = np.argsort(points.var(axis=0) / (points.mean(axis=0) + 1), kind="stable")[::-1][:2]
         order = np.lexsort((points[:, wide[1]], points[:, wide[0]] // 4, np.log2(sizes + 1).astype(int)))
         self.leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
         self.upper = np.stack([points[x].max(axis=0) for x in self.leaves])
         self.least = np.array([sizes[x].min() for x in self.leaves])
-        self.nodes = [range(i, min(i + LEAF, len(self.leaves))) for i in range(0, len(self.leaves), LEAF)]
-        self.node_upper = np.stack([self.upper[list(x)].max(axis=0) for x in self.nodes])
-        self.node_least = np.array([self.least[list(x)].min() for x in self.nodes])
+        self.nodes = [np.arange(i, min(i + LEAF, len(self.leaves))) for i in range(0, len(self.leaves), LEAF)]
+        self.node_upper = np.stack([self.upper[x].max(axis=0) for x in self.nodes])
+        self.node_least = np.array([self.least[x].min() for x in self.nodes])
         self.points, self.sizes = points, sizes
 
     @staticmethod
     def _meet(ua, la, ub, lb, percent) -> np.ndarray:
-        bound = np.minimum(ua[:, None, :], ub[None, :, :]).sum(axis=2)
-        return bound * (100 + percent) >= needed(la[:, None] + lb[None, :], percent)
-
-    def join(self, other: RTree, percent: int):
-        """Yields (rows of self, rows of other) whose bound allows the threshold."""
-        for i, j in zip(*np.nonzero(self._meet(self.node_upper, self.node_least, other.node_upper, other.node_least, percent)), strict=True):
-            a, b = list(self.nodes[i]), list(other.nodes[j])
-            for k, m in zip(*np.nonzero(self._meet(self.upper[a], self.least[a], other.upper[b], other.least[b], percent)), strict=True):
-                x, y = self.leaves[a[k]], other.leaves[b[m]]
-                hit = self._meet(self.points[x], self.sizes[x], other.points[y], other.sizes[y], percent)
-                p, q = np.nonzero(hit)
-                if len(p):
-                    yield x[p], y[q]
-
-
-PAIR = "a1 long, a2 long, b1 long, b2 long"
-_PAIR_SCHEMA = pa.schema([(c, pa.int64()) for c in ("a1", "a2", "b1", "b2")])
-
-
-def tree_pairs(members: DataFrame, percent: int, group_rows: int = 10_000) -> DataFrame:
-    """Pairs of classes of different components in each tree. members (stored): key, m (classes of the key), s1, s2, n, component, point.
-
-    Keys of few classes share a group, a tree each. A key with more than TILE classes is cut into tiles in order of size;
-    each pair of tiles whose sizes can reach the threshold together is a group of its own.
-    """
-    groups = -(-members.count() // group_rows)
-    small, large = members.where(F.col("m") <= TILE), members.where(F.col("m") > TILE)
-    small = small.withColumns({"g": F.pmod(F.xxhash64("key"), F.lit(max(groups, 1))), "left": F.lit(-1).cast("long"), "right": F.lit(-1).cast("long"), "side": F.lit(0)})
-    place = F.row_number().over(Window.partitionBy("key").orderBy("n", "s1", "s2")) - 1
-    tiled = large.withColumn("tile", F.floor(place / TILE).cast("long"))
-    spans = tiled.groupBy("key", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = spans.alias("x"), spans.alias("y")
-    meets = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") <= F.col("y.tile")) & (F.col("y.lo") * percent <= F.col("x.hi") * 100))
-    meets = meets.select(F.col("x.key").alias("key"), F.col("x.tile").alias("left"), F.col("y.tile").alias("right"))
-    one = meets.join(tiled.withColumnRenamed("tile", "left"), ["key", "left"]).withColumn("side", F.lit(0))
-    two = meets.where("left < right").join(tiled.withColumnRenamed("tile", "right"), ["key", "right"]).withColumn("side", F.lit(1))
-    both = small.unionByName(one.unionByName(two).withColumn("g", F.col("key")))
-
-    def run(table: pa.Table) -> pa.Table:
-        points = Points(table["point"])
-        side, comp, key = table["side"].to_numpy(), table["component"].to_numpy(), table["key"].to_numpy()
-        ids = np.stack([table["s1"].to_numpy(), table["s2"].to_numpy()])
-        order = np.lexsort((side, key))
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        found = []
-        for rows in np.split(order, cuts):
-            first, second = rows[side[rows] == 0], rows[side[rows] == 1]
-            a = RTree(points.coarse[first])
-            b, other = (RTree(points.coarse[second]), second) if len(second) else (a, first)
-            for p, q in a.join(b, percent):
-                p, q = first[p], other[q]
-                good = comp[p] != comp[q]
-                if not len(second):
-                    good &= p < q
-                if good.any():
-                    found.append(np.concatenate([ids[:, p[good]], ids[:, q[good]]]))
-        got = np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
-        return pa.table([pa.array(c) for c in got], schema=_PAIR_SCHEMA)
-
-    return ordered(both.groupBy("g", "left", "right").applyInArrow(run, PAIR)).distinct()
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair the same way round."""
-    swap = F.struct("a1", "a2") > F.struct("b1", "b2")
-    return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"), ("b1", "a1"), ("b2", "a2"))))
-
-
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose points' bound allows the threshold."""
-    p = points.select("s1", "s2", "point")
-    with_a = pairs.join(p.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("point").alias("pa")), ["a1", "a2"])
-    with_b = with_a.join(p.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("point").alias("pb")), ["b1", "b2"])
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y, every = Points(b.column("pa")), Points(b.column("pb")), np.arange(b.num_rows)
-            good = x.allow(every, y, every, percent)
-            yield b.select(["a1", "a2", "b1", "b2"]).filter(pa.array(good))
-
-    return with_b.select("a1", "a2", "b1", "b2", "pa", "pb").mapInArrow(run, PAIR)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
-    with_a = pairs.join(sets.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("elements").alias("sa")), ["a1", "a2"])
-    with_b = with_a.join(sets.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("elements").alias("sb")), ["b1", "b2"])
-    both = F.size(F.array_intersect("sa", "sb"))
-    return with_b.where(both * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))).select("a1", "a2", "b1", "b2")
+        """Which of several boxes (or points) ub a single one ua may reach the threshold with."""
+        return np.minimum(ua, ub).sum(axis=1) * (100 + percent) >= needed(la + lb, percent)
+
+    def join(self, other: RTree, percent: int, done=lambda x, y: False):
+        """Yields (rows of self, rows of other) whose bound allows the threshold, each pair once if other is self. done(rows, rows): their pairs are not wanted."""
+        own = other is self
+        for i, a in enumerate(self.nodes):
+            for j in np.flatnonzero(self._meet(self.node_upper[i], self.node_least[i], other.node_upper, other.node_least, percent)).tolist():
+                if own and j < i:
+                    continue
+                for k in a.tolist():
+                    b = other.nodes[j]
+                    b = b[b >= k] if own else b
+                    for m in b[self._meet(self.upper[k], self.least[k], other.upper[b], other.least[b], percent)].tolist():
+                        x, y = self.leaves[k], other.leaves[m]
+                        if done(x, y):
+                            continue
+                        for at, row in enumerate(x.tolist()):
+                            rest = y[at + 1 :] if own and k == m else y
+                            hit = rest[self._meet(self.points[row], self.sizes[row], other.points[rest], other.sizes[rest], percent)]
+                            if len(hit):
+                                yield np.full(len(hit), row), hit
+
+
+class Groups:
+    """Which sets are connected so far: a label for each, and the sets of each label. The smaller part is relabelled."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels = np.unique(labels, return_inverse=True)[1]
+        self.parts = {}
+        for i, x in enumerate(self.labels.tolist()):
+            self.parts.setdefault(x, []).append(i)
+
+    def connect(self, i: int, j: int) -> None:
+        a, b = int(self.labels[i]), int(self.labels[j])
+        if len(self.parts[a]) < len(self.parts[b]):
+            a, b = b, a
+        gone = self.parts.pop(b)
+        self.labels[gone] = a
+        self.parts[a] += gone
+
+
+def connect(sets: list[np.ndarray], labels: np.ndarray, jobs: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links that connect: pairs of sets of different labels that reach the threshold. jobs: (rows, rows) to join with each other, or with themselves if the second is empty."""
+    groups, tried, links, cache = Groups(labels), set(), [], {}
+
+    def points(rows: np.ndarray, bits: int) -> np.ndarray:
+        for i in rows.tolist():
+            if (i, bits) not in cache:
+                cache[i, bits] = point(sets[i], bits)
+        return np.stack([cache[i, bits] for i in rows.tolist()])
+
+    def one(*rows: np.ndarray) -> bool:
+        found = np.concatenate([groups.labels[x] for x in rows])
+        return bool((found == found[0]).all())
+
+    for left, right in jobs:
+        if one(left, right):
+            continue
+        if len(cache) << 12 > 1 << 27:
+            cache.clear()
+        bits = fineness(max(len(sets[i]) for i in (*left.tolist(), *right.tolist())))
+        a = RTree(points(left, bits))
+        b, other = (RTree(points(right, bits)), right) if len(right) else (a, left)
+        for p, q in a.join(b, percent, lambda x, y: one(left[x], other[y])):  # noqa: B023
+            p, q = left[p], other[q]
+            open_ = groups.labels[p] != groups.labels[q]
+            for i, j in zip(p[open_].tolist(), q[open_].tolist(), strict=True):
+                pair = (i, j) if i < j else (j, i)
+                if groups.labels[i] == groups.labels[j] or pair in tried:
+                    continue
+                if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) * (100 + percent) >= needed(len(sets[i]) + len(sets[j]), percent):
+                    groups.connect(i, j)
+                    links.append(pair)
+                else:
+                    if len(tried) >= MOST_TRIED:
+                        tried.clear()  # a pair may be verified again
+                    tried.add(pair)
+            if one(left, right):
+                break
+    return links
+
+
+def forest(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that connect. jobs (g, job, side, c): the classes of a job, dealt by g; sides 0 and 1 are joined, a single side with itself. sets: c, label, elements."""
+    jobs = staged(jobs, "jobs")
+    holders = jobs.select("g", "c").distinct().join(sets, "c").select("g", "c", "label", "elements").toDF("of", "c", "label", "elements")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        ids = right["c"].to_numpy()
+        order = np.argsort(ids)
+        ids, elements = ids[order], right["elements"]
+        members = [np.frombuffer(elements[i].as_py(), np.uint64) for i in order.tolist()]
+        job, side, at = left["job"].to_numpy(), left["side"].to_numpy(), np.searchsorted(ids, left["c"].to_numpy())
+        by = np.lexsort((at, side, job))
+        cut = [by[x] for x in np.split(np.arange(len(by)), np.flatnonzero(np.diff(job[by])) + 1)]
+        found = connect(members, right["label"].to_numpy()[order], [(at[x][side[x] == 0], at[x][side[x] == 1]) for x in cut], percent)
+        u, v = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
+        return pa.table([pa.array(ids[u]), pa.array(ids[v])], schema=schema)
+
+    return jobs.groupBy("g").cogroup(holders.groupBy("of")).applyInArrow(run, "u long, v long")
 
 
 def id_filter(wanted: DataFrame, n: int, most_bits: int = 1 << 24) -> np.ndarray:
@@ -355,73 +397,108 @@ def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(s1, s2, elements) of the classes (s1, s2, rep) that are in pairs, stored.
+def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(c, label, elements) of the classes wanted (c, s1, s2, doc_id: a row that holds it), stored. label: c.
 
     A filter on the ids goes to the documents, so only texts that are needed are hashed again and no text is shuffled.
     """
-    ends = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).unionByName(pairs.select(F.col("b1").alias("s1"), F.col("b2").alias("s2"))).distinct()
-    wanted = staged(classes.select("s1", "s2", F.col("rep").alias("doc_id")).join(ends, ["s1", "s2"], "left_semi"), "wanted")
-    passes = id_filter(wanted, wanted.count())
-    schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    passes = np.packbits(id_filter(wanted, wanted.count()))
+    schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("elements", pa.binary())])
 
     def run(batches):
+        pass_ = np.unpackbits(passes).astype(bool)
         for b in batches:
-            b = b.filter(pa.array(passes[_slots(b.column(0).to_numpy(), len(passes))]))
+            b = b.filter(pa.array(pass_[_slots(b.column(0).to_numpy(), len(pass_))]))
             for first, texts in slices(b.column(1)):
                 sets = shingle_sets(texts, n)
                 sigs = np.array([signature(s) for s in sets], np.int64)
-                of = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                elements = pa.ListArray.from_arrays(pa.array(of), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), elements], schema=schema)
-
-    found = docs.where("doc_id is not null").mapInArrow(run, "doc_id long, s1 long, s2 long, elements array<long>")
-    # rows that repeat an id may repeat a set; a pair that is found twice is the same link
-    return staged(found.join(wanted, ["doc_id", "s1", "s2"], "left_semi").select("s1", "s2", "elements"), "sets")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    found = docs.mapInArrow(run, "doc_id long, s1 long, s2 long, elements binary")
+    # rows that repeat an id may repeat a set
+    one = found.join(wanted, ["doc_id", "s1", "s2"]).select("c", F.col("c").alias("label"), "elements")
+    return staged(one.groupBy("c", "label").agg(F.first("elements").alias("elements")), "sets")
+
+
+def tiled(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, tile_rows: int, tile_elements: int) -> DataFrame:
+    """More links (u, v): those of blocks that are too large for one tree. members (stored): key, c, n, m, w."""
+    tiles = F.ceil(F.greatest(F.col("m") / tile_rows, F.col("w") / tile_elements))
+    whole = F.lit(0).alias("side")
+    alone = members.withColumn("tile", F.pmod(F.xxhash64("c"), tiles))
+    job = F.xxhash64("key", "tile").alias("job")
+    inside = staged(forest(alone.select(job.alias("g"), job, whole, "c"), sets, percent), "tile-links")
+
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members with their component, and the sets."""
+        of = components(links).select(F.col("node").alias("c"), F.col("component"))
+        rows = staged(alone.join(of, "c", "left").withColumn("component", F.coalesce("component", "c")), "tile-rows")
+        return rows, sets.drop("label").join(of, "c", "left").select("c", F.coalesce("component", "c").alias("label"), "elements")
+
+    # a head for each tile: the first of the tile's largest component
+    rows, named = labelled(links.unionByName(inside))
+    heads = rows.groupBy("key", "tile", "component").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("rows")).groupBy("key", "tile").agg(F.max_by("c", F.struct("rows", "c")).alias("c"))
+    job = F.xxhash64("key", F.lit("heads")).alias("job")
+    met = staged(forest(heads.select(job.alias("g"), job, whole, "c").distinct(), named, percent), "head-links")
+
+    # what is left: tiles anew, by component; those of one component need not meet
+    rows, named = labelled(links.unionByName(inside).unionByName(met))
+    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rows = rows.join(open_, "key")
+    size = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+    parts = F.ceil(F.greatest(F.col("rows") * 2 / tile_rows, F.col("weight") * 2 / tile_elements))
+    size = size.withColumn("parts", parts).withColumn("pure", F.when(F.col("parts") > 1, F.col("component")))
+    rest = size.where("pure is null").groupBy("key").agg(F.ceil(F.greatest(F.sum("rows") * 2 / tile_rows, F.sum("weight") * 2 / tile_elements)).alias("rest"))
+    size = size.join(rest, "key", "left")
+    at = F.when(F.col("pure").isNull(), F.xxhash64(F.lit(0), F.pmod(F.xxhash64("component"), F.col("rest")))).otherwise(F.xxhash64("pure", F.pmod(F.xxhash64("c"), F.col("parts"))))
+    cut = staged(rows.join(size.select("key", "component", "pure", "parts", "rest"), ["key", "component"]).withColumn("tile", at).select("key", "tile", "pure", "c"), "tiles")
+    of_key = cut.select("key", "tile", "pure").distinct()
+    x, y = of_key.alias("x"), of_key.alias("y")
+    meets = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") <= F.col("y.tile"))).where("x.pure is null or y.pure is null or x.pure <> y.pure")
+    meets = meets.select(F.col("x.key").alias("key"), F.col("x.tile").alias("a"), F.col("y.tile").alias("b"), F.xxhash64("x.key", "x.tile", "y.tile").alias("job"))
+    one = meets.join(cut, (meets.key == cut.key) & (meets.a == cut.tile)).select(meets.job.alias("g"), "job", whole, "c")
+    two = meets.where("a <> b").join(cut, (meets.key == cut.key) & (meets.b == cut.tile)).select(meets.job.alias("g"), "job", F.lit(1).alias("side"), "c")
+    across = staged(forest(one.unionByName(two), named, percent), "across-links")
+    return inside.unionByName(met).unionByName(across)
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
+    tile_rows: int = 4096, tile_elements: int = 1 << 22, group_elements: int = 1 << 21,
+) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     rows = documents(docs, id_col, text_col)
-    profiled = staged(profile(rows, words), "profile")
-    docs_of = profiled.where("kind = 0")
-    live = docs_of.where("n > 0 and doc_id is not null")
-    hot = [(r.cell, r.total) for r in profiled.where("kind = 1").groupBy(F.col("doc_id").alias("cell")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "cell").limit(HOT_CELLS).collect()]
-    classes = staged(live.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("point").alias("point"), F.first("coarse").alias("coarse")), "classes")
-
-    block = staged(blocks(keys(rows.where("doc_id is not null"), words, percent, hot)), "blocks")
-    in_blocks = classes.join(block.select("s1", "s2").distinct(), ["s1", "s2"], "left_semi")
-    points = staged(in_blocks.select("s1", "s2", "rep", "point", "coarse"), "points")
-    stars = block.where("s1 != l1 or s2 != l2").select(F.col("l1").alias("a1"), F.col("l2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    tried = staged(bounded(ordered(stars).distinct(), points, percent), "star-pairs")
-    ends = points.select("s1", "s2", "rep")
-
-    def edges(pairs: DataFrame) -> DataFrame:
-        u = pairs.join(ends.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("rep").alias("u")), ["a1", "a2"])
-        return u.join(ends.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("rep").alias("v")), ["b1", "b2"]).select("u", "v")
-
-    star_links = staged(edges(verified(tried, class_sets(rows, points, tried, words), percent)), "links")
-    first = components(star_links)
-
-    labelled = points.join(first, points.rep == first.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    placed = staged(block.join(labelled, ["s1", "s2"]), "placed")
-    # keys with one component have nothing to join, of keys with the same classes one is enough, and two classes
-    # that were offered to each other, or whose sizes are too far apart, are done
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).head().bytes or 0
+    bits = min(32, math.ceil(size / 6 / BUCKET).bit_length())  # a word and its space have about six bytes
+    profiled = staged(profile(rows, words, bits), "profile")
+    docs_of = profiled.where("kind = 0").select("doc_id", "n", "s1", "s2")
+    named = docs_of.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
+    classes = staged(named.withColumn("c", F.monotonically_increasing_id()), "classes")
+
+    with_id = rows.where("doc_id is not null")
+    shared = staged(blocks(keys(with_id, words, percent, bits, frequent(profiled, bits))), "blocks")
+    placed = shared.join(classes.select("s1", "s2", "c", "n"), ["s1", "s2"]).select("key", "c", "n")
     marks = placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.sum(F.when((F.col("s1") != F.col("l1")) | (F.col("s2") != F.col("l2")), 1).otherwise(0)).alias("offers"),
-        F.bit_xor(F.xxhash64("s1", "s2")).alias("h1"), F.bit_xor(F.xxhash64("s2", F.lit(1), "s1")).alias("h2"),
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min("c").alias("first"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.bit_xor(F.xxhash64("c")).alias("h1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("h2"),
     )
-    open_ = marks.where((F.col("lo") != F.col("hi")) & ((F.col("m") > 2) | (F.col("offers") == 0) & (F.col("most") * percent <= F.col("least") * 100)))
-    trees = open_.groupBy("m", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m")
-    members = staged(placed.select("key", "n", "s1", "s2", "component").join(trees, "key"), "trees").join(points.select("s1", "s2", F.col("coarse").alias("point")), ["s1", "s2"])
-    offered = tree_pairs(staged(members, "tree-points"), percent).join(tried, ["a1", "a2", "b1", "b2"], "left_anti")
-    offered = staged(bounded(staged(offered, "tree-pairs"), points, percent), "bounded-pairs")
-    more = staged(edges(verified(offered, class_sets(rows, points, offered, words), percent)), "links")
-    final = components(star_links.unionByName(more))
-
-    of_class = classes.join(final, classes.rep == final.node, "left").select("s1", "s2", "rows", "rep", "component").where("rows > 1 or component is not null")
-    of_class = of_class.select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    # of keys with the same classes one is enough, and two classes whose sizes are too far apart are done
+    wanted = marks.where((F.col("m") > 1) & ((F.col("m") > 2) | (F.col("most") * percent <= F.col("least") * 100)))
+    wanted = wanted.groupBy("m", "w", "first", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m", "w", "first")
+    members = staged(placed.join(wanted, "key"), "members")
+
+    held = members.select("c").distinct().join(classes.select("c", "s1", "s2", F.col("rep").alias("doc_id")), "c")
+    sets = class_sets(with_id, staged(held, "wanted"), words)
+    fits = (F.col("m") <= tile_rows) & (F.col("w") <= tile_elements)
+    total, large = members.agg(F.sum(F.when(fits, F.col("n"))), F.coalesce(F.bool_or(~fits), F.lit(False))).head()
+    groups = max(1, math.ceil((total or 0) / group_elements))
+    links = staged(forest(members.where(fits).select(F.pmod(F.xxhash64("first"), F.lit(groups)).alias("g"), F.col("key").alias("job"), F.lit(0).alias("side"), "c"), sets, percent), "links")
+    if large:
+        links = links.unionByName(tiled(members.where(~fits), sets, links, percent, tile_rows, tile_elements))
+    final = components(links)
+
+    of_class = classes.join(final, classes.c == final.node, "left").select("s1", "s2", "rows", "rep", "component")
+    least = of_class.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    of_class = of_class.where("rows > 1 or component is not null").join(least, "component", "left").select("s1", "s2", F.coalesce("least", "rep").alias("component_id"))
     out = docs_of.join(of_class, ["s1", "s2"], "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))

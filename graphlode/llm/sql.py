@@ -28,7 +28,7 @@ FROM d
 
 OP5 = r"""
 WITH l AS (
-  SELECT doc_id, i, line, lower_az(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')) AS k
+  SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
         FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
 ), f AS (
@@ -39,7 +39,7 @@ WITH l AS (
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
-""".replace("lower_az(", "translate(").replace("'[\\x20\\x09-\\x0D]+$', ''))", "'[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+"""
 
 OP4 = r"""
 WITH RECURSIVE w AS (

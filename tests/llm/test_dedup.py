@@ -3,13 +3,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from graphlode.llm.components import components
 from graphlode.llm.exact_dedup import FuseFilter, exact_duplicates
 from graphlode.llm.line_dedup import dedup_lines
-from graphlode.llm.ngram_join import Points, RTree, near_duplicates, point, prefix_length, shingle_sets, tree_pairs
+from graphlode.llm.ngram_join import RTree, connect, counted, fineness, near_duplicates, pack, point, prefix_length, shingle_sets, unpack
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -105,12 +104,25 @@ def test_chain_is_one_component(spark):
 
 
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
-    rows = near_duplicates(odd_docs).collect()
-    assert len(rows) == odd_docs.count()
-    assert all(r.component_id is None for r in rows if r.doc_id is None)
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    want = brute_near(list(enumerate(t for i, t in rows if i is not None)))
+    ids = [i for i, _ in rows if i is not None]
+    reached = defaultdict(list)
+    for at, (_, label) in want.items():
+        reached[label].append(ids[at])
+    named = sorted((ids[at], n, min(reached[label])) for at, (n, label) in want.items())
+    got = near_duplicates(odd_docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == named
+    assert sum(r.doc_id is None and r.component_id is None for r in got) == 5
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_nodes_of_their_own(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect()) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+
+
 def test_prefix_is_long_enough():
     for n in range(1, 300):
         least = -(-80 * n // 100)  # any partner shares at least this many
@@ -125,45 +137,108 @@ def test_shingles_count_words_as_the_pattern_does():
 
 
 def test_rtree_loses_no_pair():
-    points = np.random.default_rng(5).integers(0, 12, (300, 64))
-    points[150:] = points[:150] + np.random.default_rng(6).integers(0, 2, (150, 64))
-    t = RTree(points)
-    got = {(a, b) for p, q in t.join(t, 80) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
-    for a in range(300):
+    points = np.random.default_rng(5).integers(0, 12, (3000, 64))
+    points[1500:] = points[:1500] + np.random.default_rng(6).integers(0, 2, (1500, 64))
+    t = RTree(points[:2900])
+    got = {(min(a, b), max(a, b)) for p, q in t.join(t, 80) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+    other = RTree(points[2900:])
+    got |= {(a, 2900 + b) for p, q in t.join(other, 80) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+    got |= {(2900 + min(a, b), 2900 + max(a, b)) for p, q in other.join(other, 80) for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+    for a in range(0, 3000, 10):
         bound = np.minimum(points[a], points).sum(1) * 180 >= 80 * (points[a].sum() + points.sum(1))
-        assert {b for b in range(300) if bound[b]} == {b for x, b in got if x == a}
+        assert {b for b in range(a + 1, 3000) if bound[b]} == {b for x, b in got if x == a}
 
 
-def test_large_trees_are_tiled(spark, monkeypatch):
-    from graphlode.llm import ngram_join
+def near_sets(n: int) -> list[np.ndarray]:
+    """Groups of near copies, and sets that are near none."""
+    rng, out = np.random.default_rng(9), []
+    for i in range(n):
+        if i % 10 == 0:
+            base = np.unique(rng.integers(0, 2**63, int(rng.integers(5, 300)), dtype=np.uint64) * 2)
+        out.append(base[rng.random(len(base)) < 0.93] if i % 10 else base)
+    return [s for s in out if len(s)]
 
-    rng = np.random.default_rng(9)
-    points = [rng.integers(1, 5, 64).astype("u1") for _ in range(30)]
-    rows = [(1, 60, i, i, int(points[i // 2].sum()), i, bytes([6, 1]) + points[i // 2].tobytes()) for i in range(60)]
-    members = spark.createDataFrame(rows, "key long, m long, s1 long, s2 long, n long, component long, point binary")
-    whole = {tuple(r) for r in tree_pairs(members, 80).collect()}
-    monkeypatch.setattr(ngram_join, "TILE", 7)
-    assert {tuple(r) for r in tree_pairs(members, 80).collect()} == whole
-    assert {(2 * i, 2 * i, 2 * i + 1, 2 * i + 1) for i in range(30)} <= whole
+
+def test_connect_finds_the_components():
+    sets = near_sets(200)
+    every, none = np.arange(len(sets)), np.empty(0, np.int64)
+    want = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(np.intersect1d(a, b)) * 180 >= 80 * (len(a) + len(b)):
+                want[want == want[i]] = want[j]
+    for jobs in ([(every, none)], [(every[:90], none), (every[90:], none), (every[:90], every[90:])]):
+        links = connect(sets, every, jobs, 80)
+        label = np.arange(len(sets))
+        for i, j in links:
+            assert label[i] != label[j]
+            label[label == label[i]] = label[j]
+        assert len(np.unique(label)) == len(np.unique(want)) == len({*zip(label.tolist(), want.tolist(), strict=True)})
+
+
+def test_connect_verifies_copies_in_proportion_to_their_number(monkeypatch):
+    base = np.unique(np.random.default_rng(1).integers(0, 2**63, 400, dtype=np.uint64) * 2)
+    sets, calls, real = [np.delete(base, i) for i in range(300)], [], np.intersect1d
+    monkeypatch.setattr(np, "intersect1d", lambda *a, **b: calls.append(1) or real(*a, **b))
+    every = np.arange(300)
+    assert len(connect(sets, every, [(every, np.empty(0, np.int64))] * 50, 80)) == 299
+    assert len(calls) == 299
+
+
+def test_large_blocks_are_tiled(spark, docs, corpus):
+    rows = [(r[0], r[1]) for r in corpus]
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    for i in range(60):  # some near copies, some too far from all
+        words = list(base)
+        for k in rng.integers(0, 60, int(rng.integers(0, 5))):
+            words[k] = f"x{i}-{k}"
+        rows.append((1000 + i, " ".join(words)))
+    small = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(small, tile_rows=5, tile_elements=500, group_elements=500).collect()}
+    assert got == brute_near(rows)
 
 
 def test_points_bound_overlaps():
     rng = np.random.default_rng(11)
     sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * 2) for n in (10, 300, 600, 2500, 9000)]
     sets += [s[: int(len(s) * 0.9)] for s in sets]
-    points = Points(pa.array([point(s) for s in sets]))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            both = len(np.intersect1d(a, b))
-            if both * 180 >= 80 * (len(a) + len(b)):
-                assert points.allow(np.array([i]), points, np.array([j]), 80)[0]
-    assert not points.allow(np.array([3]), Points(pa.array([point(np.unique(rng.integers(0, 2**63, 2500, dtype=np.uint64)))])), np.array([0]), 80)[0]
+    for bits in range(6, 13):
+        points = [point(s, bits) for s in sets]
+        for a, p in zip(sets, points, strict=True):
+            for b, q in zip(sets, points, strict=True):
+                assert np.minimum(p, q).sum() >= len(np.intersect1d(a, b))
+    assert [fineness(n) for n in (1, 64, 65, 4096, 10**6)] == [6, 6, 7, 12, 12]
+
+
+def test_packed_counts():
+    values = np.array([0, 1, 5, 2**32 - 1, 7], np.uint32)
+    assert (unpack(pack(values)) == values).all() and not len(unpack(pack(values[:0])))
+    s = np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64, endpoint=False)
+    s = np.concatenate([s, s[:100], s[:10]])
+    for bits in (0, 1, 5):
+        want = Counter((s >> np.uint64(32 - bits)).tolist())
+        got = {}
+        for bucket, gaps, times in counted(s, bits):
+            got |= {(bucket << 32) + int(v): int(t) for v, t in zip(np.cumsum(unpack(gaps), dtype=np.uint32), unpack(times), strict=True)}
+        assert got == want
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(1, 50)] + [(100, 200), (200, 300), (300, 100), (7, 7)]
+    edges = [(i, i + 1) for i in range(1, 50)] + [(100, 200), (200, 300), (300, 100), (7, 7), (8, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(1, 51)} | {100: 100, 200: 100, 300: 100}
+    assert components(spark.createDataFrame([(7, 7)], "u long, v long")).count() == 0
+
+
+def test_a_long_chain_takes_few_steps(spark, monkeypatch):
+    from graphlode.llm import components as module
+
+    steps, real = [], module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: steps.append(name) or real(df, name))
+    chain = spark.range(10_000).selectExpr("id as u", "id + 1 as v")
+    assert module.components(chain).groupBy("component").count().collect() == [(0, 10_001)]
+    assert len(steps) <= 20
 
 
 def test_batches_merge_by_verified_positives(spark, docs, monkeypatch):
