@@ -3,15 +3,15 @@
 The model holds, for each known word, its smoothed log frequency in each language, and the same for the
 character n-grams (5 to 1 letters) of words. A word of a text that is known is scored by its own
 frequencies. An unknown one falls back to the longest n-gram length at which any of its n-grams is
-known, and takes their mean. A text's language has the largest sum over its words; the score is its
+known, and takes their mean. A text's language has the largest sum over its words (of equal sums, the first name); the score is its
 posterior share under equal priors, with the mean word's evidence counted `evidence` times.
 
-Words are runs of letters, lower-cased; bytes of other alphabets count as letters. Both tables are hashed
-and hold at most `max_words` words and `max_grams` n-grams (the most frequent), so the broadcast model has a
-bounded size. It is learned from at most `sample` rows of each language (those with the smallest hash of the id).
+Words are runs of letters of any alphabet and of the marks that combine with them, lower-cased. Words and n-grams are
+known if the sample holds them `least` times; all of these are in the model, by 64-bit hashes. It is learned from at most `sample`
+rows of each language (those with the smallest hash of the id), which is what bounds its size.
 
 Defined results: a null text, a text without a letter, and any text when nothing could be learned are `und`
-with score 0. Rows without language teach nothing.
+with score 0. Rows without language or id teach nothing. Rows that repeat an id are predicted one by one, and all teach if one does.
 
 Beside these, `identify` tells how many words a text has and which share of them the model knows (coverage). `coverage_floor`
 gives the least coverage of a text in a learned language; texts of fewer than `MIN_WORDS` words have too little evidence for it.
@@ -19,11 +19,13 @@ gives the least coverage of a text in a learned language; texts of fewer than `M
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,8 @@ UNDETERMINED = "und"
 #: Fewer words tell nothing by their coverage. A lesser coverage speaks of no learned language, if KEEP_SHARE of held-out labelled rows reach it.
 MIN_WORDS, LEAST_COVERAGE, KEEP_SHARE = 20, 0.2, 0.995
 GRAMS = (5, 4, 3, 2, 1)
-HAS_LETTER = regex.compile(r"\p{L}")
-LETTER = np.zeros(256, bool)
-LETTER[97:123] = LETTER[65:91] = LETTER[128:] = True
+#: Words and n-grams that a task holds counts of before it sends them on.
+HELD = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,24 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+@cache
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it is a letter, and whether it is one or a mark that combines with letters."""
+    kinds = [unicodedata.category(chr(i))[0] for i in range(sys.maxunicode + 1)]
+    letter = np.array([k == "L" for k in kinds])
+    return letter, letter | np.array([k == "M" for k in kinds])
+
+
+def _lowered(texts: list[str]) -> Words:
+    return Words.of_characters([t.lower() for t in texts], letters()[1])
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def _spans(words: Words, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-byte windows of the words numbered `which`, and the place in `which` each belongs to."""
+    """Hashes of the n-character windows of the words numbered `which`, and the place in `which` each belongs to."""
     counts = np.maximum(words.ends[which] - words.starts[which] - n + 1, 0)
     owner = np.repeat(np.arange(len(which)), counts)
     if not len(owner):
@@ -66,58 +83,106 @@ def _spans(words: Words, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return words.sums.spans(starts, starts + n), owner
 
 
-def _lowered(texts: list[str]) -> Words:
-    return Words([t.lower().encode() for t in texts], letter=LETTER)
+class Tally:
+    """Counts by kind (0 words, else the length of n-grams), language and hash, as arrays."""
+
+    def __init__(self):
+        self.counts: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, kind: int, lang: int, hashes: np.ndarray, times: np.ndarray) -> None:
+        if len(hashes):
+            self.counts.setdefault((kind, lang), []).append((hashes, times))
+            self.size += len(hashes)
+
+    def texts(self, texts: list[str], langs: np.ndarray) -> None:
+        """The words of texts and the n-grams of these, counted for each distinct word once."""
+        words = _lowered(texts)
+        of_word = langs[words.owner()]
+        for lang in np.unique(of_word).tolist():
+            at = np.flatnonzero(of_word == lang)
+            hashes, first, times = np.unique(words.hashes[at], return_index=True, return_counts=True)
+            self.add(0, lang, hashes, times)
+            for n in GRAMS:
+                found, owner = _spans(words, at[first], n)
+                self.add(n, lang, *_summed(found, times[owner]))
+
+    def merge(self) -> None:
+        self.counts = {k: [_summed(*map(np.concatenate, zip(*v, strict=True)))] for k, v in self.counts.items()}
+        self.size = sum(len(v[0][0]) for v in self.counts.values())
+
+    def batch(self, n_langs: int) -> pa.RecordBatch:
+        """kind, hash, and a count for each language; what was held is let go."""
+        self.merge()
+        rows = [(kind, lang, h, t) for (kind, lang), [(h, t)] in self.counts.items()]
+        columns = [pa.array(np.concatenate([np.full(len(h), kind) for kind, _, h, _ in rows])), pa.array(np.concatenate([h for _, _, h, _ in rows]).view(np.int64))]
+        columns += [pa.array(np.concatenate([t if lang == j else np.zeros(len(h), np.int64) for _, lang, h, t in rows])) for j in range(n_langs)]
+        self.__init__()
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "hash", *(f"n{j}" for j in range(n_langs))])
+
+
+def _summed(hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, of = np.unique(hashes, return_inverse=True)
+    return keys, np.bincount(of, weights=times, minlength=len(keys)).astype(np.int64)
 
 
-def _tally(kind: int, hashes: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int) -> list[tuple]:
-    keys, of = np.unique(hashes, return_inverse=True)
-    table = np.zeros((len(keys), n_langs), np.int64)
-    np.add.at(table, (of, langs), counts)
-    at, lang = np.nonzero(table)
-    return [(kind, int(k), int(v), int(n)) for k, v, n in zip(keys[at].view(np.int64), lang, table[at, lang], strict=True)]
+def sampled(usable: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang): the `sample` rows of each language with the smallest hash of the id.
+
+    Counts give a bound on the hash that about twice as many rows reach; only these are ordered, so no task holds a language's rows.
+    """
+    ids = usable.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
+    counts = {r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}
+    scale = 2.0
+    while True:
+        bounds = [(k, int(min(1.0, scale * sample / n) * 2**64) - 2**63) for k, n in counts.items()]
+        below = ids.sparkSession.createDataFrame([(k, min(b, 2**63 - 1)) for k, b in bounds], "lang string, most long")
+        near = staged(ids.join(F.broadcast(below), "lang").where("h <= most").select("doc_id", "lang", "h"), "sample")  # a row for each language
+        held = {r.lang: r["count"] for r in near.groupBy("lang").count().collect()}
+        if all(held.get(k, 0) >= min(sample, n) for k, n in counts.items()):
+            break
+        scale *= 4
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return near.withColumn("at", place).where(F.col("at") <= sample).select("doc_id", "lang").distinct()
 
 
-def fit(docs: DataFrame, sample: int = 4_000, max_words: int = 100_000, max_grams: int = 50_000) -> LanguageModel:
+def fit(docs: DataFrame, sample: int = 4_000, least: int = 2) -> LanguageModel:
     """docs: doc_id, text, lang (rows to learn from)."""
-    usable = docs.where("text is not null and lang is not null and doc_id is not null")
-    ranked = usable.select("doc_id", "lang").withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    ids = ranked.where(F.col("at") <= sample).select("doc_id").distinct()
+    usable = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     names = sorted(r[0] for r in usable.select("lang").distinct().collect())
     if not names:
         return LanguageModel([], np.empty(0, np.uint64), np.empty((0, 0)), {})
-    number = {n: i for i, n in enumerate(names)}
-    chosen = usable.join(F.broadcast(ids), "doc_id").select("text", "lang")  # at most sample ids a language
+    number, k = {n: i for i, n in enumerate(names)}, len(names)
+    chosen = usable.join(F.broadcast(sampled(usable, sample)), ["doc_id", "lang"]).select("text", "lang")  # at most sample ids a language
 
     def count(batches):
+        tally = Tally()
         for b in batches:
-            langs = np.array([number[x] for x in b.column(1).to_pylist()])
-            out = []
+            langs = np.array([number[x] for x in b.column(1).to_pylist()], np.int64)
             for first, texts in slices(b.column(0)):
-                words = _lowered(texts)
-                lang = langs[first : first + len(texts)][words.owner()]
-                out += _tally(0, words.hashes, lang, np.ones(len(lang), np.int64), len(names))
-                every = np.arange(len(words.hashes))
-                for n in GRAMS:
-                    hashes, owner = _spans(words, every, n)
-                    out += _tally(n, hashes, lang[owner], np.ones(len(owner), np.int64), len(names))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["kind", "hash", "lang_no", "n"])
-
-    counts = staged(chosen.mapInArrow(count, "kind long, hash long, lang_no long, n long").groupBy("kind", "hash", "lang_no").agg(F.sum("n").alias("n")), "language-counts")
-    totals = {(r.kind, r.lang_no): r.n for r in counts.groupBy("kind", "lang_no").agg(F.sum("n").alias("n")).collect()}
-
-    def table(kind: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-        top = counts.where(F.col("kind") == kind).groupBy("hash").agg(F.sum("n").alias("all")).where("all > 1").orderBy(F.desc("all"), "hash").limit(most)
-        rows = counts.where(F.col("kind") == kind).join(top.select("hash"), "hash").select("hash", "lang_no", "n").toArrow()
-        keys, of = np.unique(rows["hash"].to_numpy().view(np.uint64), return_inverse=True)
-        found = np.zeros((len(keys), len(names)))
-        found[of, rows["lang_no"].to_numpy()] = rows["n"].to_numpy()
-        total = np.array([totals.get((kind, i), 0) for i in range(len(names))])
-        return keys, np.log(found + 0.5) - np.log(total + 0.5 * (len(keys) + 1))
-
-    words, logs = table(0, max_words)
-    return LanguageModel(names, words, logs, {n: table(n, max_grams // len(GRAMS)) for n in GRAMS})
+                tally.texts(texts, langs[first : first + len(texts)])
+                if tally.size > HELD:
+                    tally.merge()
+                    if tally.size > HELD // 2:
+                        yield tally.batch(k)
+        if tally.size:
+            yield tally.batch(k)
+
+    per_lang = [f"n{j}" for j in range(k)]
+    counts = chosen.mapInArrow(count, "kind long, hash long, " + ", ".join(f"{c} long" for c in per_lang)).groupBy("kind", "hash").agg(*(F.sum(c).alias(c) for c in per_lang))
+    counts = staged(counts, "language-counts")
+    totals = {r.kind: np.array([r[c] for c in per_lang]) for r in counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in per_lang)).collect()}
+    found = counts.where(sum((F.col(c) for c in per_lang), F.lit(0)) >= least).toArrow()
+    kinds, hashes, matrix = found["kind"].to_numpy(), found["hash"].to_numpy().view(np.uint64), np.stack([found[c].to_numpy() for c in per_lang], axis=1)
+
+    def table(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(kinds == kind)
+        at = at[np.argsort(hashes[at])]
+        logs = np.log(matrix[at] + 0.5) - np.log(totals.get(kind, np.zeros(k)) + 0.5 * (len(at) + 1))
+        return hashes[at], logs.astype(np.float32)
+
+    words, logs = table(0)
+    return LanguageModel(names, words, logs, {n: table(n) for n in GRAMS})
 
 
 def score_texts(model: LanguageModel, texts: list[str], evidence: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +231,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 counts.extend(n_words)
                 known.extend(coverage)
                 for text, i, s in zip(texts, best, share, strict=True):
-                    ok = i >= 0 and HAS_LETTER.search(text)
+                    ok = i >= 0 and has_letter(text)
                     langs.append(model.languages[i] if ok else UNDETERMINED)
                     scores.append(float(s) if ok else 0.0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(known, pa.float64()), *(b.column(c) for c in carried)], names=["doc_id", "lang_pred", "score", "n_words", "coverage", *carried])

@@ -38,13 +38,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sums:
-    """Running sums from which the hash of any span of bytes is read."""
+    """Running sums from which the hash of any span is read. values: a number for each byte or character."""
 
-    def __init__(self, data: np.ndarray, lower: bool):
-        n = len(data)
+    def __init__(self, values: np.ndarray):
+        n = len(values)
         p, self.inverse = powers(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _VALUES)[data] * p[:n], out=self.sums[1:])
+        np.cumsum(values * p[:n], out=self.sums[1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
@@ -53,15 +53,24 @@ class Sums:
 class Words:
     """The words of some texts: hash, start and end of each, and `of`, where each text's words begin."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False, letter: np.ndarray | None = None):
+    def __init__(self, texts: list[bytes], lower: bool = False):
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        self.data, self.sums = data, Sums(data, lower)
-        inside = (~WHITE if letter is None else letter)[data]
+        self.find((_LOWER if lower else _VALUES)[data], ~WHITE[data], [len(t) for t in texts])
+
+    def find(self, values: np.ndarray, inside: np.ndarray, sizes: list[int]) -> None:
+        """Words are the runs of places inside; texts of these sizes follow each other, with one place between."""
+        self.sums = Sums(values)
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
         self.starts, self.ends = edge[::2], edge[1::2]
         self.hashes = self.sums.spans(self.starts, self.ends)
-        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.of = np.searchsorted(self.starts, begins)
+        self.of = np.searchsorted(self.starts, np.cumsum([0, *(n + 1 for n in sizes)]))
+
+    @classmethod
+    def of_characters(cls, texts: list[str], letter: np.ndarray) -> Words:
+        """Words of characters for which `letter` (by code point) holds; places are characters."""
+        words, data = cls.__new__(cls), np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), "<u4")
+        words.find(mix(data + np.uint64(_P)), letter[data], [len(t) for t in texts])
+        return words
 
     def owner(self) -> np.ndarray:
         """The number of the text of each word."""

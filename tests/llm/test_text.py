@@ -1,15 +1,19 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
+import regex
 import zstandard
+from pyspark.sql import functions as F
 
 from graphlode.llm.html_text import extract, main_text, mark_shared, page_lines, shared_lines
-from graphlode.llm.language import held_out, language_id
+from graphlode.llm.language import held_out, language_id, sampled
 from graphlode.llm.quality import quality_rules, threshold_of
 from graphlode.llm.warc import parse, read_archives, read_record, write_archives
 
@@ -145,6 +149,65 @@ def test_language(spark, no_docs, odd_docs):
     assert docs.where(held_out()).count() == sum(r.held_out for r in got.values())
 
 
+def brute_languages(rows, evidence=20.0, least=2):
+    """Plain Python over strings: rows (doc_id, text, lang) -> doc_id: (lang, score, words, known words)."""
+    word = regex.compile(r"[\p{L}\p{M}]+")
+    names = sorted({lang for _, t, lang in rows if t is not None and lang is not None})
+    grams = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)]
+    counts = {n: {lang: Counter() for lang in names} for n in range(6)}
+    for i, t, lang in rows:
+        if i is None or t is None or lang is None or zlib.crc32(str(i).encode()) % 5 == 0:
+            continue
+        for w in word.findall(t.lower()):
+            for n in range(6):
+                counts[n][lang].update(grams(w, n) if n else [w])
+    logs = {}
+    for n, by in counts.items():
+        known = [g for g, c in sum(by.values(), Counter()).items() if c >= least]
+        logs[n] = {g: [math.log(by[x][g] + 0.5) - math.log(by[x].total() + 0.5 * (len(known) + 1)) for x in names] for g in known}
+    out = []
+    for i, t, _ in rows:
+        words, found = word.findall((t or "").lower()), []
+        for w in words:
+            hits = [logs[0][w]] if w in logs[0] else next((x for n in (5, 4, 3, 2, 1) if (x := [logs[n][g] for g in grams(w, n) if g in logs[n]])), [[0.0] * len(names)])
+            found.append([sum(c) / len(hits) for c in zip(*hits, strict=True)])
+        if not words or not regex.search(r"\p{L}", t):
+            out.append((i, "und", 0.0))
+            continue
+        mean = [sum(c) / len(words) * min(len(words), evidence) for c in zip(*found, strict=True)]
+        share = [math.exp(x - max(mean)) for x in mean]
+        best = max(range(len(names)), key=lambda j: (share[j], -j))
+        out.append((i, names[best], share[best] / sum(share)))
+    return out
+
+
+def test_language_equals_a_plain_scorer(spark):
+    rng = random.Random(3)
+    vocabulary = {"de": ["straße", "über", "haus—hof", "wasser", "ein", "im"], "el": ["σπίτι", "νερό", "και", "το", "ένα"], "en": ["house", "water", "“and”", "the", "one", "im"], "hi": ["पानी", "घर", "और", "एक"]}
+    rows = [(i, " ".join(rng.choices(vocabulary[x], k=rng.randint(1, 40))), x) for i, x in enumerate(["de", "el", "en", "hi"] * 30)]
+    rows += [(500 + i, "".join(rng.choices("abeinrstuwσνήपा", k=9)) + " 12 " + rng.choice(["im", "", "wasserhaus"]), None) for i in range(40)]
+    rows += [(600, "im im", "de"), (601, "im im", "en"), (602, None, "de"), (603, "", "en"), (604, "1 2 ́", "en"), (605, "İm IM", None), (1, "the the", "en"), (1, "the the", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = sorted((i, lang, round(score, 4)) for i, lang, score in brute_languages(rows))
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 4)) for r in language_id(docs).collect()) == want
+
+
+def test_equal_evidence_goes_to_the_first_name(spark):
+    rows = [(i, "same words here", "ba"[i % 2]) for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:1000]
+    rows = [r for x in "ab" for r in [y for y in rows if y[2] == x][:400]] + [(5000, "same words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r.lang_pred, round(r.score, 6)) for r in language_id(docs).collect()} == {("a", 0.5)}
+
+
+def test_sample_takes_the_smallest_hashes(spark):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "if(id < 30, 'few', if(id % 3 = 0, 'b', 'a')) as lang")
+    got = {(r.doc_id, r.lang) for r in sampled(rows, 100).collect()}
+    by = {}
+    for r in rows.withColumn("h", F.xxhash64("doc_id")).collect():
+        by.setdefault(r.lang, []).append((r.h, r.doc_id))
+    assert got == {(i, lang) for lang, x in by.items() for _, i in sorted(x)[:100]}
+
+
 def texts_of(spark, rows, parts=1):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
     return {r.page_id: r.text for r in extract(pages).collect()}
