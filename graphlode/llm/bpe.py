@@ -4,8 +4,8 @@ A piece is a doubly linked list of symbols. A priority queue holds (merge rank,
 pairs; a popped entry is stale, and skipped, when its symbols have changed since. Merging links the right
 neighbour out and offers the two pairs that arise. Decoding concatenates the vocabulary strings.
 
-Each distinct chunk between white space is normalised, split and merged once in a worker's table of bounded
-size. Normalising and splitting are done here for letters and signs whose classes all Unicode versions share,
+Each distinct chunk between white space is normalised, split and merged once in a worker's tables, which hold at most `limit` characters
+together; a chunk or piece of more than LONG characters is never held. Normalising and splitting are done here for letters and signs whose classes all Unicode versions share,
 and by the tokenizer's own normaliser and pre-tokenizer for other chunks.
 
 Defined results: null and empty texts have no ids (n_tokens 0, the digests of the empty string).
@@ -31,12 +31,29 @@ PLAIN = regex.compile(r"[!-~¡-§©«¬®¶·»¿À-ÖØ-ķŁ-ňŊ-ž–—‘
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: str.split cuts at these, the tokenizer's white space does not hold them.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+LONG = 200
+
+
+class Table(dict):
+    """Results by string, emptied before the strings (and about five times as much in results) pass `limit` characters; long strings are left out."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, 0
+
+    def hold(self, key: str, value):
+        if len(key) <= LONG:
+            self.held += len(key) + 20
+            if self.held > self.limit:
+                self.clear()
+                self.held = len(key) + 20
+            self[key] = value
+        return value
 
 
 class WordBpe:
     """The model of a tokenizer file: text -> (number of ids, ids in decimal, decoded text)."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 8 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +69,7 @@ class WordBpe:
         self.letters = byte_letters()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.limit, self.chunks, self.pieces = limit, {}, {}
+        self.chunks, self.pieces = Table(limit), Table(limit // 2)
 
     def merge(self, piece: str) -> list[str]:
         """The symbols of a byte-lettered piece after all merges."""
@@ -82,11 +99,7 @@ class WordBpe:
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            got = self.pieces[piece] = tuple([self.vocab[s] for s in self.merge(piece)])
-        return got
+        return self.pieces.hold(piece, tuple([self.vocab[s] for s in self.merge(piece)])) if got is None else got
 
     def split(self, chunk: str) -> list[str]:
         """Byte-lettered pieces of a chunk."""
@@ -98,11 +111,8 @@ class WordBpe:
         return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        if len(self.chunks) >= self.limit:
-            self.chunks.clear()
         ids = [i for p in self.split(chunk) for i in self._piece(p)]
-        got = self.chunks[chunk] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        return got
+        return self.chunks.hold(chunk, (len(ids), " ".join(map(str, ids)), self.decode(ids)))
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings joined by a space, as a tokenizer without decoder does."""

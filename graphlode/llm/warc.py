@@ -9,7 +9,7 @@ the front; `read_record` reads the end of the file, one frame and nothing else.
 Bundles are cut from rows dealt by ranges of the id, written under a name that depends on the
 partition alone: a task that is run again writes the same bytes, first to a name of its own and then
 renamed. A payload is stored once: records with an equal, long enough payload point to the one
-with the smallest id.
+with the smallest id. Payloads are equal when their SHA-256 and length are; the SHA-1 is the record's digest alone.
 
 Defined results: a null payload is the empty one, a null url is left out. A row without id is always
 a response and is referred to by none. Rows that repeat the smallest id are all responses.
@@ -126,7 +126,10 @@ def read_record(path: str, page_id: int) -> tuple[dict[str, str], bytes]:
                 break
             want = min(size, want * 4)
         frames, places = bundle_tables(tail, size)
-        frame, offset = next((p[1], p[2]) for p in places if p[0] == page_id)
+        place = next((p for p in places if p[0] == page_id), None)
+        if place is None:
+            raise KeyError(page_id)
+        _, frame, offset, _ = place
         at, packed, _ = frames[frame]
         data = zstandard.ZstdDecompressor().decompress(f.read_at(packed, at))
     head, payload, _ = parse(data, offset)
@@ -139,7 +142,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     path = path or shared_dir(spark, "warc")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")
-    ).withColumn("row_key", F.sha1("payload"))
+    ).withColumn("row_key", F.concat(F.sha2("payload", 256), F.lit("/"), F.octet_length("payload").cast("string")))
     first = (
         rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("row_key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
     )

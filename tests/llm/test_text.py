@@ -47,9 +47,18 @@ def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(0)
     for _ in range(500):
         a, b = (["abcd"[rng.randrange(4)] for _ in range(rng.randint(0, 9))] for _ in range(2))
-        got = sorted(shared_lines(a, b))
-        rest = iter(b)
-        assert len(got) == lcs(a, b) and all(a[i] in rest for i in got)
+        for most in (1 << 28, 0, 20):
+            got = sorted(shared_lines(a, b, most))
+            rest = iter(b)
+            assert len(got) == lcs(a, b) and all(a[i] in rest for i in got)
+
+
+def test_long_pages():
+    a, b = ([f"line {x} {i}" for i in range(30_000)] for x in "ab")
+    a[::100] = b[::100] = [f"both {i}" for i in range(300)]
+    assert sorted(shared_lines(a, b, 1 << 26)) == list(range(0, 30_000, 100))
+    deep = "<div>" * 50_000 + "text" + "</span></section>" * 50_000 + "</div>" * 50_000
+    assert main_text(page_lines(deep)) == "text"
 
 
 def test_extract(spark):
@@ -85,7 +94,7 @@ def test_warc(spark, tmp_path):
     for path in held:
         try:
             head, payload = read_record(path, 9)
-        except StopIteration:
+        except KeyError:
             continue
         assert payload == ("é" * 1000).encode() and head["WARC-Type"] == "response"
         break
@@ -254,6 +263,22 @@ def test_marks_leave_the_article():
     assert text('<article hidden><p>No</article><div class="site-banner">No</div><div>Text</div>') == "Text"
 
 
+def test_clashing_labels_count_as_the_worse(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([["the", "of", "house"], ["buy", "now", "win"]][i % 2], k=80))) for i in range(80)], "doc_id long, text string")
+    labels = [(i, 1 - i % 2, 0) for i in range(40)]
+    clashing = labels + [(i, 1, 0) for i in range(1, 40, 2)] + [(i, 0, None) for i in range(1, 40, 2)]
+    ddl = "doc_id long, quality int, toxic int"
+    want, got = ({(r.doc_id, r.kept, r.score) for r in quality_rules(docs, spark.createDataFrame(x, ddl)).collect()} for x in (labels, clashing))
+    assert got == want and len({x[1] for x in want}) == 2
+
+
+def test_long_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, "v", "x" * 3_000_000), (3, "w", "x" * 2_999_999)], "page_id long, url string, html string")
+    write_archives(pages, path=str(tmp_path / "w"))
+    assert sorted((r.page_id, r.refers_to, r.payload_bytes) for r in read_archives(spark, str(tmp_path / "w")).collect()) == [(1, None, 3_000_000), (2, 1, 3_000_000), (3, None, 2_999_999)]
+
+
 def test_toxic_documents_do_not_set_the_threshold(spark):
     rng = random.Random(6)
     words = {"good": ["the", "of", "and", "house", "river", "said"], "toxic": ["hate", "idiot", "scum", "vile", "stupid", "filth"]}
