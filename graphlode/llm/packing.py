@@ -29,11 +29,13 @@ from .common import documents, staged
 from .tokens import encoder as encoder_of
 
 PIECES_DDL = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long"
+#: Pieces of a batch.
+ROWS = 4_096
 
 
-def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: doc_id, row_no, piece, start, length, ids_crc32. Texts are not shuffled."""
-    fields = pa.schema([("doc_id", pa.int64()), ("row_no", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, row_no, piece, start, length, ids_crc32(, ids). Texts are not shuffled."""
+    fields = pa.schema([("doc_id", pa.int64()), ("row_no", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def cut(batches):
         from pyspark import TaskContext
@@ -46,12 +48,18 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
                 ids = np.asarray([*encoder.ids(text.as_py()), end_id], "<u4")
                 at, piece, row = 0, 0, row + 1
                 for stop in range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity):
-                    out.append((doc_id, row, piece, at, stop - at, zlib.crc32(ids[at:stop])))
+                    out.append((doc_id, row, piece, at, stop - at, zlib.crc32(ids[at:stop])) + (ids[at:stop].view("<i4"),) * with_ids)
                     at, piece = stop, piece + 1
+                if len(out) >= ROWS:
+                    yield batch(out)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), fields.types, strict=True)], schema=fields)
+                yield batch(out)
 
-    return documents(docs, id_col, text_col).mapInArrow(cut, PIECES_DDL)
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), fields.types, strict=True)], schema=fields)
+
+    return documents(docs, id_col, text_col).mapInArrow(cut, PIECES_DDL + ", ids array<int>" * with_ids)
 
 
 def fullest(anchor: int, left: Counter, capacity: int) -> Counter:
@@ -128,7 +136,7 @@ def pack(pieces: DataFrame, capacity: int, cell_rows: int = 50_000) -> DataFrame
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_no, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document."""
-    pieces = staged(encode_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
-    return pack(pieces, capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, row_no, piece, start, length, ids_crc32, sequence_id, offset(, ids) for each piece of each document."""
+    pieces = staged(encode_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
+    return pack(pieces, capacity, 5_000 if with_ids else 50_000)

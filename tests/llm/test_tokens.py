@@ -124,6 +124,16 @@ def test_packing(docs, corpus, capacity):
     assert len(by_sequence) <= -(-total // capacity) * 1.2 + 1
 
 
+def test_packing_gives_the_ids(docs, corpus):
+    library = Tokenizer.from_file(BYTE)
+    pieces = {}
+    for r in pack_documents(docs, BYTE, 2, 100, with_ids=True).collect():
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for doc_id, text, *_ in corpus:
+        assert [i for _, x in sorted(pieces[doc_id]) for i in x] == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 def test_packing_odd_rows(odd_docs, no_docs):
     assert pack_documents(no_docs, BYTE, 2).count() == 0
     assert pack_documents(odd_docs, BYTE, 2).select("row_no").distinct().count() == odd_docs.count()
