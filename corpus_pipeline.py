@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame. `run` writes each result as
 Parquet to the shared folder and reads it again for the next stage. All stages but the last return the columns
-of documents. A filtering stage keeps a row unless its operator rejects it. Rows with a null id are
-judged by their text alone, in groups of near duplicates after all rows with an id; an empty table goes through all stages.
+of documents. A filtering stage keeps a row unless its operator rejects it. Rows with a null id, and rows that share an id with others, are
+judged by their own text alone, in groups of near duplicates after all rows with an id of their own (lines: rows that share an id are one
+document there). An empty table goes through all stages.
 """
 
 from __future__ import annotations
@@ -57,11 +58,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with a key in the order of ids: the id, and for rows without one a number of their own above all ids; without room for these, ids are moved down."""
+    """docs with a key for each row, in the order of ids: the id where one row alone has it; rows without id, or that share one, get numbers above all ids (without room for these, ids are moved down)."""
     named = docs.withColumn("key", F.col("doc_id").cast("long"))
-    without = docs.where("doc_id is null")
-    if without.isEmpty():
+    repeated = staged(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    nameless = docs.where("doc_id is null")
+    if repeated.isEmpty() and nameless.isEmpty():
         return named
+    without = nameless.unionByName(docs.join(repeated.hint("merge"), "doc_id", "left_semi").select(*docs.columns))
     numbered = staged(without.withColumn("at", F.monotonically_increasing_id()), "without-id")
     least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
     last = numbered.agg(F.max("at")).head()[0]
@@ -69,16 +72,17 @@ def with_keys(docs: DataFrame) -> DataFrame:
     down = max(0, most + 1 + last - (2**63 - 1))
     if least - down < -(2**63):
         raise ValueError("the ids leave no room for rows without one")
-    moved = named.where("doc_id is not null").withColumn("key", F.col("key") - F.lit(down))
+    own = named.where("doc_id is not null").join(repeated.hint("merge"), "doc_id", "left_anti")
+    moved = own.select(*docs.columns, (F.col("key") - F.lit(down)).alias("key"))
     return moved.unionByName(numbered.withColumn("key", F.col("at") + F.lit(most - down + 1)).drop("at"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' ids into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Packs the documents' ids into sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids."""
     import public_tokenizers
 
-    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER), END_ID, CAPACITY, with_ids=True)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
 
 
 STAGES = [("quality", quality), ("language", language), ("line_dedup", lines), ("near_duplicates", near_copies), ("packing", packing)]
