@@ -29,6 +29,7 @@ def test_stages(spark):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     lengths = {}
     for r in states[5]:
+        assert len(r.ids) == r.length
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
     assert lengths == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts[4].items()}
 
@@ -42,9 +43,28 @@ def test_empty(spark, no_docs):
 
 def test_odd_rows(spark, odd_docs):
     docs = odd_docs.select(*COLUMNS)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-        docs.count()
+    texts = dict(enumerate(r.text for r in docs.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    long = [t for t in texts.values() if len((t or "").split()) >= 50]
+    assert {r.text for r in stages["quality"](spark, docs, SF).collect()} <= set(long)
+    lettered = [t for t in texts.values() if any(map(str.isalpha, t or ""))]
+    told = [r.text for r in stages["language"](spark, docs, SF).collect()]
+    assert set(told) <= set(lettered) and {t for t in lettered if len(t.split()) < 15} <= set(told)
+    assert stages["line_dedup"](spark, docs, SF).count() == len(texts)
+    kept = [r.text for r in stages["near_duplicates"](spark, docs, SF).collect()]
+    assert len(kept) == len(near_kept(texts)) and set(kept) == set(texts.values())
+    packed = stages["packing"](spark, docs, SF).collect()
+    assert sum(r.length for r in packed) == sum(len(r.ids) for r in packed) and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert sum(r.piece == 0 for r in packed) == len(texts)
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b.replace("b30", "changed")
+    rows = [(1, a), (2, a), (2, b), (3, near), (3, c), (4, c), (4, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()]
+    assert len(got) == 3 and a in got and c in got and (b in got) != (near in got)
 
 
 def test_language_stage_rejects_what_no_language_covers(spark):
