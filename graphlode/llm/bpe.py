@@ -35,13 +35,13 @@ LONG = 200
 
 
 class Table(dict):
-    """Results by string, emptied before the strings (and about five times as much in results) pass `limit` characters; long strings are left out."""
+    """Results by string, emptied before the strings pass `limit` characters (20 more are counted for each); long strings are left out."""
 
-    def __init__(self, limit: int):
-        self.limit, self.held = limit, 0
+    def __init__(self, limit: int, longest: int):
+        self.limit, self.longest, self.held = limit, longest, 0
 
     def hold(self, key: str, value):
-        if len(key) <= LONG:
+        if len(key) <= self.longest:
             self.held += len(key) + 20
             if self.held > self.limit:
                 self.clear()
@@ -69,7 +69,7 @@ class WordBpe:
         self.letters = byte_letters()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.chunks, self.pieces = Table(limit), Table(limit // 2)
+        self.chunks, self.pieces = Table(limit, LONG), Table(limit // 2, LONG)
 
     def merge(self, piece: str) -> list[str]:
         """The symbols of a byte-lettered piece after all merges."""

@@ -43,9 +43,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
         encoder = encoder_of(tokenizer)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.asarray([*encoder.ids(text.as_py()), end_id], "<u4")
+            doc_ids, out = b.column(0).to_pylist(), []
+            for doc_id, found in encoder.each(doc_ids, b.column(1)):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 at, piece, row = 0, 0, row + 1
                 for stop in range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity):
                     out.append((doc_id, row, piece, at, stop - at, zlib.crc32(ids[at:stop])) + (ids[at:stop].view("<i4"),) * with_ids)

@@ -204,12 +204,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         width = encoder.id_bytes
         end, temp, name = end_id.to_bytes(width, "little"), f"{base}/_{part:07d}-{uuid.uuid4().hex}", f"part-{part:07d}.sst"
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, ids in encoder.each(b.column(0).to_pylist(), b.column(1)):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(temp)
                     writer = ShardWriter(out, width, block_bytes)
-                writer.add(doc_id, encoder.encode(text.as_py()) + end)
+                writer.add(doc_id, ids.astype(f"<u{width}").tobytes() + end)
         if writer is not None:
             writer.close()
             out.close()
@@ -227,20 +227,21 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
 
     def rows(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                view = memoryview(content.as_buffer())
-                index_at, index_n, _, _, _, _, width, _, _ = _footer(bytes(view[-FOOTER_BYTES:]))
-                name = path.rsplit("/", 1)[-1]
-                for _, at, n, crc, _, before in _index(bytes(view[index_at : index_at + index_n])):
-                    got, inside = [], before
-                    for key, raw in _block(bytes(view[at : at + n]), crc, width):
-                        ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
-                        got.append((name, id_of(key), inside, len(ids), zlib.crc32(ids)) + ((ids.astype(np.int32),) if with_ids else ()))
-                        inside += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*got, strict=True), fields, strict=True)], schema=pa.schema(fields))
+            for name in b.column(0).to_pylist():
+                fs, base = pafs.FileSystem.from_uri(folder if folder.startswith("file:") or "://" in folder else f"file://{folder}")
+                size = fs.get_file_info(f"{base}/{name}").size
+                with fs.open_input_file(f"{base}/{name}") as f:  # footer and index, then a block at a time
+                    index_at, index_n, _, _, _, _, width, _, _ = _footer(f.read_at(FOOTER_BYTES, size - FOOTER_BYTES))
+                    for _, at, n, crc, _, before in _index(f.read_at(index_n, index_at)):
+                        got, inside = [], before
+                        for key, raw in _block(f.read_at(n, at), crc, width):
+                            ids = np.frombuffer(raw, f"<u{width}").astype("<u4")
+                            got.append((name, id_of(key), inside, len(ids), zlib.crc32(ids)) + ((ids.astype(np.int32),) if with_ids else ()))
+                            inside += len(ids)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*got, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
     ddl = "shard_name string, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "content").mapInArrow(rows, ddl)
+    found = manifest.select("name").repartition(max(1, manifest.count()), "name").mapInArrow(rows, ddl)
     # one row a shard: ids before each shard, in shard order
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = manifest.select(F.col("name").alias("shard_name"), before.alias("base"))

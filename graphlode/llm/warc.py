@@ -112,20 +112,23 @@ def bundle_tables(tail: bytes, size: int) -> tuple[list, list]:
     return frames, json.loads(zstandard.ZstdDecompressor().decompress(places))
 
 
+def _tables(f, size: int) -> tuple[list, list]:
+    """The tables of an open bundle: its end is read, more of it if they are longer."""
+    want = min(size, 1 << 16)
+    while True:
+        tail = f.read_at(want, size - want)
+        start = want - 9 - 8 * struct.unpack("<IBI", tail[-9:])[0]
+        if start >= 12 and start - 12 >= struct.unpack("<I", tail[start - 12 : start - 8])[0] or want == size:
+            return bundle_tables(tail, size)
+        want = min(size, want * 4)
+
+
 def read_record(path: str, page_id: int) -> tuple[dict[str, str], bytes]:
     """The record of an id: the footer, then its frame alone, are read."""
     fs, name = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
     size = fs.get_file_info(name).size
     with fs.open_input_file(name) as f:
-        want = min(size, 1 << 16)
-        while True:
-            tail = f.read_at(want, size - want)
-            count = struct.unpack("<IBI", tail[-9:])[0]
-            start = want - 9 - 8 * count
-            if start >= 12 and start - 12 >= struct.unpack("<I", tail[start - 12 : start - 8])[0] or want == size:
-                break
-            want = min(size, want * 4)
-        frames, places = bundle_tables(tail, size)
+        frames, places = _tables(f, size)
         place = next((p for p in places if p[0] == page_id), None)
         if place is None:
             raise KeyError(page_id)
@@ -194,20 +197,20 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
     def rows(batches):
         zip_ = zstandard.ZstdDecompressor()
         for b in batches:
-            for content in b.column(0):
-                data = content.as_buffer()
-                view = memoryview(data)
-                tail = bytes(view)
-                frames, _ = bundle_tables(tail, len(tail))
-                for at, packed, _plain in frames:
-                    plain, at_record, got = zip_.decompress(view[at : at + packed]), 0, []
-                    while at_record < len(plain):
-                        head, payload, at_record = parse(plain, at_record)
-                        if head["WARC-Type"] == "response" and (len(payload) != int(head["X-Payload-Length"]) or "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() != head["WARC-Payload-Digest"]):
-                            raise ValueError("a payload does not match its digest")
-                        page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page")
-                        got.append((None if page is None else int(page), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], None if refers is None else int(refers)) + (payload,) * with_payload)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*got, strict=True), fields, strict=True)], schema=schema)
+            for path in b.column(0).to_pylist():
+                fs, name = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+                size = fs.get_file_info(name).size
+                with fs.open_input_file(name) as f:
+                    frames, _ = _tables(f, size)
+                    for at, packed, _plain in frames:  # a frame at a time
+                        plain, at_record, got = zip_.decompress(f.read_at(packed, at)), 0, []
+                        while at_record < len(plain):
+                            head, payload, at_record = parse(plain, at_record)
+                            if head["WARC-Type"] == "response" and (len(payload) != int(head["X-Payload-Length"]) or "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() != head["WARC-Payload-Digest"]):
+                                raise ValueError("a payload does not match its digest")
+                            page, refers = head.get("X-Page-ID"), head.get("X-Refers-To-Page")
+                            got.append((None if page is None else int(page), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"][5:], head["WARC-Type"], None if refers is None else int(refers)) + (payload,) * with_payload)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*got, strict=True), fields, strict=True)], schema=schema)
 
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("content").mapInArrow(rows, ddl)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path").mapInArrow(rows, ddl)  # paths alone: contents are read by frame

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from graphlode.llm.bpe import WordBpe, bpe_round_trip
 from graphlode.llm.packing import fullest, pack_documents, plan
 from graphlode.llm.sstable import Bloom, key_of, lookup, read_shards, write_shards
-from graphlode.llm.tokens import encoder
+from graphlode.llm.tokens import Encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,10 +22,21 @@ def random_texts(n: int) -> list[str]:
 
 
 def test_encoder_equals_library():
-    e, library = encoder(BYTE), Tokenizer.from_file(BYTE)
-    assert e.core is not None
-    for t in random_texts(3000):
-        assert e.ids(t) == library.encode(t, add_special_tokens=False).ids, repr(t)
+    e, library = Encoder(BYTE, limit=20_000), Tokenizer.from_file(BYTE)
+    assert not e.whole
+    texts = random_texts(20_000)
+    texts += [" ".join(texts[i : i + 30]) for i in range(0, 3000, 30)] + ["x" * 5000, "a\n" * 3000]
+    for at in range(0, len(texts), 700):
+        some = texts[at : at + 700]
+        for t, ids in zip(some, e.many(some), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert e.held <= 20_000 + sum(len(t) + 20 * len(t.split()) + 100 for t in some)
+    assert not e.many([]) and [x.tolist() for x in e.many(["", ""])] == [[], []]
+
+
+def test_other_tokenizers_get_whole_texts():
+    e, library = Encoder(WORD), Tokenizer.from_file(WORD)
+    assert e.whole and e.many(["It's one  two"])[0].tolist() == library.encode("It's one  two", add_special_tokens=False).ids
 
 
 def test_word_bpe_equals_library():
