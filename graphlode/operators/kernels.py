@@ -6,12 +6,19 @@ Each works on a float64 matrix and adjacency as lists of row numbers, and is det
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
 
-from ..functions.distance import cos_threshold
-from ..model import LID, DEGParams, HNSWParams, NSSGParams, RNNParams
+from ..functions.distance import angle_from_dim, cos_threshold
+from ..model import LID, DEGParams, EfannaParams, HNSWParams, KeepEdges, NSSGParams, RNGGParams, RNNParams
+from .knn import local_top
+
+#: Neighbour descent links all rows of so few.
+SMALL = 30
+#: Pairs that neighbour descent offers to pools at a time.
+OFFERS = 1 << 19
 
 
 def distances(x: np.ndarray, rows, q: np.ndarray) -> np.ndarray:
@@ -33,10 +40,17 @@ def greedy_search(x, adjacency, q, entries, k: int, ef: int, max_frontier: int |
     frontier = [(-d, -i) for d, i in kept]
     heapq.heapify(kept)
     heapq.heapify(frontier)
+    # a capped frontier has a second heap, farthest first; `waiting` tells which entries of either are still in it
+    farthest, waiting = [(-d, -i) for d, i in frontier], {i for _, i in frontier}
+    heapq.heapify(farthest)
     while len(kept) > ef:
         heapq.heappop(kept)
     while frontier:
         d, i = heapq.heappop(frontier)
+        if max_frontier is not None:
+            if i not in waiting:
+                continue
+            waiting.discard(i)
         if len(kept) >= ef and d > -kept[0][0]:
             break
         fresh = [j for j in adjacency[i] if j not in visited]
@@ -49,15 +63,18 @@ def greedy_search(x, adjacency, q, entries, k: int, ef: int, max_frontier: int |
                 if len(kept) > ef:
                     heapq.heappop(kept)
                 heapq.heappush(frontier, (dj, j))
-                if max_frontier is not None and len(frontier) > max_frontier:
-                    frontier.remove(max(frontier))
-                    heapq.heapify(frontier)
+                if max_frontier is not None:
+                    heapq.heappush(farthest, (-dj, -j))
+                    waiting.add(j)
+                    while len(waiting) > max_frontier:
+                        waiting.discard(-heapq.heappop(farthest)[1])
     return sorted((-d, -i) for d, i in kept)[:k]
 
 
-def range_search(x, adjacency, q, entries, k: int, eps: float) -> list[tuple[float, int]]:
-    """The k best met by a search that goes on wherever a node lies within radius * (1 + eps) of the k-th best."""
-    visited, kept = set(entries), []
+def range_search(x, adjacency, q, entries, k: int, eps: float, visited: set | None = None) -> list[tuple[float, int]]:
+    """The k best met by a search that goes on wherever a node lies within radius * (1 + eps) of the k-th best; visited, if given, gets all nodes met."""
+    visited, kept = set() if visited is None else visited, []
+    visited.update(entries)
     frontier = sorted(zip(distances(x, list(visited), q).tolist(), visited, strict=True))
     for d, i in frontier:
         heapq.heappush(kept, (-d, -i))
@@ -88,6 +105,13 @@ def has_path(x, adjacency, start: int, target: int, ef: int) -> bool:
     return any(i == target for _, i in greedy_search(x, adjacency, x[target], [start], ef, ef))
 
 
+def has_path_range(x, adjacency, start: int, target: int, k: int, eps: float) -> bool:
+    """The same by a range search: whether it meets target, among its results or not."""
+    met: set[int] = set()
+    range_search(x, adjacency, x[target], [start], k, eps, met)
+    return target in met
+
+
 def layered_search(x, levels, q, k: int, ef: int, ef_higher: int = 1, max_frontier: int | None = None, top_entries=(0,)) -> list[tuple[float, int]]:
     """levels from the bottom: (global ids, adjacency in local ids, places in the level below). Descends from the top."""
     entries = None
@@ -208,14 +232,10 @@ def build_deg(x: np.ndarray, params: DEGParams, seed: int = 0) -> list[list[int]
 
 
 def nearest_lists(x: np.ndarray, k: int) -> list[list[int]]:
-    """Exact k nearest others of each row of a shard."""
-    out = []
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512]
-        d = ((part * part).sum(1)[:, None] + (x * x).sum(1)[None, :]) - 2 * part @ x.T
-        d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
-        out += np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)].tolist()
-    return out
+    """Exact k nearest others of each row of a shard, ties by row."""
+    rows = np.arange(len(x))
+    owner, ids, _ = local_top(rows, x, rows, x, min(k, len(x) - 1) + 1, True) if len(x) > 1 else (rows[:0], rows[:0], None)
+    return [part[:k].tolist() for part in np.split(ids, np.searchsorted(owner, np.arange(1, len(x))))] if len(x) else []
 
 
 def random_lists(n: int, k: int, seed: int) -> list[list[int]]:
@@ -224,6 +244,128 @@ def random_lists(n: int, k: int, seed: int) -> list[list[int]]:
     return [[int(j + (j >= i)) for j in rng.choice(n - 1, k, replace=False)] if k > 0 else [] for i in range(n)]
 
 
+def drawn_lists(n: int, k: int, seed: str) -> list[list[int]]:
+    """The random graph of the table form (`graphs.random_graph`) over rows 0 to n - 1: draw t of row i comes from md5(seed:i:t)."""
+    k = min(k, max(n - 1, 0))
+    tries, out = n * 8 if k * 2 > n else k * 2 + 20, []
+    for i in range(n):
+        draws = (int(hashlib.md5(f"{seed}:{i}:{t}".encode()).hexdigest()[:12], 16) % n for t in range(tries))
+        out.append(list(dict.fromkeys(j for j in draws if j != i))[:k])
+    return out
+
+
+def build_rngg(x: np.ndarray, params: RNGGParams, seed: str = "rngg") -> list[list[int]]:
+    """prune_extend_degree random edges, cut to `degree` by distance or in order of drawing."""
+    if params.prune_extend_degree < params.degree:
+        raise ValueError("prune_extend_degree must not be below degree")
+    degree, extend, out = params.degree, params.prune_extend_degree, []
+    for i, row in enumerate(drawn_lists(len(x), extend, seed)):
+        d = distances(x, row, x[i]) if row else np.empty(0)
+        near = [row[j] for j in np.lexsort((row, d))] if row else []
+        m = min(degree, len(row))
+        match params.prune:
+            case KeepEdges.SHORT:
+                chosen = near[:m]
+            case KeepEdges.LONG:
+                chosen = near[len(near) - m :]
+            case KeepEdges.MIDDLE:
+                chosen = near[extend // 2 - m // 2 : extend // 2 + m // 2]
+            case KeepEdges.SPECIAL:
+                chosen = near[: degree // 2] + near[degree : degree + degree // 2]
+            case KeepEdges.NONE:
+                chosen = row[:m]
+        out.append(chosen)
+    return out
+
+
+def _best(owner: np.ndarray, ids: np.ndarray, d: np.ndarray, fresh: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Of rows (owner, id, distance, fresh) one for each owner and id, an old flag first, and the `most` nearest of each owner."""
+    order = np.lexsort((fresh, ids, owner))
+    owner, ids, d, fresh = owner[order], ids[order], d[order], fresh[order]
+    one = np.ones(len(ids), bool)
+    one[1:] = (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])
+    owner, ids, d, fresh = owner[one], ids[one], d[one], fresh[one]
+    order = np.lexsort((ids, d, owner))
+    owner, ids, d, fresh = owner[order], ids[order], d[order], fresh[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    keep = place < most
+    return owner[keep], ids[keep], d[keep], fresh[keep]
+
+
+def _first(owner: np.ndarray, ids: np.ndarray, key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` rows of each owner with the smallest key."""
+    order = np.lexsort((key, owner))
+    owner, ids = owner[order], ids[order]
+    keep = np.arange(len(owner)) - np.searchsorted(owner, owner) < most
+    return owner[keep], ids[keep]
+
+
+def _lists(owner: np.ndarray, ids: np.ndarray, n: int) -> list[np.ndarray]:
+    pairs = np.unique(np.stack([owner, ids]), axis=1)
+    return np.split(pairs[1], np.searchsorted(pairs[0], np.arange(1, n)))
+
+
+def build_efanna(x: np.ndarray, params: EfannaParams, seed: int = 0) -> list[list[int]]:
+    """Neighbour descent: pools of the l best, `iter` rounds in which fresh members of a node's lists meet each other and the older ones.
+
+    A pool starts with s random rows; in the first round 2 l random rows of each node meet. After that up to s fresh and s other members of
+    each pool take part, and at most r (2 r for the others) nodes that hold the node itself, drawn at random.
+    """
+    n = len(x)
+    if n <= SMALL:
+        return [[j for j in np.lexsort((np.arange(n), distances(x, np.arange(n), x[i]))).tolist() if j != i] for i in range(n)]
+    k = n // 2 if params.k > n else params.k
+    rng, s = np.random.default_rng(seed), min(params.s, n - 1)
+
+    def drawn(many: int) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(n), many)
+        return owner, (owner + rng.integers(1, n, n * many)) % n
+
+    owner, ids = drawn(s)
+    gap = x[owner] - x[ids]
+    pool = _best(owner, ids, np.einsum("ij,ij->i", gap, gap), np.ones(len(ids), bool), params.l)
+    new, old = _lists(*drawn(min(2 * params.l, n - 1)), n), [np.empty(0, np.int64)] * n
+    for _ in range(params.iter):
+        worst, held = np.full(n, np.inf), np.bincount(pool[0], minlength=n)
+        full = held >= params.l
+        worst[full] = pool[2][np.cumsum(held)[full] - 1]  # pools are in order of distance
+        offers, many = [], 0
+        for i in range(n):
+            a, b = new[i], np.concatenate([new[i], old[i]])
+            if len(a) and len(b) > 1:
+                d = np.maximum((x[a] ** 2).sum(1)[:, None] + (x[b] ** 2).sum(1)[None, :] - 2 * x[a] @ x[b].T, 0)
+                p, q = np.nonzero((a[:, None] != b[None, :]) & (d < np.maximum(worst[a][:, None], worst[b][None, :])))
+                offers.append(np.stack([np.concatenate([a[p], b[q]]), np.concatenate([b[q], a[p]])]))
+                many += len(p)
+            if offers and (many > OFFERS or i == n - 1):  # merged some at a time, so offers do not pile up
+                pairs = np.unique(np.concatenate(offers, axis=1), axis=1)
+                offers, many = [], 0
+                gap = x[pairs[0]] - x[pairs[1]]
+                d = np.einsum("ij,ij->i", gap, gap)
+                good = d < worst[pairs[0]]
+                pool = _best(*(np.concatenate([u, v]) for u, v in zip(pool, (pairs[0][good], pairs[1][good], d[good], np.ones(good.sum(), bool)), strict=True)), params.l)
+                held = np.bincount(pool[0], minlength=n)
+                worst = np.full(n, np.inf)
+                full = held >= params.l
+                worst[full] = pool[2][np.cumsum(held)[full] - 1]
+        owner, ids, d, fresh = pool
+        if not fresh.any():
+            break
+        sides = []
+        for flag, cap in ((True, params.r), (False, 2 * params.r)):
+            at = np.flatnonzero(fresh == flag)
+            at = at[np.arange(len(at)) - np.searchsorted(owner[at], owner[at]) < s]
+            back = _first(ids[at], owner[at], rng.random(len(at)), cap)
+            sides.append(_lists(np.concatenate([owner[at], back[0]]), np.concatenate([ids[at], back[1]]), n))
+            if flag:
+                fresh = fresh.copy()
+                taken = at
+        fresh[taken] = False
+        pool, (new, old) = (owner, ids, d, fresh), sides
+    owner, ids, d, _ = pool
+    return [part[:k].tolist() for part in np.split(ids, np.searchsorted(owner, np.arange(1, n)))]
+
+
 def build_rnn_descent(x: np.ndarray, params: RNNParams, seed: int = 0) -> list[list[int]]:
     """Relative-neighbourhood descent: edges hidden by a nearer neighbour move on to it; reverse edges come in each outer round."""
     n = len(x)
@@ -283,8 +425,7 @@ def build_nssg(x: np.ndarray, start: list[list[int]], params: NSSGParams, seed:
     pool_size = min(params.l, n)
     angle = params.angle
     if params.derive_angle_from_dim:
-        dim = x.shape[1]
-        angle = float(np.degrees(np.arccos((dim - 2) / (2 * dim - 2))))
+        angle = angle_from_dim(x.shape[1])
     t = cos_threshold(angle)
     start = [r[:most] for r in start]
     kept = []
@@ -315,43 +456,66 @@ def build_nssg(x: np.ndarray, start: list[list[int]], params: NSSGParams, seed:
     return adjacency, roots
 
 
-def connect(adjacency: list[list[int]], root: int, most: int) -> None:
-    """Links the lowest unreached node to the lowest reached one with room, until all is reached from root."""
-    n, seen, queue = len(adjacency), np.zeros(len(adjacency), bool), [root]
+def connect(adjacency: list[list[int]], root: int, most: int) -> int:
+    """Links the lowest unreached node to the lowest reached one with room, until all is reached from root.
+
+    Where no reached node has room, the one with fewest edges gets one beyond `most`; gives the number of such edges.
+    """
+    n, seen, queue, beyond = len(adjacency), np.zeros(len(adjacency), bool), [root], 0
     seen[root] = True
+    room: list[int] = [root]  # reached nodes that had room when they were met
+    first = 0  # no node below is unreached
     while True:
         while queue:
             for v in adjacency[queue.pop()]:
                 if not seen[v]:
                     seen[v] = True
                     queue.append(v)
-        if seen.all():
-            return
-        u = int(np.argmin(seen))
-        room = next((w for w in range(n) if seen[w] and len(adjacency[w]) < most), None)
-        if room is not None:
-            adjacency[room].append(u)
-        seen[u] = True
-        queue.append(u)
+                    heapq.heappush(room, v)
+        while first < n and seen[first]:
+            first += 1
+        if first == n:
+            return beyond
+        while room and len(adjacency[room[0]]) >= most:
+            heapq.heappop(room)
+        host = room[0] if room else min((w for w in range(n) if seen[w]), key=lambda w: (len(adjacency[w]), w))
+        beyond += not room
+        adjacency[host].append(first)
+        seen[first] = True
+        queue.append(first)
+        heapq.heappush(room, first)
 
 
 # ---- hierarchical navigable small worlds ----
 
 
 def build_hnsw(x: np.ndarray, params: HNSWParams, seed: int = 0) -> list[tuple[np.ndarray, list[list[int]], np.ndarray]]:
-    """Levels from the bottom: (global ids, adjacency in local ids, places in the level below)."""
+    """Levels from the bottom: (global ids, adjacency in local ids, places in the level below).
+
+    Rows are inserted one by one from the top: a search with one candidate leads down to the row's own level, and from there each level is
+    entered where the search in the one above it ended. Row 0 is in all levels and is where every search starts.
+    """
     n = len(x)
     norm = params.level_norm_param_override or 1 / np.log(params.higher_max_degree)
     draw = np.random.default_rng(seed).random(n)
     level_of = np.minimum((-np.log(1 - draw) * norm).astype(int), params.max_layers - 1)
-    level_of[0] = level_of.max(initial=0)
+    if not n:
+        return [(np.arange(0), [], np.arange(0))]
+    top = level_of[0] = level_of.max()
+    near: list[dict[int, list[int]]] = [{0: []} for _ in range(top + 1)]
+    for v in range(1, n):
+        entries = [0]
+        for level in range(top, -1, -1):
+            ef = params.max_build_heap_size if level <= level_of[v] else 1
+            found = greedy_search(x, near[level], x[v], entries, ef, ef, params.max_build_frontier_size)
+            entries = [i for _, i in found]
+            if level <= level_of[v]:
+                _insert(x, near[level], v, found, params.lowest_max_degree if level == 0 else params.higher_max_degree, params)
     out, below = [], None
-    for level in range(int(level_of.max(initial=0)) + 1):
-        ids = np.flatnonzero(level_of >= level)
-        most = params.lowest_max_degree if level == 0 else params.higher_max_degree
-        adjacency = _grow(x[ids], most, params)
-        parent = ids if below is None else np.searchsorted(below, ids)
-        out.append((ids, adjacency, parent))
+    for graph in near:
+        ids = np.array(sorted(graph))
+        place = {int(v): i for i, v in enumerate(ids)}
+        out.append((ids, [[place[u] for u in graph[v]] for v in ids.tolist()], ids if below is None else np.searchsorted(below, ids)))
         below = ids
     return out
 
@@ -368,18 +532,14 @@ def _diverse(x, pool: list[tuple[float, int]], most: int, heuristic: bool) -> li
     return kept
 
 
-def _grow(x: np.ndarray, most: int, params: HNSWParams) -> list[list[int]]:
-    """Inserts rows one by one; each is linked to a diverse choice of what a search for it finds."""
-    near: list[list[int]] = [[] for _ in range(len(x))]
-    for v in range(1, len(x)):
-        found = greedy_search(x, near, x[v], [0], params.max_build_heap_size, params.max_build_heap_size, params.max_build_frontier_size)
-        chosen = _diverse(x, found, max(most // 2, 1), params.insert_heuristic)
-        if params.insert_heuristic_extend:
-            chosen += [u for _, u in found if u not in chosen][: max(most // 2, 1) - len(chosen)]
-        near[v] = chosen
-        for u in chosen:
-            near[u].append(v)
-            if len(near[u]) > most:
-                pool = sorted(zip(distances(x, near[u], x[u]).tolist(), near[u], strict=True))
-                near[u] = _diverse(x, pool, most, True)
-    return near
+def _insert(x, near: dict[int, list[int]], v: int, found: list[tuple[float, int]], most: int, params: HNSWParams) -> None:
+    """Links row v to a diverse choice of what a search for it found; neighbours with too many edges choose anew."""
+    chosen = _diverse(x, found, max(most // 2, 1), params.insert_heuristic)
+    if params.insert_heuristic_extend:
+        chosen += [u for _, u in found if u not in chosen][: max(most // 2, 1) - len(chosen)]
+    near[v] = chosen
+    for u in chosen:
+        near[u].append(v)
+        if len(near[u]) > most:
+            pool = sorted(zip(distances(x, near[u], x[u]).tolist(), near[u], strict=True))
+            near[u] = _diverse(x, pool, most, True)

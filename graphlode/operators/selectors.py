@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeded import shuffled
@@ -75,8 +75,15 @@ def flooding_repeat(nodes: DataFrame, edges: DataFrame, r: int = 1, size: int |
 
 
 def numbered(subset: DataFrame) -> DataFrame:
-    """(local_id, global_id): the subset's rows numbered from 0, node 0 first if present.
+    """(local_id, global_id): the subset's rows numbered from 0 in order of vec_id.
 
-    Numbers need one order over all rows; a subset is a level of a hierarchy, a fixed share smaller than the one below.
+    Each range of ids is numbered in its own task; the driver adds up a count for each range.
     """
-    return subset.select((F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("local_id"), F.col("vec_id").alias("global_id"))
+    ranges = subset.select("vec_id").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    placed = staged(ranges.withColumn("at", F.monotonically_increasing_id()), "places").select("vec_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("inside"))
+    counts, starts, start = sorted((r.part, r["count"]) for r in placed.groupBy("part").count().collect()), [], 0
+    for part, n in counts:
+        starts.append((part, start))
+        start += n
+    of_part = subset.sparkSession.createDataFrame(starts, "part long, start long")  # a row for each range
+    return placed.join(F.broadcast(of_part), "part").select((F.col("start") + F.col("inside")).alias("local_id"), F.col("vec_id").alias("global_id"))

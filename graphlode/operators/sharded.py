@@ -30,14 +30,16 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("dist", p
 
 #: Parameters that the in-memory builders do not read: only their defaults are taken.
 UNREAD = {
-    DEGParams: ("improve_eps",),
-    HNSWParams: ("n_rounds", "finetune_rnn", "finetune_sen", "post_prune_heuristic"),
-    RNGGParams: ("prune", "prune_extend_degree"),
+    DEGParams: ("improve_eps", "max_path_length"),
+    HNSWParams: ("n_rounds", "finetune_rnn", "finetune_sen", "post_prune_heuristic", "n_parallel_burnin", "insert_minibatch_size"),
+    RNGGParams: ("degree_short_edges",),
+    RNNParams: ("concurrent_batch_size",),
+    BruteforceKNNParams: ("batch_size",),
 }
 
 
 def local_builder(params, start=None, seed: int = 0) -> Callable[[np.ndarray], tuple[list, list[int]]]:
-    """x -> (levels, entry points) for the parameters of a builder; start: parameters of an NSSG's input graph."""
+    """x -> (levels, entry points) for the parameters of a builder; start: an NSSG's input graph, as parameters of its builder (neighbour descent if none) or as lists of rows."""
     for name in UNREAD.get(type(params), ()):
         if getattr(params, name) != getattr(type(params)(), name):
             raise ValueError(f"{type(params).__name__}.{name} is not implemented in the in-memory builder")
@@ -58,13 +60,15 @@ def local_builder(params, start=None, seed: int = 0) -> Callable[[np.ndarray], t
             case HNSWParams():
                 return kernels.build_hnsw(x, params, seed), [0]
             case NSSGParams():
-                levels, _ = local_builder(start or BruteforceKNNParams(params.range), None, seed)(x)
-                adjacency, roots = kernels.build_nssg(x, levels[0][1], params, seed)
+                given = start if isinstance(start, list) else local_builder(start or EfannaParams(k=params.range, l=params.range), None, seed)(x)[0][0][1]
+                if len(given) != n:
+                    raise ValueError("the start graph has other rows")
+                adjacency, roots = kernels.build_nssg(x, given, params, seed)
                 return flat(adjacency, n, roots)
             case RNGGParams():
-                return flat(kernels.random_lists(n, params.degree, seed), n)
+                return flat(kernels.build_rngg(x, params, f"rngg{seed or ''}"), n)
             case EfannaParams():
-                return flat(kernels.nearest_lists(x, min(params.k, n // 2 if params.k > n else params.k)), n)
+                return flat(kernels.build_efanna(x, params, seed), n)
             case BruteforceKNNParams():
                 return flat(kernels.nearest_lists(x, params.degree), n)
         raise ValueError(f"no builder for {params}")
@@ -100,13 +104,22 @@ def build_index(vectors: DataFrame, params, start=None, shard_rows: int = 50_000
     return staged(dealt.groupBy("shard").applyInArrow(run, INDEX), "index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, ef: int | None = None, ef_higher: int = 1, max_frontier: int | None = None, from_level: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, dist. ef defaults to 2k. from_level leaves out the levels above it."""
+def search(
+    index: DataFrame, queries: DataFrame, k: int, ef: int | None = None, ef_higher: int = 1, max_frontier: int | None = None, from_level: int | None = None, eps: float | None = None, copies: int | None = None
+) -> DataFrame:
+    """query_id, rank, vec_id, dist. ef defaults to 2k. from_level leaves out the levels above it. eps: the bottom is searched by range.
+
+    A query goes to every shard, so work grows with the number of shards. With fewer shards than cores each shard is sent to several
+    tasks (`copies`) that share its queries.
+    """
     ef = ef or 2 * k
     if from_level is not None:
         index = index.where(F.col("level") <= from_level)
     last = index.agg(F.max("shard")).head()[0] or 0
-    asked = queries.select("query_id", F.col("embedding").alias("wanted"), F.explode(F.expr(f"sequence(0L, {last}L)")).alias("shard"))
+    if copies is None:
+        copies = max(1, min(index.sparkSession.sparkContext.defaultParallelism // (last + 1), queries.count() // 32))
+    asked = queries.select("query_id", F.col("embedding").alias("wanted"), F.explode(F.expr(f"sequence(0L, {last}L)")).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int").alias("copy"))
+    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
     def run(rows: pa.Table, asked_: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked_.num_rows:
@@ -123,19 +136,29 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int | None = None,
         entries = [i for i, e in enumerate(rows.slice(int((level < level.max()).sum()))["entry"].to_pylist()) if e] or [0]
         out = []
         for query_id, q in zip(asked_["query_id"].to_pylist(), matrix(asked_["wanted"]), strict=True):
-            if len(levels) == 1:
+            if eps is not None and len(levels) == 1:
+                got = kernels.range_search(x, levels[0][1], q, entries, k, eps)
+            elif len(levels) == 1:
                 got = kernels.greedy_search(x, levels[0][1], q, entries, k, max(ef, k), max_frontier)
             else:
                 got = kernels.layered_search(x, levels, q, k, ef, ef_higher, max_frontier, entries)
             out += [(query_id, int(ids[i]), d) for d, i in got]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FOUND.types, strict=True)], schema=_FOUND) if out else _FOUND.empty_table()
 
-    found = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "query_id long, vec_id long, dist double")
+    found = index.groupBy("shard", "copy").cogroup(asked.groupBy("shard", "copy")).applyInArrow(run, "query_id long, vec_id long, dist double")
     return merged(found, k)
 
 
-def index_from_edges(vectors: DataFrame, edges: DataFrame, roots: list[int] | None = None) -> DataFrame:
-    """An index of one shard and one level from an edge table over dense ids; roots are the entry points."""
+def one_shard(vectors: DataFrame, most: int) -> DataFrame:
+    """vectors, if a task can hold them as one shard."""
+    if (n := vectors.count()) > most:
+        raise ValueError(f"{n} rows are too many for one shard of {most}; build_index deals them to shards")
+    return vectors
+
+
+def index_from_edges(vectors: DataFrame, edges: DataFrame, roots: list[int] | None = None, shard_rows: int = 2_000_000) -> DataFrame:
+    """An index of one shard and one level from an edge table over dense ids; roots are the entry points. More than shard_rows rows raise."""
+    vectors = one_shard(vectors, shard_rows)
     lists = edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "dst"))), lambda e: e["dst"]).alias("neighbours"))
     joined = vectors.select("vec_id", "embedding").join(lists.withColumnRenamed("src", "vec_id"), "vec_id", "left")
     entry = F.col("vec_id").isin(roots) if roots else F.col("vec_id") == 0

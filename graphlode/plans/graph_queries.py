@@ -10,6 +10,7 @@ from ..operators import graphs, selectors, stats
 from ..operators.hierarchy import level_plan
 from ..operators.knn import gather, knn, knn_graph, with_distances
 from ..operators.nndescent import pool_insert
+from ..operators.sharded import build_index, index_edges
 from ..registry import query
 from .tables import dist, exact_sql, knn_cte, near, random_cte, rounded, table, vectors
 
@@ -130,13 +131,13 @@ def _(spark, sf):
 
 @query(
     "prj3_params",
-    """SELECT * FROM (VALUES ('RNGG', 'degree=30|degree_short_edges=30|prune_extend_degree=40|prune=none'), ('EFANNA', 'k=50|l=50|iter=10|s=10|r=100'),
+    """SELECT * FROM (VALUES ('HNSW', 'higher_max_degree=50|lowest_max_degree=100|max_layers=10|n_parallel_burnin=0|max_build_heap_size=50|max_build_frontier_size=None|level_norm_param_override=None|insert_heuristic=True|insert_heuristic_extend=True|post_prune_heuristic=False|insert_minibatch_size=100|n_rounds=1|finetune_rnn=False|finetune_sen=False'), ('RNGG', 'degree=30|degree_short_edges=30|prune_extend_degree=40|prune=none'), ('EFANNA', 'k=50|l=50|iter=10|s=10|r=100'),
     ('NSSG', 'range=70|l=250|angle=60.0|n_try=10|derive_angle_from_dim=False'),
     ('DEG', 'edges_per_vertex=40|max_build_heap_size=60|max_build_frontier_size=None|extend_k=0|extend_eps=0.0|improve_k=0|improve_eps=0.0|lid=high|swap_tries=0|additional_swap_tries=0|use_range_search=False|max_path_length=0'),
     ('RNN', 'initial_degree=100|reduce_degree=50|n_outer_loops=4|n_inner_loops=15|concurrent_batch_size=100'), ('KNN', 'degree=30|batch_size=1000')) t(builder_type, params)""",
 )
 def _(spark, sf):
-    named = {"RNGG": RNGGParams(), "EFANNA": EfannaParams(), "NSSG": NSSGParams(), "DEG": DEGParams(), "RNN": RNNParams(), "KNN": BruteforceKNNParams()}
+    named = {"HNSW": HNSWParams(), "RNGG": RNGGParams(), "EFANNA": EfannaParams(), "NSSG": NSSGParams(), "DEG": DEGParams(), "RNN": RNNParams(), "KNN": BruteforceKNNParams()}
     return spark.createDataFrame([(n, p.describe()) for n, p in named.items()], "builder_type string, params string")
 
 
@@ -158,7 +159,12 @@ def _rngg(mode: KeepEdges, where: str, order: str):
         params = RNGGParams(degree=9, prune_extend_degree=20, prune=mode)
         return rounded(graphs.rng_graph(vectors(spark, sf), params), "dist").select("src", "dst", "dist", "slot")
 
+    def in_index(spark, sf):
+        params = RNGGParams(degree=9, prune_extend_degree=20, prune=mode)
+        return index_edges(build_index(vectors(spark, sf), params)).select("src", "dst", "slot")
+
     query(f"rngg2_{mode.value}", sql)(run)
+    query(f"rngg1_index_{mode.value}", f"SELECT src, dst, slot FROM ({sql})")(in_index)
 
 
 _again = "row_number() OVER (PARTITION BY src ORDER BY r) - 1"
@@ -265,7 +271,20 @@ def _(spark, sf):
     return selectors.flooding(vectors(spark, sf), near(spark, sf, 8), 2)
 
 
-@query("sel4_flooding_repeat")
+#: The scan goes round the nodes until enough are chosen; at each new round only the chosen ones are flooded.
+_REPEAT = f"""WITH RECURSIVE {knn_cte(8)},
+    o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('flood:' || vec_id)) AS i FROM embeddings WHERE vec_id <> 0),
+    n AS MATERIALIZED (SELECT o.i, o.vec_id, list(knn.dst) AS ends FROM o JOIN knn ON knn.src = o.vec_id GROUP BY o.i, o.vec_id),
+    c AS MATERIALIZED (SELECT count(*) AS most, (count(*) + 1) // 2 AS size FROM n),
+    s(step, i, flooded, chosen) AS (
+      SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST([0] AS BIGINT[]), CAST([0] AS BIGINT[])
+      UNION ALL
+      SELECT step + 1, n.i, CASE WHEN list_contains(f, n.vec_id) THEN f ELSE list_concat(f, list_append(n.ends, n.vec_id)) END, CASE WHEN list_contains(f, n.vec_id) THEN chosen ELSE list_append(chosen, n.vec_id) END
+      FROM (SELECT step, s.i, chosen, CASE WHEN s.i = most THEN chosen ELSE flooded END AS f, most, size FROM s, c) s JOIN n ON n.i = s.i % most + 1 WHERE len(chosen) < size)
+    SELECT unnest(arg_max(chosen, step)) AS vec_id FROM s"""
+
+
+@query("sel4_flooding_repeat", _REPEAT)
 def _(spark, sf):
     v = vectors(spark, sf)
     return selectors.flooding_repeat(v, near(spark, sf, 8), 1, v.count() // 2)

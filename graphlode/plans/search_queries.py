@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, HNSWParams, NSSGParams, RNNParams
+from ..model import BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, HNSWParams, NSSGParams, RNGGParams, RNNParams
 from ..operators import selectors
 from ..operators.evaluate import level_wise, sweep
+from ..operators.experiments import Experiment, Level, Select, index_report, run_experiments
 from ..operators.graphs import random_graph
-from ..operators.hierarchy import build_hierarchy, merge_under_hnsw, to_index
+from ..operators.hierarchy import build_hierarchy, layer_ids, merge_under_hnsw, next_layer_ids, to_index
 from ..operators.knn import knn, knn_graph
 from ..operators.nndescent import nn_descent
+from ..operators.results import gains, plot_rows
 from ..operators.sharded import build_index, index_edges, index_from_edges, search
 from ..operators.stats import recall
 from ..registry import query
-from .tables import exact_sql, near, rounded, vectors
+from ..sources.datasets import Dataset
+from .tables import exact_sql, knn_cte, near, rounded, vectors
 
 PARAMS = HierarchyParams(higher_max_degree=8, min_n_vertices_layer=30)
 
@@ -102,6 +105,37 @@ def _(spark, sf):
     return _recall(build_index(v, DEGParams(edges_per_vertex=12, extend_k=24, extend_eps=0.1, use_range_search=True)), v, ef=100)
 
 
+@query("deg9_range_exhaustive", exact_sql(10))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    index = build_index(v, DEGParams(edges_per_vertex=12, max_build_heap_size=30))
+    return rounded(search(index, _queries(v), 10, eps=1e9), "dist")
+
+
+@query("srch2_capped_exhaustive", exact_sql(10))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return _exact(index_from_edges(v, near(spark, sf, 10)), v, max_frontier=v.count())
+
+
+@query("rnn1_exhaustive", exact_sql(10))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return _exact(build_index(v, RNNParams(initial_degree=20, reduce_degree=20, n_outer_loops=3, n_inner_loops=4)), v)
+
+
+@query("hnsw1_exhaustive", exact_sql(10))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return _exact(build_index(v, HNSWParams(higher_max_degree=16, lowest_max_degree=32)), v)
+
+
+@query("ef5_index_recall")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return _recall(build_index(v, EfannaParams(k=20, l=40, iter=5, s=10, r=30)), v, ef=100)
+
+
 @query("nssg7_exhaustive", exact_sql(10))
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -135,11 +169,26 @@ def _(spark, sf):
     return _recall(index_from_edges(v, random_graph(v, 30)), v, ef=100)
 
 
-@query("hier2_levels")
+#: Sizes of the levels of `_hierarchy` (sizes: level, size) and its nodes (p: level, vec_id, local_id); each level has the first nodes of one order.
+_LEVELS = """WITH n AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT n, greatest(least(CAST(floor(ln(n) / ln(8) + 1e-6) AS INTEGER) + 1, 6), 1) AS layers FROM n),
+    z AS (SELECT n, unnest(range(1, layers)) AS level FROM l), s AS (SELECT level, greatest(CAST(floor(1.2 * n / pow(8, level) + 1e-6) AS BIGINT), 30) AS size FROM z),
+    sizes AS (SELECT * FROM s WHERE level <= coalesce((SELECT min(level) FROM s WHERE size = 30), 99)),
+    o AS (SELECT vec_id, row_number() OVER (ORDER BY CASE WHEN vec_id = 0 THEN '' ELSE md5('subset:' || vec_id) END, vec_id) AS rn FROM embeddings),
+    m AS (SELECT CAST(0 AS INTEGER) AS level, vec_id FROM embeddings UNION ALL SELECT CAST(level AS INTEGER), vec_id FROM o JOIN sizes ON rn <= size),
+    p AS (SELECT level, vec_id, row_number() OVER (PARTITION BY level ORDER BY vec_id) - 1 AS local_id FROM m)"""
+
+
+@query("hier2_levels", f"{_LEVELS} SELECT a.level, a.local_id, coalesce(b.local_id, a.local_id) AS parent_local_id, a.vec_id AS global_id FROM p a LEFT JOIN p b ON b.level = a.level - 1 AND b.vec_id = a.vec_id")
 def _(spark, sf):
     return _hierarchy(spark, sf)[1].nodes
 
 
+@query("snk3_layer_ids", f"{_LEVELS} SELECT a.local_id, a.vec_id AS global_id, b.local_id AS next_local_id FROM p a JOIN p b ON a.level = 1 AND b.level = 0 AND b.vec_id = a.vec_id")
+def _(spark, sf):
+    h = _hierarchy(spark, sf)[1]
+    return layer_ids(h, 1).join(next_layer_ids(h, 1), "local_id")
+
+
 @query("hier7_merged_exhaustive", exact_sql(10))
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -159,6 +208,57 @@ def _(spark, sf):
     return level_wise(h, v, _queries(v), _truth(v, 10), 10, 50).select("layer_count", "k", "max_heap_size", "nq", F.round("recall", 6).alias("recall"))
 
 
+@query("agg10_level_wise_exhaustive", f"{_LEVELS} SELECT CAST(layer_count AS INTEGER) AS layer_count, 10 AS k, CAST(n AS INTEGER) AS max_heap_size, CAST(n AS INTEGER) AS nq, CAST(100 AS DOUBLE) AS recall FROM n, (SELECT unnest(range(1, (SELECT count(*) FROM sizes) + 2)) AS layer_count)")
+def _(spark, sf):
+    v, h = _hierarchy(spark, sf)
+    return level_wise(h, v, _queries(v), _truth(v, 10), 10, v.count()).select("layer_count", "k", "max_heap_size", "nq", "recall")
+
+
+@query("rel1_sweep_exhaustive", "SELECT k, CAST(n AS INTEGER) AS max_heap_size, CAST(n AS INTEGER) AS nq, CAST(100 AS DOUBLE) AS recall, h AS higher_level_max_heap_size FROM (SELECT count(*) AS n FROM embeddings), (VALUES (1), (10)) t(k), (VALUES (1), (3)) u(h)")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    index = index_from_edges(v, near(spark, sf, 20))
+    return sweep(index, _queries(v), _truth(v, 10), [1, 10], [1, 3], [v.count()]).select("k", "max_heap_size", "nq", "recall", "higher_level_max_heap_size")
+
+
+def _experiments(spark, sf):
+    """Two hierarchies and a single graph, each searched with a heap as large as the table."""
+    v = vectors(spark, sf)
+    n = [v.count()]
+    levels = [Level(BruteforceKNNParams(12), Select("random")), Level(RNNParams(12, 12, 2, 3), Select("random"))]
+    made = [Experiment("HSGF_KNN", levels, PARAMS, ks=(1, 10), heap_sizes=n), Experiment("HSGF_RNGG", [Level(RNGGParams(12, prune_extend_degree=12))], PARAMS, heap_sizes=n), Experiment("KNN", levels[:1], flat=True, ks=(1, 10), heap_sizes=n)]
+    return run_experiments(spark, Dataset(v, _queries(v), _truth(v, 10)), "300K", made)
+
+
+#: The rows of `_experiments` without times (r).
+_RUN = f"""{_LEVELS}, b(builder_type, flat, k, seq) AS (VALUES ('HSGF_KNN', false, 10, 0), ('HSGF_KNN', false, 1, 1), ('HSGF_RNGG', false, 10, 2), ('KNN', true, 10, 3), ('KNN', true, 1, 4)),
+    t AS (SELECT '[' || string_agg(CAST(c AS VARCHAR), ', ' ORDER BY level) || ']' AS n_vertices FROM (SELECT level, count(*) AS c FROM p GROUP BY level)),
+    r AS (SELECT b.builder_type, '300K' AS dataset, n AS n_data, n AS n_queries, CAST((SELECT len(embedding) FROM embeddings LIMIT 1) AS INTEGER) AS dim, k, CAST(n AS INTEGER) AS max_heap_size, CAST(layer AS INTEGER) AS layer_count,
+      CASE WHEN flat THEN '[' || n || ']' ELSE n_vertices END AS n_vertices, CAST(1 AS INTEGER) AS higher_level_max_heap_size, CAST(100 AS DOUBLE) AS recall
+      FROM b, n, t, (SELECT unnest(range(1, (SELECT count(*) FROM sizes) + 2)) AS layer) WHERE NOT flat OR layer = 1)"""
+
+
+@query("rel13_experiments", f"{_RUN} SELECT * FROM r")
+def _(spark, sf):
+    return _experiments(spark, sf).select("builder_type", "dataset", "n_data", "n_queries", "dim", "k", "max_heap_size", "layer_count", "n_vertices", "higher_level_max_heap_size", "recall")
+
+
+@query("rel13_plot_rows", f"{_RUN} SELECT builder_type, 'LAION-' || dataset AS dataset, k, higher_level_max_heap_size AS hlmhs, max_heap_size AS mhs, max(layer_count) AS layer, 100.0::DOUBLE AS recall FROM r GROUP BY ALL")
+def _(spark, sf):
+    return plot_rows(_experiments(spark, sf), top_layer_only=True).select("builder_type", "dataset", "k", "hlmhs", "mhs", "layer", "recall")
+
+
+@query("rel13_gains", f"{_RUN} SELECT builder_type, 'LAION-' || dataset AS dataset, k, higher_level_max_heap_size AS hlmhs, max_heap_size AS mhs, 0.0::DOUBLE AS recall_diff, 100.0::DOUBLE AS recall_bottom FROM r WHERE layer_count = 1 GROUP BY ALL")
+def _(spark, sf):
+    return gains(plot_rows(_experiments(spark, sf))).select("builder_type", "dataset", "k", "hlmhs", "mhs", "recall_diff", "recall_bottom")
+
+
+@query("agg13_index_report", f"WITH {knn_cte(10)}, d AS (SELECT src, count(*) AS d FROM knn GROUP BY src) SELECT [count(*)] AS n_vertices, CAST(sum(d) AS BIGINT) AS n_edges, CAST(0 AS BIGINT) AS n_duplicates, false AS has_loops, [avg(d)] AS avg_out_degrees, avg(d) AS total_avg_out_degree FROM d")
+def _(spark, sf):
+    index = build_index(vectors(spark, sf), BruteforceKNNParams(10))
+    return index_report(index.select("level", "vec_id"), index_edges(index)).drop("min_max_out_degrees")
+
+
 @query("rel1_sweep")
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -166,7 +266,7 @@ def _(spark, sf):
     return sweep(index, _queries(v), _truth(v, 10), [1, 10], heap_sizes=[10, 50]).select("k", "max_heap_size", "nq", F.round("recall", 6).alias("recall"))
 
 
-@query("snk3_export")
+@query("snk3_export", f"WITH {knn_cte(10)} SELECT CAST(0 AS INTEGER) AS level, src, dst, slot FROM knn")
 def _(spark, sf):
     v = vectors(spark, sf)
     return index_edges(build_index(v, BruteforceKNNParams(10)))

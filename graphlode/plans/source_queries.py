@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.knn import knn
 from ..operators.results import has_nan, read_results, write_results
 from ..registry import query
-from ..sources.datasets import as_ranks, load_files, prefix, reduced_truth
+from ..sources.datasets import Dataset, as_ranks, get_data, load_files, prefix, reduced_truth, write_parquet_set
 from ..sources.synthetic import vectors as generated
 from ..sources.vecs import read_ground_truth, read_vecs, write_vecs
 from ..storage import shared_dir
@@ -42,6 +42,14 @@ def _(spark, sf):
     return as_ranks(read_vecs(spark, path, "i"))
 
 
+@query("src9_stored_set", f"WITH {knn_cte(5)} SELECT src AS query_id, CAST(slot + 1 AS INTEGER) AS rank, dst AS vec_id FROM knn")
+def _(spark, sf):
+    root, v = shared_dir(spark, "sets"), vectors(spark, sf)
+    truth = near(spark, sf, 5).select(F.col("src").alias("query_id"), (F.col("slot") + 1).cast("int").alias("rank"), F.col("dst").alias("vec_id"))
+    write_parquet_set(Dataset(v, v.withColumnRenamed("vec_id", "query_id"), truth), root, "NormalData")
+    return get_data(spark, "NormalData", root).truth
+
+
 @query("src4_one_based_truth", f"WITH {knn_cte(5)} SELECT src AS query_id, CAST(slot + 1 AS INTEGER) AS rank, dst AS vec_id FROM knn")
 def _(spark, sf):
     stored = near(spark, sf, 5).select(F.col("src").alias("query_id"), (F.col("slot") + 1).cast("int").alias("rank"), (F.col("dst") + 1).alias("vec_id"))
@@ -67,7 +75,14 @@ def _(spark, sf):
     return out.select("vec_id", "pos", F.round(F.col("x").cast("double"), 4).alias("v"))
 
 
-@query("src8_generated_truth")
+_NORMAL = "CAST(sqrt(-2.0 * ln(1.0 - {a})) * cos(2 * pi() * {b}) AS FLOAT)".format(a=_uniform("basea"), b=_uniform("baseb"))
+
+
+@query(
+    "src8_generated_truth",
+    f"""WITH embeddings AS MATERIALIZED (SELECT CAST(i AS BIGINT) AS vec_id, list({_NORMAL} ORDER BY j) AS embedding FROM range(0, 500) t(i), range(1, 17) u(j) GROUP BY i)
+    SELECT query_id, rank, vec_id FROM ({exact_sql(10)})""",
+)
 def _(spark, sf):
     v = generated(spark, 500, 16)
     return knn(v, v.withColumnRenamed("vec_id", "query_id"), 10).select("query_id", "rank", "vec_id")

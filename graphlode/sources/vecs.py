@@ -7,6 +7,8 @@ their names.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -75,9 +77,10 @@ def write_vecs(df: DataFrame, path: str, kind: str = "f", id_col: str = "vec_id"
         if pieces:
             fs, base = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
             fs.create_dir(base, recursive=True)
-            with fs.open_output_stream(f"{base}/_{part:06d}") as out:
+            temp = f"{base}/_{part:06d}-{uuid.uuid4().hex}"  # two attempts of a task never share it
+            with fs.open_output_stream(temp) as out:
                 out.write(b"".join(pieces))
-            fs.move(f"{base}/_{part:06d}", f"{base}/part-{part:06d}.{kind}vecs")
+            fs.move(temp, f"{base}/part-{part:06d}.{kind}vecs")
             yield pa.RecordBatch.from_pydict({"part": [part]}, schema=pa.schema([("part", pa.int64())]))
 
     return dealt.mapInArrow(write, "part long").count()
