@@ -20,8 +20,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets a session that has not set it send `most` bytes at a time to Python: at its default of 64 MB batches of long texts take hundreds of MB outside the heap of each executor."""
+    if spark.conf.get(BATCH_BYTES, "") in ("", "67108864b", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back: cuts lineage, and lost executors do not matter to it."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
