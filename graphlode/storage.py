@@ -25,7 +25,7 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lets a session that has not set it send `most` bytes at a time to Python: at its default of 64 MB batches of long texts take hundreds of MB outside the heap of each executor."""
-    if spark.conf.get(BATCH_BYTES, "") in ("", "67108864b", "64m", "64MB"):
+    if spark.conf.get(BATCH_BYTES, "64m") in ("67108864b", "64m", "64MB"):
         spark.conf.set(BATCH_BYTES, most)
 
 
