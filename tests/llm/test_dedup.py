@@ -8,7 +8,7 @@ import pytest
 from graphlode.llm.components import components
 from graphlode.llm.exact_dedup import FuseFilter, exact_duplicates
 from graphlode.llm.line_dedup import dedup_lines
-from graphlode.llm.ngram_join import RTree, connect, counted, fineness, near_duplicates, pack, point, prefix_length, shingle_sets, unpack
+from graphlode.llm.ngram_join import REST, RTree, connect, counted, fineness, folded, near_duplicates, pack, packed_point, partnered, point, prefix_length, shingle_sets, unpack, unpacked_point
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -209,6 +209,20 @@ def test_points_bound_overlaps():
             for b, q in zip(sets, points, strict=True):
                 assert np.minimum(p, q).sum() >= len(np.intersect1d(a, b))
     assert [fineness(n) for n in (1, 64, 65, 4096, 10**6)] == [6, 6, 7, 12, 12]
+    for s in sets:
+        bits, counts = unpacked_point(packed_point(s))
+        assert bits == fineness(len(s), 8) and (counts == point(s, bits)).all() and (folded(counts, 6) == point(s, 6)).all()
+    assert all(fineness(-(-n * 100 // 80), k) - fineness(n, k) <= 1 for n in range(1, 9000) for k in (1, 8))
+
+
+def test_partnered_loses_none():
+    sets = [*near_sets(199), np.unique(np.random.default_rng(1).integers(0, 2**63, 3000, dtype=np.uint64))]
+    points, every = [unpacked_point(packed_point(s)) for s in sets], np.arange(len(sets))
+    cut = [(every[:90], every[:0]), (every[90:], every[:0]), (every[:90], every[90:])]
+    got = partnered(points, cut, 80)
+    for i, a in enumerate(sets):
+        assert got[i] or not any(len(np.intersect1d(a, b)) * 180 >= 80 * (len(a) + len(b)) for j, b in enumerate(sets) if i != j)
+    assert not got[-1]
 
 
 def test_packed_counts():
@@ -217,10 +231,10 @@ def test_packed_counts():
     s = np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64, endpoint=False)
     s = np.concatenate([s, s[:100], s[:10]])
     for bits in (0, 1, 5):
-        want = Counter((s >> np.uint64(32 - bits)).tolist())
+        want = Counter((s >> np.uint64(64 - REST - bits)).tolist())
         got = {}
         for bucket, gaps, times in counted(s, bits):
-            got |= {(bucket << 32) + int(v): int(t) for v, t in zip(np.cumsum(unpack(gaps), dtype=np.uint32), unpack(times), strict=True)}
+            got |= {(bucket << REST) + int(v): int(t) for v, t in zip(np.cumsum(unpack(gaps), dtype=np.uint32), unpack(times), strict=True)}
         assert got == want
 
 

@@ -3,13 +3,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlode.functions.distance import cos_at, occludes
-from graphlode.model import EfannaParams, HierarchyParams, HNSWParams, KeepEdges, RNGGParams
+from graphlode.model import LID, RESULT_COLUMNS, BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, HNSWParams, KeepEdges, NSSGParams, RNGGParams
 from graphlode.operators import graphs, selectors, stats
-from graphlode.operators.hierarchy import build_hierarchy, level_plan, merge_under_hnsw, to_index, top_entries, up_to_level
+from graphlode.operators.experiments import Experiment, Level, Select, describe_levels, preset, run_experiments
+from graphlode.operators.hierarchy import build_hierarchy, layer_ids, level_plan, merge_under_hnsw, next_layer_ids, to_index, top_entries, up_to_level
 from graphlode.operators.knn import knn, knn_graph
 from graphlode.operators.nndescent import nn_descent
-from graphlode.operators.results import has_nan, latex_table, read_results, write_results
+from graphlode.operators.results import gains, has_nan, latex_table, plot_rows, read_results, write_results
 from graphlode.operators.sharded import build_index, index_from_edges, neighbours_of, search
+from graphlode.sources.datasets import Dataset
 from graphlode.sources.synthetic import vectors as generated
 
 
@@ -180,3 +182,56 @@ def test_queries_as_a_stream(spark, vectors, near, tmp_path):
     stream = spark.readStream.schema("query_id long, embedding array<float>").parquet(str(tmp_path / "in"))
     answer_stream(stream, index_from_edges(vectors, near), 3, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_rows_are_numbered_across_ranges(spark):
+    ids = [7 * i % 1000 - 20 for i in range(300)]
+    subset = spark.createDataFrame([(i,) for i in ids], "vec_id long").repartition(5)
+    assert [tuple(r) for r in selectors.numbered(subset).orderBy("local_id").collect()] == list(enumerate(sorted(ids)))
+    assert selectors.numbered(subset.limit(0)).count() == 0
+
+
+def test_copies_of_a_shard_share_its_queries(vectors, near):
+    index, asked = index_from_edges(vectors, near), vectors.withColumnRenamed("vec_id", "query_id")
+    rows = [sorted(map(tuple, search(index, asked, 5, 150, copies=c).collect())) for c in (1, 3, None)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 750
+    by_range = search(index, asked, 5, eps=1e9, copies=2).select("query_id", "vec_id").collect()
+    assert {tuple(r) for r in by_range} == {(q, v) for q, _, v, _ in rows[0]}
+
+
+def test_tables_beyond_a_shard_are_refused(vectors, near):
+    with pytest.raises(ValueError, match="too many for one shard"):
+        index_from_edges(vectors, near, shard_rows=100)
+
+
+def test_searches_start_at_the_first_nodes_of_the_top(vectors):
+    h = build_hierarchy(vectors, [lambda v: knn_graph(v, 8)], [lambda nodes, edges, size: selectors.random_subset(nodes, size)], HierarchyParams(higher_max_degree=5, min_n_vertices_layer=10))
+    top = len(h.sizes) - 1
+    for ef in (1, 3):
+        entries = to_index(h, vectors, ef).where("entry").collect()
+        assert {(r.level, r.local_id) for r in entries} == {(top, i) for i in top_entries(h, ef)} and len(entries) == ef
+    assert {tuple(r) for r in layer_ids(h, 0).collect()} == {(i, i) for i in range(150)}
+    places = {r.local_id: r.next_local_id for r in next_layer_ids(h, 1).collect()}
+    assert {r.local_id: r.global_id for r in layer_ids(h, 1).collect()} == places
+
+
+def test_experiments_give_full_rows_and_outlive_a_failure(spark, vectors, tmp_path):
+    asked = vectors.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    data = Dataset(vectors, asked, knn(vectors, asked, 10).select("query_id", "rank", "vec_id"))
+    made = [Experiment("broken", [Level(NSSGParams(), Select("nothing"))]), Experiment("KNN", [Level(BruteforceKNNParams(40))], flat=True, ks=(1, 10), heap_sizes=[150])]
+    rows = run_experiments(spark, data, "3M", made, str(tmp_path / "results")).orderBy("seq").collect()
+    assert [(r.seq, r.builder_type, r.k, r.max_heap_size, r.layer_count, r.recall, r.n_vertices, r.n_edges, r.total_avg_out_degree, r.avg_out_degrees, r.min_max_out_degrees, r.params) for r in rows] == [
+        (i, "KNN", k, 150, 1, 100.0, "[150]", "6000", "40.0", "[40.0]", "[(40, 40)]", "degree=40|batch_size=1000") for i, k in enumerate((10, 1))
+    ]
+    assert read_results(spark, str(tmp_path / "results")).count() == 2
+    assert latex_table(gains(plot_rows(spark.createDataFrame(rows, "seq long, " + RESULT_COLUMNS))).select("builder_type", "k")).count("KNN") == 2
+
+
+def test_presets():
+    assert preset("DEG", "audio")[0] == DEGParams(lid=LID.LOW, edges_per_vertex=30, max_build_heap_size=40)
+    assert preset("NSSG", "LAION-10M") == (NSSGParams(range=60, l=400), EfannaParams(150, 150, 3, 10, 100))
+    assert preset("HNSW", "unheard of") == (HNSWParams(), None) and preset("RNN", "sift")[0].reduce_degree == 40
+    with pytest.raises(ValueError, match="unknown builder"):
+        preset("TREE", "sift")
+    levels = describe_levels([Level(BruteforceKNNParams(5), Select("flooding", 2, True)), Level(RNGGParams())])
+    assert levels.startswith("level0=KNN(degree=5|batch_size=1000)|flooding=2|repeat|level1=RNGG(degree=30|")
