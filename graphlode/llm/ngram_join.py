@@ -15,8 +15,9 @@ puts elements that many documents hold last, by counts over all documents, so pa
    are one class from here on.
 2. `frequent`: elements are counted over all documents; ranks of the frequent ones make a table of CELLS cells.
 3. `keys`, `blocks`: each class gives its keys; a key that several classes give is a block. Blocks with the same classes are one.
-4. `forest`: blocks are dealt by their least class, so a class is sent once for many blocks. A task grows each block's tree, joins it with
-   itself, and verifies only pairs that are not connected yet; a block that is one component is done, so copies cost a number of
+4. `survivors`, `forest`: blocks are dealt by their least class, so a class is sent once for many blocks. A task grows each block's
+   trees, one for each fineness, and joins them. First coarse points tell which classes have a partner within the bound at all; only their sets are read.
+   Then pairs within the bound are verified if they are not connected yet; a block that is one component is done, so copies cost a number of
    verifications in proportion to their number. Only links that connect leave the task.
 5. A block above `tile_rows` or `tile_elements` is cut into tiles by a hash. Each tile is a tree of its own, then one tree holds a head
    of each tile, and then trees are joined for those pairs of tiles that are not of one component (tiles are cut anew, by component).
@@ -49,10 +50,14 @@ MOST_FREQUENT = 1 << 22
 LEAST_FREQUENT = 4
 #: Elements that a task counts before it sends the counts on, and elements of a bucket that are counted together.
 CHUNK, BUCKET = 1 << 21, 1 << 21
+#: Bits by which the elements of a bucket are told apart when they are counted.
+REST = 26
 #: A key that more documents hold is dealt to several tasks.
 HOT_BITS = 12
 LEAF = 32
 MOST_TRIED = 1 << 20
+#: Rows of a few numbers that go to all tasks; above that both sides are shuffled.
+BROADCAST_ROWS = 500_000
 _SHORT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -92,24 +97,24 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, bits: int) -> np.ndarray:
-    """The upper bits + 32 bits of hashes, by which they are counted."""
-    return s >> np.uint64(32 - bits)
+    """The upper bits + REST bits of hashes, by which they are counted."""
+    return s >> np.uint64(64 - REST - bits)
 
 
 def counted(s: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
-    """(bucket, gaps of sorted distinct 32-bit rests, how often each) for hashes with repeats."""
+    """(bucket, gaps of sorted distinct rests, how often each) for hashes with repeats."""
     values, times = np.unique(prefix(s, bits), return_counts=True)
-    buckets, rest = values >> np.uint64(32), (values & np.uint64(2**32 - 1)).astype(np.uint32)
+    buckets, rest = values >> np.uint64(REST), (values & np.uint64((1 << REST) - 1)).astype(np.uint32)
     cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(values)]
     return [(int(buckets[a]), pack(np.diff(rest[a:b], prepend=np.uint32(0))), pack(np.minimum(times[a:b], 2**32 - 1))) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-PROFILE = "kind int, doc_id long, n long, s1 long, s2 long, gaps binary, times binary"
+PROFILE = "kind int, doc_id long, n long, s1 long, s2 long, point binary, gaps binary, times binary"
 
 
 def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """kind 0: doc_id, n, s1, s2 of each document; kind 1: bucket (in doc_id), gaps and times of counted elements."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gaps", pa.binary()), ("times", pa.binary())])
+    """kind 0: doc_id, n, s1, s2, point of each document; kind 1: bucket (in doc_id), gaps and times of counted elements."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("gaps", pa.binary()), ("times", pa.binary())])
 
     def rows(kind: int, columns: list) -> pa.RecordBatch:
         size = len(columns[0] if kind == 0 else columns[-1])
@@ -121,7 +126,7 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
         def counts():
             found = counted(np.concatenate(held), bits)
-            return rows(1, [[x[0] for x in found], None, None, None, [x[1] for x in found], [x[2] for x in found]])
+            return rows(1, [[x[0] for x in found], None, None, None, None, [x[1] for x in found], [x[2] for x in found]])
 
         for b in batches:
             ids = b.column(0)
@@ -133,7 +138,7 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
                         seen.add(sig)
                         held.append(s)
                         size += len(s)
-                yield rows(0, [ids.slice(first, len(texts)), [len(s) for s in sets], [x[0] for x in sigs], [x[1] for x in sigs], None, None])
+                yield rows(0, [ids.slice(first, len(texts)), [len(s) for s in sets], [x[0] for x in sigs], [x[1] for x in sigs], [packed_point(s) for s in sets], None, None])
                 if size >= CHUNK:
                     yield counts()
                     held, size = [], 0
@@ -241,14 +246,19 @@ def blocks(keyed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, s1 long, s2 long")
 
 
+def to_all(rows: DataFrame) -> DataFrame:
+    """rows (stored) as the side of a join: sent to all tasks if they are at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def needed(total: np.ndarray | int, percent: int):
     """The overlap two sets of `total` elements together need, times (100 + percent)."""
     return percent * total
 
 
-def fineness(n: int) -> int:
-    """Bits of the group number: with about as many groups as elements few differences of two sets cancel out."""
-    return min(12, max(6, (n - 1).bit_length()))
+def fineness(n: int, per_group: int = 1) -> int:
+    """Bits of the group number: 64 to 4,096 groups, with about per_group elements each. Two sets that reach a threshold above 50 % differ by a bit at most."""
+    return min(12, max(6, (-(-n // per_group) - 1).bit_length()))
 
 
 def point(s: np.ndarray, bits: int) -> np.ndarray:
@@ -256,6 +266,23 @@ def point(s: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
 
 
+def packed_point(s: np.ndarray, per_group: int = 8) -> bytes:
+    """A point in which unrelated sets lie too far apart, in as few bytes as will do: one for its bits, one for the width of a count, the counts."""
+    bits = fineness(len(s), per_group)
+    counts = point(s, bits)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([bits, width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpacked_point(data: bytes) -> tuple[int, np.ndarray]:
+    return data[0], np.frombuffer(data, f"<u{data[1]}", offset=2).astype(np.int32)
+
+
+def folded(counts: np.ndarray, bits: int) -> np.ndarray:
+    """A point at fewer bits: neighbouring groups are one."""
+    return counts.reshape(1 << bits, -1).sum(axis=1, dtype=np.int32)
+
+
 class RTree:
     """Points packed into leaves by size and coordinates, leaves into nodes; boxes keep upper corners and least sizes."""
 
@@ -315,15 +342,34 @@ class Groups:
         self.parts[a] += gone
 
 
+def trees(points: list[tuple[int, np.ndarray]], left: np.ndarray, right: np.ndarray, percent: int, done):
+    """Yields (rows, rows) of the members left and right (left with itself, if right is empty) whose bound allows the threshold.
+
+    points: bits and counts. There is a tree for each number of bits; it meets the trees of as many bits and of one more. done(rows, rows): not wanted.
+    """
+    cache = {}
+
+    def tree(members: np.ndarray, own: int, bits: int):
+        rows = members[[points[i][0] == own for i in members.tolist()]]
+        if not len(rows):
+            return None
+        if (members is right, own, bits) not in cache:
+            cache[members is right, own, bits] = RTree(np.stack([folded(points[i][1], bits) for i in rows.tolist()])), rows
+        return cache[members is right, own, bits]
+
+    both = right if len(right) else left
+    for bits in sorted({points[i][0] for i in (*left.tolist(), *right.tolist())}):
+        for x, y in ((bits, bits), (bits, bits + 1), *([(bits + 1, bits)] if len(right) else [])):
+            a, b = tree(left, x, bits), tree(both, y, bits)
+            if a and b:
+                for p, q in a[0].join(b[0], percent, lambda u, v: done(a[1][u], b[1][v])):  # noqa: B023
+                    yield a[1][p], b[1][q]
+
+
 def connect(sets: list[np.ndarray], labels: np.ndarray, jobs: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links that connect: pairs of sets of different labels that reach the threshold. jobs: (rows, rows) to join with each other, or with themselves if the second is empty."""
-    groups, tried, links, cache = Groups(labels), set(), [], {}
-
-    def points(rows: np.ndarray, bits: int) -> np.ndarray:
-        for i in rows.tolist():
-            if (i, bits) not in cache:
-                cache[i, bits] = point(sets[i], bits)
-        return np.stack([cache[i, bits] for i in rows.tolist()])
+    groups, tried, links = Groups(labels), set(), []
+    points = [(bits := fineness(len(s)), point(s, bits)) for s in sets]
 
     def one(*rows: np.ndarray) -> bool:
         found = np.concatenate([groups.labels[x] for x in rows])
@@ -332,13 +378,7 @@ def connect(sets: list[np.ndarray], labels: np.ndarray, jobs: list[tuple[np.ndar
     for left, right in jobs:
         if one(left, right):
             continue
-        if len(cache) << 12 > 1 << 27:
-            cache.clear()
-        bits = fineness(max(len(sets[i]) for i in (*left.tolist(), *right.tolist())))
-        a = RTree(points(left, bits))
-        b, other = (RTree(points(right, bits)), right) if len(right) else (a, left)
-        for p, q in a.join(b, percent, lambda x, y: one(left[x], other[y])):  # noqa: B023
-            p, q = left[p], other[q]
+        for p, q in trees(points, left, right, percent, one):
             open_ = groups.labels[p] != groups.labels[q]
             for i, j in zip(p[open_].tolist(), q[open_].tolist(), strict=True):
                 pair = (i, j) if i < j else (j, i)
@@ -356,27 +396,61 @@ def connect(sets: list[np.ndarray], labels: np.ndarray, jobs: list[tuple[np.ndar
     return links
 
 
-def forest(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that connect. jobs (g, job, side, c): the classes of a job, dealt by g; sides 0 and 1 are joined, a single side with itself. sets: c, label, elements."""
-    jobs = staged(jobs, "jobs")
-    holders = jobs.select("g", "c").distinct().join(sets, "c").select("g", "c", "label", "elements").toDF("of", "c", "label", "elements")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def partnered(points: list[tuple[int, np.ndarray]], jobs: list[tuple[np.ndarray, np.ndarray]], percent: int) -> np.ndarray:
+    """Which points have another one in a job that the bound allows."""
+    found = np.zeros(len(points), bool)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def done(x: np.ndarray, y: np.ndarray) -> bool:
+        return bool(found[x].all() and found[y].all())
+
+    for left, right in jobs:
+        if not done(left, right):
+            for p, q in trees(points, left, right, percent, done):
+                found[p] = found[q] = True
+    return found
+
+
+def dealt(jobs: DataFrame, holders: DataFrame, ddl: str, run) -> DataFrame:
+    """run(ids, table of holders, jobs as rows of it) for each g of jobs (g, job, side, c); holders: of (a g), c, and what is known of c. ddl: of run's columns."""
+    names = [x.split(" ")[0] for x in ddl.split(", ")]
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], pa.int64()) for _ in names], names=names)
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
+            return none
         ids = right["c"].to_numpy()
-        order = np.argsort(ids)
-        ids, elements = ids[order], right["elements"]
-        members = [np.frombuffer(elements[i].as_py(), np.uint64) for i in order.tolist()]
+        right, ids = right.take(pa.array(np.unique(ids, return_index=True)[1])), np.unique(ids)
         job, side, at = left["job"].to_numpy(), left["side"].to_numpy(), np.searchsorted(ids, left["c"].to_numpy())
         by = np.lexsort((at, side, job))
         cut = [by[x] for x in np.split(np.arange(len(by)), np.flatnonzero(np.diff(job[by])) + 1)]
-        found = connect(members, right["label"].to_numpy()[order], [(at[x][side[x] == 0], at[x][side[x] == 1]) for x in cut], percent)
-        u, v = (np.array(x, np.int64) for x in (zip(*found, strict=True) if found else ((), ())))
-        return pa.table([pa.array(ids[u]), pa.array(ids[v])], schema=schema)
+        columns = run(ids, right, [(at[x][side[x] == 0], at[x][side[x] == 1]) for x in cut])
+        return pa.table([pa.array(np.asarray(x, np.int64)) for x in columns], names=names)
+
+    return jobs.groupBy("g").cogroup(holders.groupBy("of")).applyInArrow(task, ddl)
+
+
+def forest(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that connect. jobs (g, job, side, c): the classes of a job, dealt by g; sides 0 and 1 are joined, a single side with itself. sets: c, label, elements."""
+    jobs = staged(jobs, "jobs")
+    holders = sets.join(to_all(staged(jobs.select(F.col("g").alias("of"), "c").distinct(), "holders")), "c").select("of", "c", "label", "elements")
+
+    def run(ids: np.ndarray, held: pa.Table, cut: list) -> tuple[np.ndarray, np.ndarray]:
+        members = [np.frombuffer(x.as_py(), np.uint64) for x in held["elements"]]
+        found = np.array(connect(members, held["label"].to_numpy(), cut, percent), np.int64).reshape(-1, 2)
+        return ids[found[:, 0]], ids[found[:, 1]]
+
+    return dealt(jobs, holders, "u long, v long", run)
+
+
+def survivors(jobs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(c): the classes for which a tree holds a partner within the bound. points: c, point."""
+    jobs = staged(jobs, "jobs")
+    holders = points.join(to_all(staged(jobs.select(F.col("g").alias("of"), "c").distinct(), "holders")), "c").select("of", "c", "point")
+
+    def run(ids: np.ndarray, held: pa.Table, cut: list) -> tuple[np.ndarray]:
+        return (ids[partnered([unpacked_point(x.as_py()) for x in held["point"]], cut, percent)],)
 
-    return jobs.groupBy("g").cogroup(holders.groupBy("of")).applyInArrow(run, "u long, v long")
+    return dealt(jobs, holders, "c long", run).distinct()
 
 
 def id_filter(wanted: DataFrame, n: int, most_bits: int = 1 << 24) -> np.ndarray:
@@ -415,9 +489,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     found = docs.mapInArrow(run, "doc_id long, s1 long, s2 long, elements binary")
-    # rows that repeat an id may repeat a set
-    one = found.join(wanted, ["doc_id", "s1", "s2"]).select("c", F.col("c").alias("label"), "elements")
-    return staged(one.groupBy("c", "label").agg(F.first("elements").alias("elements")), "sets")
+    # rows that repeat an id may repeat a set, which changes nothing
+    return staged(found.join(to_all(wanted), ["doc_id", "s1", "s2"]).select("c", F.col("c").alias("label"), "elements"), "sets")
 
 
 def tiled(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, tile_rows: int, tile_elements: int) -> DataFrame:
@@ -463,15 +536,15 @@ def tiled(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int, t
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    tile_rows: int = 4096, tile_elements: int = 1 << 22, group_elements: int = 1 << 21,
+    tile_rows: int = 4096, tile_elements: int = 1 << 22, group_elements: int = 1 << 19,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     rows = documents(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).head().bytes or 0
     bits = min(32, math.ceil(size / 6 / BUCKET).bit_length())  # a word and its space have about six bytes
     profiled = staged(profile(rows, words, bits), "profile")
-    docs_of = profiled.where("kind = 0").select("doc_id", "n", "s1", "s2")
-    named = docs_of.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
+    docs_of = profiled.where("kind = 0").select("doc_id", "n", "s1", "s2", "point")
+    named = docs_of.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("point").alias("point"))
     classes = staged(named.withColumn("c", F.monotonically_increasing_id()), "classes")
 
     with_id = rows.where("doc_id is not null")
@@ -486,12 +559,14 @@ def near_duplicates(
     wanted = wanted.groupBy("m", "w", "first", "h1", "h2").agg(F.min("key").alias("key")).select("key", "m", "w", "first")
     members = staged(placed.join(wanted, "key"), "members")
 
-    held = members.select("c").distinct().join(classes.select("c", "s1", "s2", F.col("rep").alias("doc_id")), "c")
-    sets = class_sets(with_id, staged(held, "wanted"), words)
     fits = (F.col("m") <= tile_rows) & (F.col("w") <= tile_elements)
     total, large = members.agg(F.sum(F.when(fits, F.col("n"))), F.coalesce(F.bool_or(~fits), F.lit(False))).head()
     groups = max(1, math.ceil((total or 0) / group_elements))
-    links = staged(forest(members.where(fits).select(F.pmod(F.xxhash64("first"), F.lit(groups)).alias("g"), F.col("key").alias("job"), F.lit(0).alias("side"), "c"), sets, percent), "links")
+    jobs = members.where(fits).select(F.pmod(F.xxhash64("first"), F.lit(groups)).alias("g"), F.col("key").alias("job"), F.lit(0).alias("side"), "c")
+    near = staged(survivors(jobs, classes.select("c", "point"), percent), "survivors")
+    left = near.unionByName(members.where(~fits).select("c")).distinct() if large else near
+    sets = class_sets(with_id, staged(left.join(classes.select("c", "s1", "s2", F.col("rep").alias("doc_id")), "c"), "wanted"), words)
+    links = staged(forest(jobs.join(near, "c", "left_semi"), sets, percent), "links")
     if large:
         links = links.unionByName(tiled(members.where(~fits), sets, links, percent, tile_rows, tile_elements))
     final = components(links)

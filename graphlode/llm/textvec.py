@@ -93,7 +93,7 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(acc[good]), of
 
 
-def slices(column, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def slices(column, limit: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
     """Parts of an Arrow string column of about `limit` characters each (a longer text stands alone): first row, texts."""
     start, size, texts = 0, 0, []
     for i, text in enumerate(column):

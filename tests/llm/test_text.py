@@ -265,7 +265,7 @@ def test_marks_leave_the_article():
 
 def test_clashing_labels_count_as_the_worse(spark):
     rng = random.Random(4)
-    docs = spark.createDataFrame([(i, " ".join(rng.choices([["the", "of", "house"], ["buy", "now", "win"]][i % 2], k=80))) for i in range(80)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([f"{'ab'[i % 2]}word{k}" for k in range(60)], k=80))) for i in range(80)], "doc_id long, text string")
     labels = [(i, 1 - i % 2, 0) for i in range(40)]
     clashing = labels + [(i, 1, 0) for i in range(1, 40, 2)] + [(i, 0, None) for i in range(1, 40, 2)]
     ddl = "doc_id long, quality int, toxic int"
