@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from . import sql
 from .bpe import bpe_round_trip
 from .common import read
+from .divergence import divergence
 from .exact_dedup import exact_duplicates
 from .html_text import extract
 from .language import language_id
 from .line_dedup import dedup_lines
+from .merkle import audit, document_leaves, manifest
 from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
@@ -78,6 +80,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = document_leaves(read(spark, sf_dir, "documents"), modulus=7)
+    return audit(manifest(leaves, by=["doc_id"]), "doc_id", "claim")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op1_token_shards, op2_exact_dedup, op3_bpe, op4_ngram_join, op5_line_dedup, op6_html_text, op7_warc, op8_packing, op9_quality, op10_language_id, pipeline,
+        op1_token_shards, op2_exact_dedup, op3_bpe, op4_ngram_join, op5_line_dedup, op6_html_text, op7_warc, op8_packing, op9_quality, op10_language_id, op11_merkle, op13_divergence, pipeline,
     )
     return {f.__name__: f for f in named}
 

@@ -61,3 +61,31 @@ FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c
 """
 
 ORACLES = {"op4_ngram_join": OP4, "op5_line_dedup": OP5, "op2_exact_dedup": OP2, "op7_warc": OP7}
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), w AS (SELECT r, lang, source, unnest(t) AS term FROM d
+), k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang
+), g AS (SELECT DISTINCT lang, source FROM d
+), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + v.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 1)) // (v.total + v.v) AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(pair.value, 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+UNION ALL SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM terms) WHERE rank <= 200
+"""
+ORACLES["op13_divergence"] = OP13
