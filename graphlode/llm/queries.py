@@ -18,6 +18,7 @@ from .line_dedup import dedup_lines
 from .merkle import audit, document_leaves, manifest
 from .ngram_join import near_duplicates
 from .packing import pack_documents
+from .pii import as_text, find_pii
 from .quality import quality_rules
 from .sstable import read_shards, write_shards
 from .warc import read_archives, write_archives
@@ -85,6 +86,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(manifest(leaves, by=["doc_id"]), "doc_id", "claim")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read(spark, sf_dir, "documents"), min_docs=3, top=200)
 
@@ -97,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        op1_token_shards, op2_exact_dedup, op3_bpe, op4_ngram_join, op5_line_dedup, op6_html_text, op7_warc, op8_packing, op9_quality, op10_language_id, op11_merkle, op13_divergence, pipeline,
+        op1_token_shards, op2_exact_dedup, op3_bpe, op4_ngram_join, op5_line_dedup, op6_html_text, op7_warc, op8_packing, op9_quality, op10_language_id, op11_merkle, op12_pii, op13_divergence, pipeline,
     )
     return {f.__name__: f for f in named}
 
