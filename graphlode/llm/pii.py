@@ -158,9 +158,9 @@ def _last_keys(left: Column) -> Column:
 def candidates(found: DataFrame) -> DataFrame:
     """key, kind, start, stop, inst, left, seed: the matches of found (key, base, loose), and the looser ones that lie beside all matches of the text."""
     flat = found.select("key", F.explode("spans").alias("x")).select("key", "x.*").distinct()
-    order = Window.partitionBy("key").orderBy("start", F.desc("seed"))
-    before = F.max(F.when(F.col("seed"), F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("seed"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    forward, back = (Window.partitionBy("key").orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (("start", F.desc("seed")), (F.desc("start"), "seed")))
+    before = F.max(F.when(F.col("seed"), F.col("stop"))).over(forward)
+    after = F.min(F.when(F.col("seed"), F.col("start"))).over(back)
     beside = (F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("stop")) >= F.col("stop"))
     placed = flat.withColumn("before", before).withColumn("after", after)
     return placed.where(F.col("seed") | beside).drop("before", "after")

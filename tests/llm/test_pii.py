@@ -38,7 +38,7 @@ def test_forms_equal_plain_search(spark):
 
 
 def test_long_runs_take_little_time_and_stack(spark):
-    n = 20_000
+    n = 100_000
     texts = ["a" * n, "1" * n, "1 " * n, "1." * n, "a.b-" * n, "a@" * n, "+1" * n, "+1 " + "2 " * n, "a@" + "b." * n, "a@" + "b.c" * n, "- " * n, "(1) " * n]
     got = run(spark, texts)
     assert got[9][0] == [("email", 0, len(texts[9]))]
