@@ -21,7 +21,10 @@ SMALL = 30
 OFFERS = 1 << 19
 
 
-def distances(x: np.ndarray, rows, q: np.ndarray) -> np.ndarray:
+def distances(x, rows, q: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of a matrix from q; x may also be a function that has measured them."""
+    if callable(x):
+        return x(rows)
     d = x[rows] - q
     return np.einsum("ij,ij->i", d, d)
 

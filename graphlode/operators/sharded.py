@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..model import BruteforceKNNParams, DEGParams, EfannaParams, HNSWParams, NSSGParams, RNGGParams, RNNParams
 from ..storage import staged
 from . import kernels
+from .beam import GraphIndex, GraphLevel, search_graph
 from .knn import matrix, merged
 
 INDEX = "shard long, level int, local_id long, vec_id long, embedding array<float>, neighbours array<long>, parent long, entry boolean"
@@ -105,13 +106,15 @@ def build_index(vectors: DataFrame, params, start=None, shard_rows: int = 50_000
 
 
 def search(
-    index: DataFrame, queries: DataFrame, k: int, ef: int | None = None, ef_higher: int = 1, max_frontier: int | None = None, from_level: int | None = None, eps: float | None = None, copies: int | None = None
+    index: DataFrame | GraphIndex, queries: DataFrame, k: int, ef: int | None = None, ef_higher: int = 1, max_frontier: int | None = None, from_level: int | None = None, eps: float | None = None, copies: int | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, dist. ef defaults to 2k. from_level leaves out the levels above it. eps: the bottom is searched by range.
 
-    A query goes to every shard, so work grows with the number of shards. With fewer shards than cores each shard is sent to several
-    tasks (`copies`) that share its queries.
+    A graph over edge tables is walked in rounds (`beam`). Of an index of shards, a query goes to every shard, so work grows with the number of shards; with fewer shards than cores
+    each shard is sent to several tasks (`copies`) that share its queries.
     """
+    if isinstance(index, GraphIndex):
+        return search_graph(index, queries, k, ef, ef_higher, max_frontier, from_level, eps)
     ef = ef or 2 * k
     if from_level is not None:
         index = index.where(F.col("level") <= from_level)
@@ -156,16 +159,12 @@ def one_shard(vectors: DataFrame, most: int) -> DataFrame:
     return vectors
 
 
-def index_from_edges(vectors: DataFrame, edges: DataFrame, roots: list[int] | None = None, shard_rows: int = 2_000_000) -> DataFrame:
-    """An index of one shard and one level from an edge table over dense ids; roots are the entry points. More than shard_rows rows raise."""
-    vectors = one_shard(vectors, shard_rows)
-    lists = edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "dst"))), lambda e: e["dst"]).alias("neighbours"))
-    joined = vectors.select("vec_id", "embedding").join(lists.withColumnRenamed("src", "vec_id"), "vec_id", "left")
-    entry = F.col("vec_id").isin(roots) if roots else F.col("vec_id") == 0
-    return joined.select(
-        F.lit(0).cast("long").alias("shard"), F.lit(0).alias("level"), F.col("vec_id").alias("local_id"), "vec_id", "embedding",
-        F.coalesce("neighbours", F.array().cast("array<long>")).alias("neighbours"), F.col("vec_id").alias("parent"), entry.alias("entry"),
-    )
+def index_from_edges(vectors: DataFrame, edges: DataFrame, roots: list[int] | None = None) -> GraphIndex:
+    """A graph of one level from an edge table; roots are the entry points, by default the row with the least id."""
+    if roots is None:
+        least = vectors.agg(F.min("vec_id")).head()[0]
+        roots = [] if least is None else [least]
+    return GraphIndex(vectors.select("vec_id", "embedding"), [GraphLevel(edges.select("src", "dst", "slot"), roots)])
 
 
 def index_edges(index: DataFrame) -> DataFrame:

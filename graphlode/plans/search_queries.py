@@ -63,6 +63,12 @@ def _(spark, sf):
     return _exact(index_from_edges(v, near(spark, sf, 10)), v)
 
 
+@query("srch1_beam_50")
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(search(index_from_edges(v, near(spark, sf, 30)), _queries(v), 10, 50), "dist")
+
+
 @query("srch2_capped")
 def _(spark, sf):
     v = vectors(spark, sf)
@@ -226,12 +232,12 @@ def _experiments(spark, sf):
     v = vectors(spark, sf)
     n = [v.count()]
     levels = [Level(BruteforceKNNParams(12), Select("random")), Level(RNNParams(12, 12, 2, 3), Select("random"))]
-    made = [Experiment("HSGF_KNN", levels, PARAMS, ks=(1, 10), heap_sizes=n), Experiment("HSGF_RNGG", [Level(RNGGParams(12, prune_extend_degree=12))], PARAMS, heap_sizes=n), Experiment("KNN", levels[:1], flat=True, ks=(1, 10), heap_sizes=n)]
+    made = [Experiment("Levels_KNN", levels, PARAMS, ks=(1, 10), heap_sizes=n), Experiment("Levels_RNGG", [Level(RNGGParams(12, prune_extend_degree=12))], PARAMS, heap_sizes=n), Experiment("KNN", levels[:1], flat=True, ks=(1, 10), heap_sizes=n)]
     return run_experiments(spark, Dataset(v, _queries(v), _truth(v, 10)), "300K", made)
 
 
 #: The rows of `_experiments` without times (r).
-_RUN = f"""{_LEVELS}, b(builder_type, flat, k, seq) AS (VALUES ('HSGF_KNN', false, 10, 0), ('HSGF_KNN', false, 1, 1), ('HSGF_RNGG', false, 10, 2), ('KNN', true, 10, 3), ('KNN', true, 1, 4)),
+_RUN = f"""{_LEVELS}, b(builder_type, flat, k, seq) AS (VALUES ('Levels_KNN', false, 10, 0), ('Levels_KNN', false, 1, 1), ('Levels_RNGG', false, 10, 2), ('KNN', true, 10, 3), ('KNN', true, 1, 4)),
     t AS (SELECT '[' || string_agg(CAST(c AS VARCHAR), ', ' ORDER BY level) || ']' AS n_vertices FROM (SELECT level, count(*) AS c FROM p GROUP BY level)),
     r AS (SELECT b.builder_type, '300K' AS dataset, n AS n_data, n AS n_queries, CAST((SELECT len(embedding) FROM embeddings LIMIT 1) AS INTEGER) AS dim, k, CAST(n AS INTEGER) AS max_heap_size, CAST(layer AS INTEGER) AS layer_count,
       CASE WHEN flat THEN '[' || n || ']' ELSE n_vertices END AS n_vertices, CAST(1 AS INTEGER) AS higher_level_max_heap_size, CAST(100 AS DOUBLE) AS recall

@@ -192,24 +192,19 @@ def test_rows_are_numbered_across_ranges(spark):
 
 
 def test_copies_of_a_shard_share_its_queries(vectors, near):
-    index, asked = index_from_edges(vectors, near), vectors.withColumnRenamed("vec_id", "query_id")
+    index, asked = build_index(vectors, BruteforceKNNParams(20)), vectors.withColumnRenamed("vec_id", "query_id")
     rows = [sorted(map(tuple, search(index, asked, 5, 150, copies=c).collect())) for c in (1, 3, None)]
     assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 750
     by_range = search(index, asked, 5, eps=1e9, copies=2).select("query_id", "vec_id").collect()
     assert {tuple(r) for r in by_range} == {(q, v) for q, _, v, _ in rows[0]}
 
 
-def test_tables_beyond_a_shard_are_refused(vectors, near):
-    with pytest.raises(ValueError, match="too many for one shard"):
-        index_from_edges(vectors, near, shard_rows=100)
-
-
 def test_searches_start_at_the_first_nodes_of_the_top(vectors):
     h = build_hierarchy(vectors, [lambda v: knn_graph(v, 8)], [lambda nodes, edges, size: selectors.random_subset(nodes, size)], HierarchyParams(higher_max_degree=5, min_n_vertices_layer=10))
     top = len(h.sizes) - 1
     for ef in (1, 3):
-        entries = to_index(h, vectors, ef).where("entry").collect()
-        assert {(r.level, r.local_id) for r in entries} == {(top, i) for i in top_entries(h, ef)} and len(entries) == ef
+        first = {r.local_id: r.global_id for r in layer_ids(h, top).collect()}
+        assert to_index(h, vectors, ef).levels[top].entries == [first[i] for i in top_entries(h, ef)]
     assert {tuple(r) for r in layer_ids(h, 0).collect()} == {(i, i) for i in range(150)}
     places = {r.local_id: r.next_local_id for r in next_layer_ids(h, 1).collect()}
     assert {r.local_id: r.global_id for r in layer_ids(h, 1).collect()} == places
