@@ -209,7 +209,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     held = edges.groupBy("kind", "pattern").agg(F.count_distinct("inst").alias("n"), F.min(F.col("seed").cast("int")).alias("all_seeds"))
     held = staged(held.where(F.col("n") > min_support).where("all_seeds = 0").select("kind", "pattern"), "pii-supported")
     wanted = held.select("pattern").distinct()
-    totals = rows.select(F.explode(_keys(words(F.col("text")))).alias("pattern")).join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
+    totals = rows.select(F.explode(let(words(F.col("text")), _keys)).alias("pattern")).join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("total"))
     if held.isEmpty():
         new = near.limit(0).select("key", "kind", "start", "stop")
     else:
