@@ -2,8 +2,8 @@
 
 * `reverse_insert`: every kept edge u -> v offers u to v. v takes offers in order of distance: it appends while there is room, and beyond that prunes its list anew. The
   fold runs over bucketed nodes; a node takes at most CHUNK offers a round, so one that a third of all rows point to takes several rounds and no more memory.
-* `connect`: nodes that a root does not reach get the smallest id that reaches them as their label, all at once. A node that is its own label needs an edge from
-  outside, and those edges are enough. Hosts are reached nodes with room, one new edge each; without any room they take one beyond the limit, which is counted.
+* `connect`: nodes that a root does not reach get the smallest id that reaches them as their label, all at once. Edges to all nodes that are their own label
+  would be enough; those that a node of larger label leads to are left out, as they have others upstream. Hosts are reached nodes with room, one new edge each; without any room they take one beyond the limit, which is counted.
 """
 
 from __future__ import annotations
@@ -119,7 +119,9 @@ def connect(edges: DataFrame, nodes: DataFrame, root: int, most: int) -> Connect
         left = staged(nodes.select("vec_id").join(seen.withColumnRenamed("node", "vec_id"), "vec_id", "left_anti"), "unreached")
         if left.isEmpty():
             return Connected(edges, added, beyond)
-        heads = reach_labels(edges, left).where("node = label").select(F.col("node").alias("vec_id"))
+        labels = staged(reach_labels(edges, left), "labels")
+        upstream = edges.join(labels, edges.src == labels.node).groupBy("dst").agg(F.max("label").alias("feeder")).withColumnRenamed("dst", "node")
+        heads = labels.where("node = label").join(upstream, "node", "left").where("feeder is null or feeder <= node").select(F.col("node").alias("vec_id"))
         degrees = edges.groupBy(F.col("src").alias("node")).agg((F.max("slot") + 1).alias("next"), F.count(F.lit(1)).alias("degree"))
         hosts = staged(seen.join(degrees, "node", "left").na.fill(0, ["next", "degree"]), "hosts")
         free = hosts.where(F.col("degree") < most)
