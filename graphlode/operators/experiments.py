@@ -14,8 +14,10 @@ from ..model import LID, RESULT_COLUMNS, BruteforceKNNParams, DEGParams, EfannaP
 from ..sources.datasets import Dataset, reduced_truth
 from ..storage import staged
 from . import selectors
+from .cells import cell_graph
 from .evaluate import evaluate, level_wise
 from .hierarchy import Hierarchy, build_hierarchy
+from .nssg import nssg_graph
 from .results import max_heap_sizes, write_results
 from .sharded import build_index, index_edges
 
@@ -96,10 +98,17 @@ class Level:
     params: object
     selector: Select = field(default_factory=Select)
     start: object = None
+    cell_rows: int = 1_000_000
 
     def builder(self) -> Callable[[DataFrame], DataFrame]:
+        """vectors -> edges: in one task up to cell_rows rows, beyond that by overlapping cells (angle-pruned graphs on tables)."""
+
         def build(vectors: DataFrame) -> DataFrame:
-            return index_edges(build_index(vectors, self.params, self.start, shard_rows=1_000_000)).where("level = 0").select("src", "dst", "slot")
+            if vectors.count() <= self.cell_rows:
+                return index_edges(build_index(vectors, self.params, self.start, shard_rows=self.cell_rows)).where("level = 0").select("src", "dst", "slot")
+            if isinstance(self.params, NSSGParams):
+                return nssg_graph(vectors, self.params, self.start)[0].edges
+            return cell_graph(vectors, self.params, self.cell_rows, start=self.start).edges.select("src", "dst", "slot")
 
         return build
 

@@ -16,17 +16,21 @@ def _ranked(df: DataFrame, by, *order) -> DataFrame:
     return df.withColumn("slot", (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("int"))
 
 
-def random_graph(vectors: DataFrame, out_degree: int, seed: str = "graph") -> DataFrame:
+def random_graph(vectors: DataFrame, out_degree: int, seed: str = "graph", n: int | None = None) -> DataFrame:
     """Each row gets `out_degree` distinct others, drawn by hash: about twice as many draws as needed, repeats dropped.
 
-    Rows must have dense ids from 0. Draw t of row i is a number from md5(seed:i:t); nothing is joined all against all.
+    Ends are ids below n, by default the number of rows; rows must have dense ids from 0. Draw t of row i is a number from md5(seed:i:t); nothing is joined all against all. Where over half
+    of all rows are asked for, each row's others are ranked by md5(seed:i:j) instead.
     """
-    n = vectors.count()
+    n = vectors.count() if n is None else n
     degree = min(out_degree, max(n - 1, 0))
     if not degree:
         return vectors.sparkSession.createDataFrame([], "src long, dst long, slot int")
-    tries = n * 8 if degree * 2 > n else degree * 2 + 20
-    draws = vectors.select(F.col("vec_id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
+    most = degree * 2 > n
+    draws = vectors.select(F.col("vec_id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n - 1 if most else degree * 2 + 19))).alias("t"))
+    if most:
+        ranked = draws.select("src", F.col("t").cast("long").alias("dst"), shuffled(seed, "src", "t").alias("k")).where("src != dst")
+        return _ranked(ranked, ["src"], "k", "dst").where(F.col("slot") < degree).select("src", "dst", "slot")
     draws = draws.withColumn("dst", (F.conv(F.substring(shuffled(seed, "src", "t"), 1, 12), 16, 10).cast("long") % F.lit(n))).where("src != dst")
     first = draws.groupBy("src", "dst").agg(F.min("t").alias("t"))
     return _ranked(first, ["src"], "t").where(F.col("slot") < degree).select("src", "dst", "slot")
@@ -146,9 +150,16 @@ def rng_violations(edges: DataFrame) -> DataFrame:
     return tri.where("dist > greatest(d_vu, d_ut)").select("src", "dst").distinct()
 
 
-def add_hubs(edges: DataFrame, hubs: DataFrame, vectors: DataFrame, most: int, seed: str = "hubs") -> DataFrame:
-    """Gives each hub (vec_id) up to `most` random new ends that it has no edge to; new slots follow the old ones."""
-    extra = random_graph(vectors, most, seed).join(hubs.select(F.col("vec_id").alias("src")), "src", "left_semi")
+def add_hubs(edges: DataFrame, hubs: DataFrame, numbers: DataFrame, most: int, seed: str = "hubs") -> DataFrame:
+    """Gives each hub (vec_id) up to `most` random new ends that it has no edge to; new slots follow the old ones.
+
+    numbers: local_id, global_id of all rows of the level, local ids dense from 0. Ends are drawn among these, for hubs alone.
+    """
+    numbers = staged(numbers, "level-numbers")
+    ids = lambda a, b: numbers.select(F.col("local_id").alias(a), F.col("global_id").alias(b))
+    own = hubs.join(ids("local", "vec_id"), "vec_id").select(F.col("local").alias("vec_id"))
+    drawn = random_graph(own, most, seed, numbers.count()).withColumnsRenamed({"src": "a", "dst": "b"})
+    extra = drawn.join(ids("a", "src"), "a").join(ids("b", "dst"), "b").select("src", "dst", "slot")
     extra = extra.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
     offset = edges.groupBy("src").agg((F.max("slot") + 1).alias("base"))
     extra = extra.join(offset, "src", "left").select("src", "dst", (F.coalesce("base", F.lit(0)) + F.col("slot")).cast("int").alias("slot"))

@@ -317,7 +317,26 @@ def _(spark, sf):
 )
 def _(spark, sf):
     v = vectors(spark, sf)
-    return graphs.add_hubs(near(spark, sf, 5), selectors.random_subset(v), v, 4)
+    return graphs.add_hubs(near(spark, sf, 5), selectors.random_subset(v), selectors.numbered(v), 4)
+
+
+@query(
+    "hier5_upper_level",
+    f"""WITH {_RANDOM_SUBSET}, l1 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS local_id, vec_id AS global_id, embedding FROM embeddings JOIN sub USING (vec_id)),
+    s2 AS (SELECT global_id, row_number() OVER (ORDER BY CASE WHEN global_id = 0 THEN '' ELSE md5('second:' || global_id) END, global_id) AS rn FROM l1),
+    h AS (SELECT l1.* FROM s2 JOIN l1 USING (global_id) WHERE rn <= (SELECT count(*) // 2 FROM l1)),
+    k AS MATERIALIZED (SELECT src, dst, CAST(rn - 1 AS INTEGER) AS slot FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rn FROM (
+      SELECT a.global_id AS src, b.global_id AS dst, {dist("a.embedding", "b.embedding")} AS d FROM l1 a JOIN l1 b ON a.global_id <> b.global_id)) WHERE rn <= 5),
+    t AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY min(t)) - 1 AS slot FROM (
+      SELECT local_id AS a, t, CAST('0x' || substr(md5('hubs:' || local_id || ':' || t), 1, 12) AS BIGINT) % (SELECT count(*) FROM l1) AS b FROM h, range(0, 28) r(t)) WHERE a <> b GROUP BY a, b)
+    SELECT src, dst, slot FROM k UNION ALL
+    SELECT x.global_id, y.global_id, CAST(5 + slot AS INTEGER) FROM t JOIN l1 x ON x.local_id = a JOIN l1 y ON y.local_id = b WHERE slot < 4 AND NOT EXISTS (SELECT 1 FROM k WHERE k.src = x.global_id AND k.dst = y.global_id)""",
+)
+def _(spark, sf):
+    v = vectors(spark, sf)
+    sub = selectors.random_subset(v)
+    at = gather(v, sub)
+    return graphs.add_hubs(knn_graph(at, 5), selectors.random_subset(sub, seed="second"), selectors.numbered(sub), 4)
 
 
 # ---- statistics ----
