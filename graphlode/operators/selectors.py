@@ -1,8 +1,14 @@
-"""Subsets of a graph's nodes: random, hubs, and flooding in rounds."""
+"""Subsets of a graph's nodes: random, hubs, and flooding in rounds.
+
+The first `size` rows of an order are found by selection, not by a sort: rows have a text key of fixed order, its prefixes are counted, the one prefix in which row
+`size` lies is looked into further, and all rows up to the key found are kept by a filter. No task holds or merges `size` rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.seeded import shuffled
@@ -14,13 +20,48 @@ def default_size(n: int, size: int | None) -> int:
     return n // 2 if size is None or size >= n else size
 
 
+#: Characters by which a prefix grows in a round of selection, and keys that are put in order at the end.
+STRIDE, EXACT = 3, 4096
+
+
+def as_key(number: str | Column) -> Column:
+    """A long as text that sorts as the number does."""
+    n = F.col(number) if isinstance(number, str) else number
+    return F.lpad((n.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+
+
+def nth_key(keys: DataFrame, n: int, exact: int = EXACT) -> str | None:
+    """The n-th smallest (from 1) of distinct keys (k); the last if there are fewer, None if there are none."""
+    prefix = ""
+    while True:
+        span = keys.agg(F.count(F.lit(1)).alias("count"), F.min("k").alias("first"), F.max("k").alias("last")).head()
+        if not span["count"] or n < 1:
+            return None
+        if n >= span["count"]:
+            return span["last"]
+        if span["count"] <= exact:
+            return keys.orderBy("k").limit(n).agg(F.max("k")).head()[0]
+        width = max(len(os.path.commonprefix([span["first"], span["last"]])), len(prefix)) + STRIDE
+        # at most as many prefixes as STRIDE characters of the key's alphabet have
+        for prefix, count in sorted(map(tuple, keys.groupBy(F.substring("k", 1, width)).count().collect())):  # noqa: B020
+            if n <= count:
+                break
+            n -= count
+        keys = keys.where(F.col("k").startswith(prefix))
+
+
+def first_rows(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """The n rows with the smallest keys, which must differ."""
+    keyed = staged(rows.withColumn("k", key), "keyed")
+    last = nth_key(keyed.select("k"), n)
+    return keyed.where(F.lit(False) if last is None else F.col("k") <= last).drop("k")
+
+
 def random_subset(nodes: DataFrame, size: int | None = None, seed: str = "subset", ensure_zero: bool = True) -> DataFrame:
     """`size` nodes (vec_id) in order of their hash; node 0 takes the first place if it is not among them."""
-    n = nodes.count()
-    size = default_size(n, size)
-    key = shuffled(seed, "vec_id")
-    order = F.when(F.col("vec_id") == 0, F.lit("")).otherwise(key) if ensure_zero else key
-    return nodes.select("vec_id", order.alias("k")).orderBy("k", "vec_id").limit(size).select("vec_id")
+    size = default_size(nodes.count(), size)
+    key = F.concat(shuffled(seed, "vec_id"), as_key("vec_id"))
+    return first_rows(nodes.select("vec_id"), F.when(F.col("vec_id") == 0, F.lit("")).otherwise(key) if ensure_zero else key, size)
 
 
 def hub_nodes(nodes: DataFrame, edges: DataFrame, size: int | None = None, percent: float = 0.0, seed: str = "hubs", ensure_zero: bool = True, legacy_order: bool = False) -> DataFrame:
@@ -29,10 +70,11 @@ def hub_nodes(nodes: DataFrame, edges: DataFrame, size: int | None = None, perce
     size = default_size(n, size)
     other = int(size * min(max(percent if percent <= 100 else 0.0, 0.0), 100.0) / 100)
     degree = nodes.join(edges.groupBy(F.col("src").alias("vec_id")).count(), "vec_id", "left").select("vec_id", F.coalesce("count", F.lit(0)).alias("degree"))
+    degree = staged(degree, "degrees")
     front = F.col("degree") if legacy_order else -F.col("degree")
-    zero = F.when(F.col("vec_id") == 0, 0).otherwise(1) if ensure_zero else F.lit(1)
-    head = degree.orderBy(zero, front, "vec_id").limit(size - other)
-    tail = degree.join(head, "vec_id", "left_anti").orderBy(-front, "vec_id").limit(other)
+    key = F.concat(as_key(front), as_key("vec_id"))
+    head = first_rows(degree, F.when(F.col("vec_id") == 0, F.lit("")).otherwise(key) if ensure_zero else key, size - other)
+    tail = first_rows(degree.join(head, "vec_id", "left_anti"), F.concat(as_key(-front), as_key("vec_id")), other)
     return head.unionByName(tail).select("vec_id")
 
 
@@ -57,7 +99,7 @@ def flooding(nodes: DataFrame, edges: DataFrame, r: int = 1, size: int | None =
         state = staged(joined.select("vec_id", now.alias("chosen")), "flood-state")
     chosen = state.where("chosen").join(order, "vec_id")
     if size is not None:
-        chosen = chosen.orderBy("k").limit(max(size - (1 if ensure_zero else 0), 0))
+        chosen = first_rows(chosen.select("vec_id"), F.concat(shuffled(seed, "vec_id"), as_key("vec_id")), max(size - (1 if ensure_zero else 0), 0))
     chosen = chosen.select("vec_id")
     return chosen.unionByName(nodes.where("vec_id = 0").select("vec_id")) if ensure_zero else chosen
 
