@@ -32,6 +32,11 @@ def angle_from_dim(dim: int) -> float:
     return float(np.degrees(np.arccos((dim - 2) / (2 * dim - 2))))
 
 
+def thresholds(angle: Column, dim: Column) -> tuple[Column, Column]:
+    """cos_threshold and angle_from_dim as columns."""
+    return F.cos(F.radians(angle)), F.degrees(F.acos((dim - F.lit(2)) / (F.lit(2) * dim - F.lit(2))))
+
+
 def block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All squared distances of two blocks of rows by the Gram form: fast, rounded differently from the direct sum."""
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)

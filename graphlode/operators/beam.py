@@ -51,8 +51,11 @@ class GraphIndex:
     vectors: DataFrame
     levels: list[GraphLevel]
 
-    def up_to(self, level: int) -> GraphIndex:
-        return GraphIndex(self.vectors, self.levels[: level + 1])
+    def only(self, levels: list[int]) -> GraphIndex:
+        """Some of the levels, the bottom among them. A row has one id on all levels, so what a level finds is where any lower one is entered."""
+        if 0 not in levels:
+            raise ValueError("the bottom cannot be left out")
+        return GraphIndex(self.vectors, [self.levels[i] for i in sorted(levels)])
 
 
 class _Unfetched(Exception):
@@ -131,9 +134,9 @@ def walk(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: i
     """query_id, rank, vec_id, dist of a best-first search from each query's own entries.
 
     edges: src, dst, slot; queries: query_id, embedding, entries (array of vec_id). With eps it is a search by range. ahead: nodes that a query asks for at a time (by
-    default a quarter of ef, at least AHEAD). Entries and ends that are no rows of vectors are passed over.
+    default half of ef, at least AHEAD). Entries and ends that are no rows of vectors are passed over.
     """
-    ahead = ahead or max(AHEAD, -(-ef // 4))
+    ahead = ahead or max(AHEAD, -(-ef // 2))
     ends = edges.groupBy(F.col("src").alias("node")).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("slot", "dst"))), lambda e: e["dst"])).alias("ends"))
     ends = staged(ends, "neighbour-lists")  # as long as a node's degree
     vectors = vectors.select(F.col("vec_id").alias("node"), "embedding")

@@ -83,6 +83,41 @@ def gains(plot: DataFrame, layers: tuple[int, ...] = (1, 4, 5, 6)) -> DataFrame:
     return out.select("builder_type", "dataset", "k", "hlmhs", "mhs", "qps_diff_percentage", "qps_diff", "recall_diff_percentage", "recall_diff", "recall_bottom", "qps_bottom")
 
 
+def compare_levels(plot: DataFrame, k: int, hlmhs: int = 1, ends_only: bool = False) -> DataFrame:
+    """The rows of plot_rows at one k and one heap size above the bottom, in which builders are compared; ends_only: the bottom and each builder's own top layer."""
+    out = plot.where((F.col("k") == k) & (F.col("hlmhs") == hlmhs))
+    if ends_only:
+        out = out.withColumn("top", F.max("layer").over(Window.partitionBy("builder_type"))).where("layer = 1 or layer = top").drop("top")
+    return out
+
+
+def compare_ef_higher(plot: DataFrame, k: int, ends_only: bool = False) -> DataFrame:
+    """The rows at one k, in which heap sizes above the bottom (as text) are compared; ends_only: the bottom and the highest layer of all."""
+    out = plot.where(F.col("k") == k)
+    if ends_only:
+        top = out.agg(F.max("layer").alias("top"))  # one row
+        out = out.join(F.broadcast(top), (F.col("layer") == 1) | (F.col("layer") == F.col("top"))).drop("top")
+    return out.withColumn("hlmhs", F.col("hlmhs").cast("string"))
+
+
+def with_heap_sizes(rows: DataFrame, k: str = "k") -> DataFrame:
+    """rows with max_heap_size, one for each heap size that is searched for its k."""
+    known = F.create_map(*(x for key, sizes in MAX_HEAP_SIZES.items() for x in (F.lit(key), F.array(*map(F.lit, sizes)))))
+    return rows.withColumn("max_heap_size", F.explode(F.coalesce(F.try_element_at(known, F.col(k).cast("int")), F.array(F.col(k).cast("int")))))
+
+
+def with_level_sizes(rows: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """rows with level (from 1) and size of the levels that suit their data set; rows of unknown sets are left out."""
+    known = F.create_map(*(x for name, sizes in LEVEL_SUBSET_SIZES.items() for x in (F.lit(name), F.array(*map(F.lit, sizes)))))
+    placed = rows.select("*", F.posexplode(F.try_element_at(known, F.col(dataset))).alias("level", "size"))
+    return placed.withColumn("level", F.col("level") + 1).withColumn("size", F.col("size").cast("long"))
+
+
+def described(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with params: the columns as name=value, joined by a bar, None for null."""
+    return rows.withColumn("params", F.concat_ws("|", *(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns)))
+
+
 def renamed(rows: DataFrame) -> DataFrame:
     """data_set becomes dataset, and bare LAION sizes get their prefix."""
     out = rows.withColumnRenamed("data_set", "dataset")

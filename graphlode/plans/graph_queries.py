@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.distance import angle_from_dim, cos_at, cos_threshold, squared_l2
-from ..model import BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, HNSWParams, KeepEdges, NSSGParams, RNGGParams, RNNParams
+from ..functions.distance import cos_at, squared_l2, thresholds
+from ..model import BruteforceKNNParams, HierarchyParams, KeepEdges, RNGGParams
 from ..operators import graphs, selectors, stats
 from ..operators.hierarchy import level_plan
 from ..operators.knn import gather, knn, knn_graph, with_distances
 from ..operators.nndescent import pool_insert
+from ..operators.results import described
 from ..operators.sharded import build_index, index_edges
 from ..registry import query
 from .tables import dist, exact_sql, knn_cte, near, random_cte, rounded, table, vectors
@@ -39,11 +40,12 @@ def _(spark, sf):
 
 @query(
     "dst3_angle_thresholds",
-    "SELECT CAST(a AS DOUBLE) AS angle, round(cos(radians(a)), 9) AS threshold, round(degrees(acos((d - 2) / (2.0 * d - 2))), 9) AS dim_angle FROM (VALUES (30, 8), (45, 16), (60, 64), (75, 128)) t(a, d)",
+    "SELECT DISTINCT CAST(p_size AS DOUBLE) AS angle, round(cos(radians(p_size)), 9) AS threshold, round(degrees(acos(p_size / (2.0 * p_size + 2))), 9) AS dim_angle FROM part",
 )
 def _(spark, sf):
-    rows = [(float(a), round(cos_threshold(a), 9), round(angle_from_dim(d), 9)) for a, d in ((30, 8), (45, 16), (60, 64), (75, 128))]
-    return spark.createDataFrame(rows, "angle double, threshold double, dim_angle double")
+    sizes = table(spark, sf, "part").select(F.col("p_size").cast("double").alias("angle")).distinct()
+    threshold, dim_angle = thresholds(F.col("angle"), F.col("angle") + 2)
+    return sizes.select("angle", F.round(threshold, 9).alias("threshold"), F.round(dim_angle, 9).alias("dim_angle"))
 
 
 # ---- exact neighbours ----
@@ -131,14 +133,14 @@ def _(spark, sf):
 
 @query(
     "prj3_params",
-    """SELECT * FROM (VALUES ('HNSW', 'higher_max_degree=50|lowest_max_degree=100|max_layers=10|n_parallel_burnin=0|max_build_heap_size=50|max_build_frontier_size=None|level_norm_param_override=None|insert_heuristic=True|insert_heuristic_extend=True|post_prune_heuristic=False|insert_minibatch_size=100|n_rounds=1|finetune_rnn=False|finetune_sen=False'), ('RNGG', 'degree=30|degree_short_edges=30|prune_extend_degree=40|prune=none'), ('EFANNA', 'k=50|l=50|iter=10|s=10|r=100'),
-    ('NSSG', 'range=70|l=250|angle=60.0|n_try=10|derive_angle_from_dim=False'),
-    ('DEG', 'edges_per_vertex=40|max_build_heap_size=60|max_build_frontier_size=None|extend_k=0|extend_eps=0.0|improve_k=0|improve_eps=0.0|lid=high|swap_tries=0|additional_swap_tries=0|use_range_search=False|max_path_length=0'),
-    ('RNN', 'initial_degree=100|reduce_degree=50|n_outer_loops=4|n_inner_loops=15|concurrent_batch_size=100'), ('KNN', 'degree=30|batch_size=1000')) t(builder_type, params)""",
+    """SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS degree, CAST(l_quantity AS INTEGER) AS prune_extend_degree, lower(l_returnflag) AS prune,
+      'degree=' || CAST(l_linenumber AS INTEGER) || '|prune_extend_degree=' || CAST(l_quantity AS INTEGER) || '|prune=' || CASE WHEN l_returnflag = 'A' THEN 'None' ELSE lower(l_returnflag) END AS params FROM lineitem WHERE l_returnflag <> 'A'
+    UNION SELECT DISTINCT CAST(l_linenumber AS INTEGER), CAST(l_quantity AS INTEGER), NULL, 'degree=' || CAST(l_linenumber AS INTEGER) || '|prune_extend_degree=' || CAST(l_quantity AS INTEGER) || '|prune=None' FROM lineitem WHERE l_returnflag = 'A'""",
 )
 def _(spark, sf):
-    named = {"HNSW": HNSWParams(), "RNGG": RNGGParams(), "EFANNA": EfannaParams(), "NSSG": NSSGParams(), "DEG": DEGParams(), "RNN": RNNParams(), "KNN": BruteforceKNNParams()}
-    return spark.createDataFrame([(n, p.describe()) for n, p in named.items()], "builder_type string, params string")
+    prune = F.when(F.col("l_returnflag") != "A", F.lower("l_returnflag")).alias("prune")
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("degree"), F.col("l_quantity").cast("int").alias("prune_extend_degree"), prune).distinct()
+    return described(rows, "degree", "prune_extend_degree", "prune")
 
 
 # ---- random graphs and pruning ----

@@ -18,19 +18,23 @@ _PLOT = f"""p AS (SELECT builder_type, {_DS} AS dataset, k, higher_level_max_hea
   avg(qps) AS qps, avg(recall) AS recall, arg_min(elapsed_time, row(seq, elapsed_time)) AS build_time_raw FROM r GROUP BY ALL)"""
 
 
-def _rows(spark, sf):
+def _rows(spark, sf, higher=None):
     li = table(spark, sf, "lineitem")
     return li.select(
         F.concat(F.lit("builder"), F.col("l_suppkey") % 5).alias("builder_type"), F.when(F.col("l_returnflag") == "A", "3M").when(F.col("l_returnflag") == "N", "10M").otherwise("sift").alias("data_set"),
-        F.when(F.col("l_linenumber") % 2 == 0, 10).otherwise(1).alias("k"), F.lit(1).alias("higher_level_max_heap_size"), F.when(F.col("l_linestatus") == "O", 50).otherwise(100).alias("max_heap_size"),
+        F.when(F.col("l_linenumber") % 2 == 0, 10).otherwise(1).alias("k"), (F.lit(1) if higher is None else higher).alias("higher_level_max_heap_size"), F.when(F.col("l_linestatus") == "O", 50).otherwise(100).alias("max_heap_size"),
         (F.col("l_quantity").cast("int") % 6 + 1).alias("layer_count"), F.col("l_extendedprice").cast("double").alias("qps"), (F.col("l_discount").cast("double") * 1000).alias("recall"),
         F.col("l_tax").cast("double").alias("elapsed_time"), (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit("degree="), F.col("l_partkey") % 50).alias("params"),
     )
 
 
-@query("rel3_heap_sizes", "SELECT CAST(k AS INTEGER) AS k, CAST(unnest(s) AS INTEGER) AS max_heap_size FROM (VALUES (1, [10, 30, 50, 100, 200]), (10, [10, 30, 50, 100, 150, 200]), (7, [7]), (1000, [1000, 1200])) t(k, s)")
+@query(
+    "rel3_heap_sizes",
+    """SELECT k, CAST(unnest(CASE k WHEN 1 THEN [10, 30, 50, 100, 200] WHEN 5 THEN [10, 30, 50, 100, 200] WHEN 10 THEN [10, 30, 50, 100, 150, 200] WHEN 20 THEN [20, 30, 40, 60, 100, 150, 200] WHEN 30 THEN [30, 40, 60, 100, 150, 200]
+      WHEN 50 THEN [50, 75, 100, 150, 250] ELSE [k] END) AS INTEGER) AS max_heap_size FROM (SELECT DISTINCT CAST(l_quantity AS INTEGER) AS k FROM lineitem)""",
+)
 def _(spark, sf):
-    return spark.createDataFrame([(k, s) for k in (1, 10, 7, 1000) for s in results.max_heap_sizes(k)], "k int, max_heap_size int")
+    return results.with_heap_sizes(table(spark, sf, "lineitem").select(F.col("l_quantity").cast("int").alias("k")).distinct())
 
 
 @query("rel4_plot_rows", f"WITH {_R}, {_PLOT} SELECT builder_type, dataset, k, hlmhs, mhs, layer, round(qps, 6) AS qps, round(recall, 6) AS recall, build_time_raw FROM p")
@@ -89,6 +93,28 @@ def _(spark, sf):
     return rounded(results.renamed(_rows(spark, sf)).groupBy("builder_type", "dataset").agg(F.avg("elapsed_time").alias("build_time")), "build_time")
 
 
-@query("rel12_level_sizes", "SELECT dataset, CAST(i AS INTEGER) AS level, CAST(s[i] AS BIGINT) AS size FROM (SELECT dataset, s, unnest(range(1, len(s) + 1)) AS i FROM (VALUES ('siftsmall', [200, 40]), ('10M', [350000, 12000, 500, 30])) t(dataset, s))")
+@query(
+    "rel11_level_compare",
+    f"WITH {_R}, {_PLOT}, c AS (SELECT *, max(layer) OVER (PARTITION BY builder_type) AS top FROM p WHERE k = 10 AND hlmhs = 1) SELECT builder_type, dataset, mhs, layer, round(qps, 6) AS qps, round(recall, 6) AS recall FROM c WHERE layer IN (1, top)",
+)
+def _(spark, sf):
+    return rounded(results.compare_levels(results.plot_rows(_rows(spark, sf)), 10, 1, True).select("builder_type", "dataset", "mhs", "layer", "qps", "recall"), "qps", "recall")
+
+
+@query(
+    "rel11_ef_compare",
+    f"""WITH {_R.replace("CAST(1 AS INTEGER) AS higher", "CAST(l_partkey % 3 + 1 AS INTEGER) AS higher")}, {_PLOT}, c AS (SELECT *, max(layer) OVER () AS top FROM p WHERE k = 1)
+    SELECT builder_type, dataset, CAST(hlmhs AS VARCHAR) AS hlmhs, mhs, layer, round(qps, 6) AS qps, round(recall, 6) AS recall FROM c WHERE layer IN (1, top)""",
+)
+def _(spark, sf):
+    rows = _rows(spark, sf, (F.col("l_partkey") % 3 + 1).cast("int"))
+    return rounded(results.compare_ef_higher(results.plot_rows(rows), 1, True).select("builder_type", "dataset", "hlmhs", "mhs", "layer", "qps", "recall"), "qps", "recall")
+
+
+@query(
+    "rel12_level_sizes",
+    """SELECT DISTINCT dataset, CAST(i AS INTEGER) AS level, CAST(s[i] AS BIGINT) AS size FROM (SELECT dataset, s, unnest(range(1, len(s) + 1)) AS i FROM (
+      SELECT dataset, CASE dataset WHEN '3M' THEN [100000, 3300, 150, 30] WHEN '10M' THEN [350000, 12000, 500, 30] WHEN 'sift' THEN [25000, 600, 40] END AS s FROM (SELECT CASE l_returnflag WHEN 'A' THEN '3M' WHEN 'N' THEN '10M' ELSE 'sift' END AS dataset FROM lineitem)))""",
+)
 def _(spark, sf):
-    return spark.createDataFrame([(d, i + 1, s) for d in ("siftsmall", "10M") for i, s in enumerate(results.level_subset_sizes(d))], "dataset string, level int, size long")
+    return results.with_level_sizes(_rows(spark, sf).select(F.col("data_set").alias("dataset")).distinct())

@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 
 from ..model import BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, HNSWParams, NSSGParams, RNGGParams, RNNParams
 from ..operators import selectors
-from ..operators.evaluate import level_wise, sweep
+from ..operators.evaluate import level_subsets, level_wise, sweep
 from ..operators.experiments import Experiment, Level, Select, index_report, run_experiments
 from ..operators.graphs import random_graph
 from ..operators.hierarchy import build_hierarchy, layer_ids, merge_under_hnsw, next_layer_ids, to_index
-from ..operators.knn import knn, knn_graph
+from ..operators.knn import knn, knn_graph, with_distances
 from ..operators.nndescent import nn_descent
+from ..operators.nssg import connect, nssg_graph
 from ..operators.results import gains, plot_rows
+from ..operators.rnn import move_hidden, rnn_graph
 from ..operators.sharded import build_index, index_edges, index_from_edges, search
 from ..operators.stats import recall
 from ..registry import query
 from ..sources.datasets import Dataset
-from .tables import exact_sql, knn_cte, near, rounded, vectors
+from .tables import dist, exact_sql, knn_cte, near, random_cte, rounded, vectors
 
 PARAMS = HierarchyParams(higher_max_degree=8, min_n_vertices_layer=30)
 
@@ -127,7 +129,8 @@ def _(spark, sf):
 @query("rnn1_exhaustive", exact_sql(10))
 def _(spark, sf):
     v = vectors(spark, sf)
-    return _exact(build_index(v, RNNParams(initial_degree=20, reduce_degree=20, n_outer_loops=3, n_inner_loops=4)), v)
+    g = connect(rnn_graph(v, RNNParams(initial_degree=20, reduce_degree=20, n_outer_loops=3, n_inner_loops=4)), v, 0, 20)
+    return _exact(index_from_edges(v, g.edges), v)
 
 
 @query("hnsw1_exhaustive", exact_sql(10))
@@ -139,19 +142,39 @@ def _(spark, sf):
 @query("ef5_index_recall")
 def _(spark, sf):
     v = vectors(spark, sf)
-    return _recall(build_index(v, EfannaParams(k=20, l=40, iter=5, s=10, r=30)), v, ef=100)
+    return _recall(index_from_edges(v, nn_descent(v, EfannaParams(k=20, l=40, iter=5, s=10, r=30))), v, ef=100)
 
 
 @query("nssg7_exhaustive", exact_sql(10))
 def _(spark, sf):
     v = vectors(spark, sf)
-    return _exact(build_index(v, NSSGParams(range=30, l=100, n_try=5)), v)
+    g, roots = nssg_graph(v, NSSGParams(range=30, l=100, n_try=5))
+    return _exact(index_from_edges(v, g.edges, roots), v)
 
 
 @query("rnn1_recall")
 def _(spark, sf):
     v = vectors(spark, sf)
-    return _recall(build_index(v, RNNParams(initial_degree=20, reduce_degree=20, n_outer_loops=3, n_inner_loops=4)), v, ef=100)
+    return _recall(index_from_edges(v, rnn_graph(v, RNNParams(initial_degree=20, reduce_degree=20, n_outer_loops=3, n_inner_loops=4))), v, ef=100)
+
+
+@query(
+    "rnn1_moves",
+    f"""WITH RECURSIVE {random_cte(10, 'rnn')},
+    p AS MATERIALIZED (SELECT src, dst, d, vec, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rn FROM (
+      SELECT src, dst, b.embedding AS vec, {dist('a.embedding', 'b.embedding')} AS d FROM rg JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst)),
+    f(src, i, kept, moved) AS (
+      SELECT src, 1, [{{'id': dst, 'd': d, 'vec': vec}}], CAST([] AS STRUCT(w BIGINT, v BIGINT, d DOUBLE)[]) FROM p WHERE rn = 1
+      UNION ALL
+      SELECT src, i, CASE WHEN h.d < pd THEN kept ELSE list_append(kept, {{'id': dst, 'd': pd, 'vec': vec}}) END, CASE WHEN h.d < pd THEN list_append(moved, {{'w': h.id, 'v': dst, 'd': h.d}}) ELSE moved END
+      FROM (SELECT f.src, f.i + 1 AS i, kept, moved, p.dst, p.d AS pd, p.vec,
+        list_sort(list_transform(kept, lambda r, j: {{'d': {dist('p.vec', 'r.vec').replace('lambda p:', 'lambda z:').replace('p[1]', 'z[1]').replace('p[2]', 'z[2]')}, 'j': j, 'id': r.id}}))[1] AS h FROM f JOIN p ON p.src = f.src AND p.rn = f.i + 1)),
+    l AS (SELECT src, arg_max(kept, i) AS kept, arg_max(moved, i) AS moved FROM f GROUP BY src)
+    SELECT src, e.id AS dst, round(e.d, 6) AS dist, false AS moved FROM (SELECT src, unnest(kept) AS e FROM l) UNION ALL SELECT e.w, e.v, round(e.d, 6), true FROM (SELECT unnest(moved) AS e FROM l)""",
+)
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(move_hidden(with_distances(random_graph(v, 10, "rnn").select("src", "dst"), v), v), "dist")
 
 
 @query("hnsw1_recall")
@@ -208,6 +231,16 @@ def _(spark, sf):
     return _exact(to_index(h, v), v, from_level=0)
 
 
+@query(
+    "agg12_level_subsets",
+    f"""{_LEVELS}, b AS (SELECT CAST(unnest(range(0, CAST(pow(2, (SELECT count(*) FROM sizes)) AS BIGINT))) AS BIGINT) AS b)
+    SELECT array_to_string(list_prepend('0', list_transform(list_filter(range(1, (SELECT count(*) FROM sizes) + 1), lambda l: (b // CAST(pow(2, l - 1) AS BIGINT)) % 2 = 1), lambda l: CAST(l AS VARCHAR))), ',') AS levels, CAST(100 AS DOUBLE) AS recall FROM b""",
+)
+def _(spark, sf):
+    v, h = _hierarchy(spark, sf)
+    return level_subsets(h, v, _queries(v), _truth(v, 10), 10, v.count()).select("levels", "recall")
+
+
 @query("agg10_level_wise")
 def _(spark, sf):
     v, h = _hierarchy(spark, sf)

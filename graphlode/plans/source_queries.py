@@ -60,18 +60,18 @@ def _uniform(seed: str, a: str = "i", b: str = "j") -> str:
     return f"(CAST('0x' || substr(md5('{seed}:' || {a} || ':' || {b}), 1, 8) AS BIGINT) / 4294967296.0)"
 
 
-@query("src7_uniform", f"SELECT CAST(i AS BIGINT) AS vec_id, CAST(j - 1 AS INTEGER) AS pos, round(CAST(CAST({_uniform('base')} AS FLOAT) AS DOUBLE), 5) AS v FROM range(0, 1000) t(i), range(1, 9) u(j)")
+@query("src7_uniform", f"SELECT CAST(i AS BIGINT) AS vec_id, CAST(j - 1 AS INTEGER) AS pos, round(CAST(CAST({_uniform('base')} AS FLOAT) AS DOUBLE), 5) AS v FROM (SELECT unnest(range(0, (SELECT count(*) FROM supplier))) AS i) t, range(1, 9) u(j)")
 def _(spark, sf):
-    out = generated(spark, 1000, 8, normal=False).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    out = generated(spark, table(spark, sf, "supplier").count(), 8, normal=False).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     return out.select("vec_id", "pos", F.round(F.col("x").cast("double"), 5).alias("v"))
 
 
 @query(
     "src7_normal",
-    f"SELECT CAST(i AS BIGINT) AS vec_id, CAST(j - 1 AS INTEGER) AS pos, round(CAST(CAST(sqrt(-2.0 * ln(1.0 - {_uniform('basea')})) * cos(2 * pi() * {_uniform('baseb')}) AS FLOAT) AS DOUBLE), 4) AS v FROM range(0, 1000) t(i), range(1, 9) u(j)",
+    f"SELECT CAST(i AS BIGINT) AS vec_id, CAST(j - 1 AS INTEGER) AS pos, round(CAST(CAST(sqrt(-2.0 * ln(1.0 - {_uniform('basea')})) * cos(2 * pi() * {_uniform('baseb')}) AS FLOAT) AS DOUBLE), 4) AS v FROM (SELECT unnest(range(0, (SELECT count(*) FROM supplier))) AS i) t, range(1, 9) u(j)",
 )
 def _(spark, sf):
-    out = generated(spark, 1000, 8).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    out = generated(spark, table(spark, sf, "supplier").count(), 8).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     return out.select("vec_id", "pos", F.round(F.col("x").cast("double"), 4).alias("v"))
 
 
@@ -80,11 +80,11 @@ _NORMAL = "CAST(sqrt(-2.0 * ln(1.0 - {a})) * cos(2 * pi() * {b}) AS FLOAT)".form
 
 @query(
     "src8_generated_truth",
-    f"""WITH embeddings AS MATERIALIZED (SELECT CAST(i AS BIGINT) AS vec_id, list({_NORMAL} ORDER BY j) AS embedding FROM range(0, 500) t(i), range(1, 17) u(j) GROUP BY i)
+    f"""WITH embeddings AS MATERIALIZED (SELECT CAST(i AS BIGINT) AS vec_id, list({_NORMAL} ORDER BY j) AS embedding FROM (SELECT unnest(range(0, (SELECT count(*) FROM supplier))) AS i) t, range(1, 17) u(j) GROUP BY i)
     SELECT query_id, rank, vec_id FROM ({exact_sql(10)})""",
 )
 def _(spark, sf):
-    v = generated(spark, 500, 16)
+    v = generated(spark, table(spark, sf, "supplier").count(), 16)  # as many rows as the table has
     return knn(v, v.withColumnRenamed("vec_id", "query_id"), 10).select("query_id", "rank", "vec_id")
 
 
