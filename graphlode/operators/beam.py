@@ -14,8 +14,10 @@ A node that many queries ask for at once makes a large key on the side of the as
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,11 @@ from .knn import matrix, merged
 #: Queries that share a task's group, and the fewest nodes that a query asks for in a round.
 BUCKET, AHEAD = 32, 24
 
-_LISTS = [("asked", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64())), ("nodes", pa.list_(pa.int64())), ("lists", pa.list_(pa.list_(pa.int64()))), ("found", pa.list_(pa.int64())), ("found_dists", pa.list_(pa.float64()))]
-_STATE = pa.schema([("bucket", pa.int64()), ("query_id", pa.int64()), ("q", pa.list_(pa.float32())), ("entries", pa.list_(pa.int64())), *_LISTS])
-_STATE_DDL = "bucket long, query_id long, q array<float>, entries array<long>, asked array<long>, seen array<long>, dists array<double>, nodes array<long>, lists array<array<long>>, found array<long>, found_dists array<double>"
+_STATE = pa.schema(
+    [("bucket", pa.int64()), ("query_id", pa.int64()), ("q", pa.list_(pa.float32()))]
+    + [(c, pa.list_(pa.float64() if "dists" in c else pa.int64())) for c in ("entries", "asked", "seen", "dists", "nodes", "sizes", "ends", "found", "found_dists")]
+)
+_STATE_DDL = "bucket long, query_id long, q array<float>, entries array<long>, asked array<long>, seen array<long>, dists array<double>, nodes array<long>, sizes array<long>, ends array<long>, found array<long>, found_dists array<double>"
 
 
 @dataclass(frozen=True)
@@ -68,49 +72,69 @@ class _Lists(dict):
         raise _Unfetched(node)
 
 
-def _advance(state: dict, vectors: dict[int, np.ndarray], k: int, ef: int, max_frontier: int | None, eps: float | None, ahead: int) -> None:
-    """Takes in what has come for a query and searches on; sets `found`, or `asked` anew."""
-    q = np.asarray(state["q"], np.float64)
-    known = dict(zip(state["seen"], state["dists"], strict=True))
-    fresh = [v for v in vectors if v not in known]
-    if fresh:
-        x = np.stack([vectors[v] for v in fresh])
-        known.update(zip(fresh, exact_distances(x, np.broadcast_to(q, x.shape)).tolist(), strict=True))
-    lists = _Lists(zip(state["nodes"], state["lists"], strict=True))
+def _lists(column: pa.ChunkedArray) -> list[list]:
+    """The lists of a column, nulls as empty ones."""
+    held = column.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)).tolist()
+    values = held.flatten().to_numpy(zero_copy_only=False).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _column(lists: list[list], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(lists)), kind))
+
+
+def _advance(known: dict, fetched: dict, entries: list, q: np.ndarray, k: int, ef: int, max_frontier: int | None, eps: float | None, ahead: int) -> tuple[list, list | None]:
+    """Searches over known (node -> distance) and fetched (node -> list): (asked, found), one of which is to be looked at."""
     measured = lambda rows: np.array([known[r] for r in rows])
     # entries and neighbours that no vector has are in no table
-    entries = [e for e in state["entries"] if e in known]
-    real = _Lists((i, [j for j in a if j in known]) for i, a in lists.items())
-    state["seen"], state["dists"] = list(known), list(known.values())
+    real = _Lists((i, [j for j in a if j in known]) for i, a in fetched.items())
+    entries = [e for e in entries if e in known]
+    if not entries:
+        return [], []
     try:
         if eps is not None:
-            got = kernels.range_search(measured, real, q, entries, k, eps) if entries else []
-        else:
-            got = kernels.greedy_search(measured, real, q, entries, k, max(ef, k), max_frontier)
-        state["asked"], state["found"], state["found_dists"] = [], [i for _, i in got], [d for d, _ in got]
+            return [], kernels.range_search(measured, real, q, entries, k, eps)
+        return [], kernels.greedy_search(measured, real, q, entries, k, max(ef, k), max_frontier)
     except _Unfetched as stopped:
-        order = sorted((d, i) for i, d in known.items() if i not in lists)
-        nearest = [i for _, i in order[:ahead]]
-        state["asked"] = nearest if stopped.node in nearest else [stopped.node, *nearest[: ahead - 1]]
+        nearest = [i for _, i in heapq.nsmallest(ahead, ((d, i) for i, d in known.items() if i not in fetched))]
+        return nearest if stopped.node in nearest else [stopped.node, *nearest[: ahead - 1]], None
 
 
 def _round(k: int, ef: int, max_frontier: int | None, eps: float | None, ahead: int):
+    """Takes in what has come for the queries of a bucket and searches on: sets `found`, or `asked` anew."""
+
     def run(states: pa.Table, lists: pa.Table, vectors: pa.Table) -> pa.Table:
-        came: dict[int, dict[int, np.ndarray]] = {}
-        x = matrix(vectors["embedding"]) if vectors.num_rows else ()
-        for query_id, v, row in zip(vectors["query_id"].to_pylist(), vectors["node"].to_pylist(), x, strict=True):
-            came.setdefault(query_id, {})[v] = row
-        got: dict[int, tuple[list, list]] = {}
-        for query_id, node, ends in zip(lists["query_id"].to_pylist(), lists["node"].to_pylist(), lists["ends"].to_pylist(), strict=True):
-            nodes, all_ends = got.setdefault(query_id, ([], []))
-            nodes.append(node)
-            all_ends.append(ends or [])
-        rows = states.to_pylist()
-        for s in rows:
-            nodes, ends = got.get(s["query_id"], ([], []))
-            s["nodes"], s["lists"] = s["nodes"] + nodes, s["lists"] + ends
-            _advance(s, came.get(s["query_id"], {}), k, ef, max_frontier, eps, ahead)
-        return pa.Table.from_pylist(rows, schema=_STATE)
+        place = {i: at for at, i in enumerate(states["query_id"].to_pylist())}
+        came: list[list[int]] = [[] for _ in place]  # rows of vectors
+        for row, i in enumerate(vectors["query_id"].to_pylist()):
+            came[place[i]].append(row)
+        nodes, sizes, ends, seen, dists = (_lists(states[c]) for c in ("nodes", "sizes", "ends", "seen", "dists"))
+        for i, node, own in zip(lists["query_id"].to_pylist(), lists["node"].to_pylist(), _lists(lists["ends"]) if lists.num_rows else (), strict=True):
+            at = place[i]
+            nodes[at].append(node)
+            sizes[at].append(len(own))
+            ends[at] += own
+        q, all_entries = matrix(states["q"]), _lists(states["entries"])
+        x, x_ids = (matrix(vectors["embedding"]), vectors["node"].to_pylist()) if vectors.num_rows else (None, [])
+        asked, found = [], []
+        for at in range(len(place)):
+            known = dict(zip(seen[at], dists[at], strict=True))
+            if came[at]:
+                d = exact_distances(x[came[at]], np.broadcast_to(q[at], (len(came[at]), x.shape[1])))
+                known.update(zip((x_ids[row] for row in came[at]), d.tolist(), strict=True))
+            seen[at], dists[at] = list(known), list(known.values())
+            stops = np.cumsum(sizes[at]).tolist()
+            fetched = {n: ends[at][a:b] for n, a, b in zip(nodes[at], [0, *stops], stops, strict=False)}
+            more, got = _advance(known, fetched, all_entries[at], q[at], k, ef, max_frontier, eps, ahead)
+            asked.append(more)
+            found.append(got)
+        made = {
+            "asked": _column(asked, pa.int64()), "seen": _column(seen, pa.int64()), "dists": _column(dists, pa.float64()), "nodes": _column(nodes, pa.int64()), "sizes": _column(sizes, pa.int64()), "ends": _column(ends, pa.int64()),
+            "found": pa.array([None if f is None else [i for _, i in f] for f in found], pa.list_(pa.int64())), "found_dists": pa.array([None if f is None else [d for d, _ in f] for f in found], pa.list_(pa.float64())),
+        }
+        return pa.Table.from_arrays([made[c] if c in made else states[c].combine_chunks() for c in _STATE.names], names=_STATE.names).cast(_STATE)
 
     return run
 
@@ -124,8 +148,7 @@ def _apply(states: DataFrame, lists: DataFrame, vectors: DataFrame, step) -> Dat
         if not left.num_rows:
             return _STATE.empty_table()
         right = right.sort_by([("query_id", "ascending"), ("node", "ascending")])
-        is_vector = right["vector"]
-        return step(left.select(_STATE.names), right.filter(pc.invert(is_vector)), right.filter(is_vector))
+        return step(left.select(_STATE.names), right.filter(pc.invert(right["vector"])), right.filter(right["vector"]))
 
     return states.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInArrow(run, _STATE_DDL)
 
@@ -133,7 +156,7 @@ def _apply(states: DataFrame, lists: DataFrame, vectors: DataFrame, step) -> Dat
 def walk(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int, max_frontier: int | None = None, eps: float | None = None, ahead: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, dist of a best-first search from each query's own entries.
 
-    edges: src, dst, slot; queries: query_id, embedding, entries (array of vec_id). With eps it is a search by range. ahead: nodes that a query asks for at a time (by
+    edges: src, dst, slot; queries: query_id (all different), embedding, entries (array of vec_id). With eps it is a search by range. ahead: nodes that a query asks for at a time (by
     default half of ef, at least AHEAD). Entries and ends that are no rows of vectors are passed over.
     """
     ahead = ahead or max(AHEAD, -(-ef // 2))
@@ -144,7 +167,7 @@ def walk(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: i
     none = F.array().cast("array<long>")
     states = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(buckets)).alias("bucket"), "query_id", F.col("embedding").cast("array<float>").alias("q"), F.col("entries").cast("array<long>").alias("entries"), F.col("entries").cast("array<long>").alias("asked"),
-        none.alias("seen"), F.array().cast("array<double>").alias("dists"), none.alias("nodes"), F.array().cast("array<array<long>>").alias("lists"), F.lit(None).cast("array<long>").alias("found"), F.lit(None).cast("array<double>").alias("found_dists"),
+        none.alias("seen"), F.array().cast("array<double>").alias("dists"), none.alias("nodes"), none.alias("sizes"), none.alias("ends"), F.lit(None).cast("array<long>").alias("found"), F.lit(None).cast("array<double>").alias("found_dists"),
     )
     states = staged(states, "walk")
     done, step = [], _round(k, ef, max_frontier, eps, ahead)
