@@ -10,6 +10,7 @@ from ..operators import graphs, selectors, stats
 from ..operators.hierarchy import level_plan
 from ..operators.knn import gather, knn, knn_graph, with_distances
 from ..operators.nndescent import pool_insert
+from ..operators.pruned import knn_pruned
 from ..operators.results import described
 from ..operators.sharded import build_index, index_edges
 from ..registry import query
@@ -63,6 +64,12 @@ def _(spark, sf):
     return rounded(knn(v, v.withColumnRenamed("vec_id", "query_id"), 10, broadcast_mb=0, cell_rows=200), "dist")
 
 
+@query("knn1_pruned", exact_sql(10))
+def _(spark, sf):
+    v = vectors(spark, sf)
+    return rounded(knn_pruned(v, v.withColumnRenamed("vec_id", "query_id"), 10)[0], "dist")
+
+
 @query("knn2_graph", f"WITH {knn_cte(10)} SELECT src, dst, round(dist, 6) AS dist, slot FROM knn")
 def _(spark, sf):
     return rounded(knn_graph(vectors(spark, sf), BruteforceKNNParams(10).degree), "dist")

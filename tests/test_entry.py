@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 #: Loops over many small jobs take long on a laptop; they have tests of their own.
-LONG = ("sel3", "sel4", "sel5", "hier2", "hier7", "hier9", "snk3_layer", "srch4_layered", "jn5", "knn1_grid", "agg10", "rel1_sweep", "rel13", "nssg7", "rnn1", "hnsw1")
+LONG = ("sel3", "sel4", "sel5", "hier2", "hier7", "hier9", "snk3_layer", "srch4_layered", "jn5", "knn1_grid", "srch1", "srch2", "nssg6", "agg10", "agg12", "rel1_sweep", "rel13", "nssg7", "rnn1", "hnsw1")
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith(LONG))
 
 
