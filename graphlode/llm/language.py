@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import frugal, staged
 from .textvec import Words, slices
 
 UNDETERMINED = "und"
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, sample: int = 4_000, least: int = 2) -> LanguageModel:
             yield tally.batch(k)
 
     per_lang = [f"n{j}" for j in range(k)]
-    counts = chosen.mapInArrow(count, "kind long, hash long, " + ", ".join(f"{c} long" for c in per_lang)).groupBy("kind", "hash").agg(*(F.sum(c).alias(c) for c in per_lang))
+    counts = chosen.mapInArrow(frugal(count), "kind long, hash long, " + ", ".join(f"{c} long" for c in per_lang)).groupBy("kind", "hash").agg(*(F.sum(c).alias(c) for c in per_lang))
     counts = staged(counts, "language-counts")
     totals = {r.kind: np.array([r[c] for c in per_lang]) for r in counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in per_lang)).collect()}
     found = counts.where(sum((F.col(c) for c in per_lang), F.lit(0)) >= least).toArrow()
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     ddl = "doc_id long, lang_pred string, score double, n_words long, coverage double"
     if rest:
         ddl += f", row {rows.schema['row'].dataType.simpleString()}"
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(frugal(run), ddl)
 
 
 def coverage_floor(held: DataFrame, model: LanguageModel, sample: int = 10_000) -> float:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import frugal, staged
 
 WHITE = " \t\n\x0b\x0c\r"
 LAST_ID = 2**63 - 1
@@ -49,7 +49,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), counts)
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], schema=schema)
 
-    return docs.mapInArrow(emit, "h1 long, h2 long, id long")
+    return docs.mapInArrow(frugal(emit), "h1 long, h2 long, id long")
 
 
 class Runs:
@@ -115,4 +115,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 texts.append("\n".join(found))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string()), b.column("row")], names=["doc_id", "n_lines", "n_dropped", "kept_text", "row"])
 
-    return joined.mapInArrow(cut, out_type)
+    return joined.mapInArrow(frugal(cut), out_type)

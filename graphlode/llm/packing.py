@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, frugal, staged
 from .tokens import encoder as encoder_of
 
 PIECES_DDL = "doc_id long, row_no long, piece int, start long, length long, ids_crc32 long"
@@ -59,7 +59,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, i
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), fields.types, strict=True)], schema=fields)
 
-    return documents(docs, id_col, text_col).mapInArrow(cut, PIECES_DDL + ", ids array<int>" * with_ids)
+    return documents(docs, id_col, text_col).mapInArrow(frugal(cut), PIECES_DDL + ", ids array<int>" * with_ids)
 
 
 def fullest(anchor: int, left: Counter, capacity: int) -> Counter:
