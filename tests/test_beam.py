@@ -48,7 +48,7 @@ def test_equals_the_search_in_memory(table, how):
 def test_what_is_fetched_ahead_changes_nothing(table):
     v, edges, _, _ = table
     queries = asked(v, 5).withColumn("entries", F.array(F.lit(3).cast("long")))
-    assert rows(beam.walk(v, edges, queries, 5, 30, ahead=1)) == rows(beam.walk(v, edges, queries, 5, 30, ahead=100))
+    assert rows(beam.walk(v, edges, queries, 5, 30, ahead=4)) == rows(beam.walk(v, edges, queries, 5, 30, ahead=100))
 
 
 def test_levels_are_walked_down(table):
