@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir, small_batches, staged
 
-__all__ = ["documents", "frugal", "read", "shared_dir", "staged"]
+__all__ = ["documents", "frugal", "join_groups", "read", "shared_dir", "staged"]
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,3 +39,16 @@ def frugal(run: Callable) -> Callable:
             trim(0)
 
     return wrapped
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, share: int = 1000) -> DataFrame:
+    """rows left-joined with groups (stored; a row for each value of keys, `size` of the `total` rows or more behind it).
+
+    Groups of more than a `share`-th of all rows, of which there are few however large the table, go to all tasks. The rest is shuffled
+    by its keys, so no task gets more of one group than that.
+    """
+    hot = groups.where(F.col(size) * share > total)
+    if hot.isEmpty():
+        return rows.join(groups, keys, "left")
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(groups.where(F.col(size) * share <= total), keys, "left"))

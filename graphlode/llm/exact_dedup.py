@@ -25,7 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, join_groups, staged
+from .idfilter import id_filter, slots
+
+#: The most bits of the filter of ids whose texts are compared: 4 MB, wide enough for two million pairs.
+FILTER_BITS = 1 << 25
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -140,10 +144,21 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def with_equal_texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """digest, home: the least snapshot in which the text of pairs' (digest, rep, old_rep, home) rep is, byte by byte, that of old_rep."""
+    """digest, home: the least snapshot in which the text of pairs' (digest, rep, old_rep, home) rep is, byte by byte, that of old_rep.
+
+    A filter on the ids goes to the rows, so texts that no pair names are not shuffled.
+    """
     at = F.coalesce("doc_id", F.lit(-1)).alias("at")  # a representative without id is found by its digest
     ids = pairs.select("digest", "home", F.explode(F.array("rep", "old_rep")).alias("doc_id")).select("digest", "home", at).distinct()
-    texts = rows.select(at, "text", F.sha2("text", 256).alias("digest")).join(ids.hint("merge"), ["at", "digest"])
+    passes = np.packbits(id_filter(ids.select(F.col("at").alias("doc_id")), pairs.count(), FILTER_BITS))
+
+    def run(batches):
+        pass_ = np.unpackbits(passes).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(pass_[slots(b.column(0).to_numpy(), len(pass_))]))
+
+    needed = rows.select(at, "text").mapInArrow(run, "at long, text string")
+    texts = needed.withColumn("digest", F.sha2("text", 256)).join(ids.hint("merge"), ["at", "digest"])
     same = texts.groupBy("digest", "home").agg((F.min("text") == F.max("text")).alias("same")).where("same")
     return same.groupBy("digest").agg(F.min("home").cast("long").alias("home"))
 
@@ -156,7 +171,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = documents(docs, id_col, text_col)
     digested = staged(rows.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("text_length")), "digests")
     batch_of = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(batches))
-    buckets = max(1, math.ceil(digested.count() / bucket_keys))
+    n_rows = digested.count()
+    buckets = max(1, math.ceil(n_rows / bucket_keys))
 
     groups = (
         digested.groupBy(batch_of.alias("batch"), "digest")
@@ -180,11 +196,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if homes:
         placed = groups.join(reduce(DataFrame.union, homes), ["digest", "batch"], "left").withColumn("home", F.coalesce("home", "batch"))
     group = Window.partitionBy("digest", "home")  # at most a row for each batch
-    many = placed.select("digest", "batch", F.max("rep").over(group).alias("keep_id"), F.sum("n").over(group).alias("group_size")).where("group_size > 1")
-    d = digested.withColumn("batch", batch_of)
-    out = d.join(many, (d.digest == many.digest) & (d.batch == many.batch), "left")
-    keep = F.when(many.group_size.isNull(), d.doc_id).otherwise(many.keep_id)
+    many = placed.select("digest", "batch", F.max("rep").over(group).alias("group_rep"), F.sum("n").over(group).alias("rows")).where("rows > 1")
+    out = join_groups(digested.withColumn("batch", batch_of), staged(many, "repeated"), ["digest", "batch"], "rows", n_rows)
+    keep = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("group_rep"))
     return out.select(
-        d.doc_id, keep.alias("keep_id"), F.coalesce(many.group_size, F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(d.doc_id).alias("kept"), d.digest.alias("text_sha256"), d.text_length,
+        "doc_id", keep.alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"),
+        keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("digest").alias("text_sha256"), "text_length",
     )

@@ -40,8 +40,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, join_groups, staged
 from .components import components
+from .idfilter import id_filter, slots
 from .textvec import Words, mix, slices, windows
 
 CELLS = 1 << 24
@@ -453,24 +454,6 @@ def survivors(jobs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return dealt(jobs, holders, "c long", run).distinct()
 
 
-def id_filter(wanted: DataFrame, n: int, most_bits: int = 1 << 24) -> np.ndarray:
-    """A one-hash Bloom filter of ids (doc_id), of at most 2 MB: it grows with n up to there, and lets more through beyond."""
-    bits = 1 << min(max(n * 16, 1024).bit_length(), most_bits.bit_length() - 1)
-
-    def fill(batches):
-        out = np.zeros(bits, bool)
-        for b in batches:
-            out[_slots(b.column(0).to_numpy(), bits)] = True
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(out).tobytes()]}, schema=pa.schema([("bits", pa.binary())]))
-
-    parts = wanted.select("doc_id").repartition(4).mapInArrow(fill, "bits binary").collect()  # four rows
-    return np.unpackbits(np.bitwise_or.reduce([np.frombuffer(r[0], np.uint8) for r in parts])).astype(bool)
-
-
-def _slots(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(c, label, elements) of the classes wanted (c, s1, s2, doc_id: a row that holds it), stored. label: c.
 
@@ -482,7 +465,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     def run(batches):
         pass_ = np.unpackbits(passes).astype(bool)
         for b in batches:
-            b = b.filter(pa.array(pass_[_slots(b.column(0).to_numpy(), len(pass_))]))
+            b = b.filter(pa.array(pass_[slots(b.column(0).to_numpy(), len(pass_))]))
             for first, texts in slices(b.column(1)):
                 sets = shingle_sets(texts, n)
                 sigs = np.array([signature(s) for s in sets], np.int64)
@@ -573,7 +556,7 @@ def near_duplicates(
 
     of_class = classes.join(final, classes.c == final.node, "left").select("s1", "s2", "rows", "rep", "component")
     least = of_class.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    of_class = of_class.where("rows > 1 or component is not null").join(least, "component", "left").select("s1", "s2", F.coalesce("least", "rep").alias("component_id"))
-    out = docs_of.join(of_class, ["s1", "s2"], "left")
+    of_class = of_class.where("rows > 1 or component is not null").join(least, "component", "left").select("s1", "s2", "rows", F.coalesce("least", "rep").alias("component_id"))
+    out = join_groups(docs_of, staged(of_class, "of-class"), ["s1", "s2"], "rows", docs_of.count())
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
