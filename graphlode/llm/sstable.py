@@ -189,8 +189,8 @@ def lookup(path: str, doc_id: int | None) -> list[list[int]]:
     return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 128 << 10, path: str | None = None) -> DataFrame:
-    """Encodes and writes one shard for each range of ids; (shard, path, n_docs, n_tokens), already computed."""
+def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 128 << 10, path: str | None = None, file_bytes: int = 1 << 30) -> DataFrame:
+    """Encodes and writes shards of about file_bytes, one or more for each range of ids; (shard, name, n_docs, n_tokens, folder), already computed. Shards ascend with ids."""
     spark = docs.sparkSession
     path = path or shared_dir(spark, "shards")
     dealt = documents(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -200,21 +200,29 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
 
         part = TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(path if path.startswith("file:") or "://" in path else f"file://{path}")
-        encoder, writer, out = encoder_of(tokenizer), None, None
-        width = encoder.id_bytes
-        end, temp, name = end_id.to_bytes(width, "little"), f"{base}/_{part:07d}-{uuid.uuid4().hex}", f"part-{part:07d}.sst"
+        encoder, writer = encoder_of(tokenizer), None
+        width, files = encoder.id_bytes, 0
+        end = end_id.to_bytes(width, "little")
         for b in batches:
             for doc_id, ids in encoder.each(b.column(0).to_pylist(), b.column(1)):
+                if writer is not None and writer.at >= file_bytes:
+                    yield finish(fs, base, writer, out, temp, shard)
+                    writer = None
                 if writer is None:
                     fs.create_dir(base, recursive=True)
+                    temp, shard, files = f"{base}/_{part:07d}-{uuid.uuid4().hex}", (part << 32) + files, files + 1
                     out = fs.open_output_stream(temp)
                     writer = ShardWriter(out, width, block_bytes)
                 writer.add(doc_id, ids.astype(f"<u{width}").tobytes() + end)
         if writer is not None:
-            writer.close()
-            out.close()
-            fs.move(temp, f"{base}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": [part], "name": [name], "n_docs": [len(writer.keys)], "n_tokens": [writer.n_tokens]}, schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield finish(fs, base, writer, out, temp, shard)
+
+    def finish(fs, base: str, writer: ShardWriter, out, temp: str, shard: int) -> pa.RecordBatch:
+        writer.close()
+        out.close()
+        name = f"part-{shard >> 32:07d}-{shard & 0xFFFFFFFF:05d}.sst"
+        fs.move(temp, f"{base}/{name}")
+        return pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "n_docs": [len(writer.keys)], "n_tokens": [writer.n_tokens]}, schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     at, ddl = shared_dir(spark, "shard-manifest"), "shard long, name string, n_docs long, n_tokens long"
     dealt.mapInArrow(write, ddl).write.parquet(at)

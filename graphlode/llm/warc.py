@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import join_groups, shared_dir, staged
 
 SKIPPABLE_MAP, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -139,18 +139,16 @@ def read_record(path: str, page_id: int) -> tuple[dict[str, str], bytes]:
     return head, payload
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, frame_bytes: int = 256 << 10, level: int = 3, date: str = "2024-01-01T00:00:00Z", path: str | None = None) -> DataFrame:
-    """Writes one bundle for each range of ids; returns (path, n_records, n_bytes), already computed."""
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, frame_bytes: int = 256 << 10, level: int = 3, date: str = "2024-01-01T00:00:00Z", path: str | None = None, file_bytes: int = 1 << 30) -> DataFrame:
+    """Writes bundles of about file_bytes, one or more for each range of ids; returns (path, n_records, n_bytes), already computed."""
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")
     ).withColumn("row_key", F.concat(F.sha2("payload", 256), F.lit("/"), F.octet_length("payload").cast("string")))
-    first = (
-        rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("row_key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
-    )
-    keys = rows.select("page_id", "row_key")
-    revisits = keys.join(first, "row_key").where("page_id > first_id").groupBy("page_id", "row_key").agg(F.min("first_id").alias("refers_to"))
+    keys = staged(rows.where(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "row_key"), "payload-keys")
+    first = keys.groupBy("row_key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
+    revisits = join_groups(keys, staged(first, "first-of-equal"), ["row_key"], "n", keys.count()).where("page_id > first_id").groupBy("page_id", "row_key").agg(F.min("first_id").alias("refers_to"))
     # a marker row goes ahead of the record it makes a revisit, so payloads are shuffled once
     markers = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "row_key", "refers_to", F.lit(0).alias("kind"))
     records = rows.select("page_id", "url", "payload", "row_key", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("kind"))
@@ -161,27 +159,33 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
         part = TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        out = writer = None
-        marked = None
-        n, final, temp = 0, f"{base}/part-{part:06d}.warc.zst", f"{base}/_{part:06d}-{uuid.uuid4().hex}"
+        writer = marked = None
+        files = 0
         for b in batches:
             for page_id, url, payload, key, refers, kind in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "row_key", "refers_to", "kind")), strict=True):
                 if kind == 0:
                     marked = page_id, key, refers
                     continue
                 refers = marked[2] if marked and marked[:2] == (page_id, key) else None
+                if writer is not None and out.tell() >= file_bytes:
+                    yield finish(fs, writer, out, temp, final)
+                    writer = None
                 if writer is None:
                     fs.create_dir(base, recursive=True)
+                    name = f"part-{part:06d}-{files:05d}.warc.zst"
+                    temp, final, files = f"{base}/_{part:06d}-{uuid.uuid4().hex}", (f"{base}/{name}", f"{path}/{name}"), files + 1
                     out = fs.open_output_stream(temp)
                     writer = BundleWriter(out, frame_bytes, level)
                 writer.add(page_id, record(page_id, url, payload.encode(), refers, date))
-                n += 1
         if writer is not None:
-            writer.close()
-            size = out.tell()
-            out.close()
-            fs.move(temp, final)
-            yield pa.RecordBatch.from_pydict({"path": [f"{path}/part-{part:06d}.warc.zst"], "n_records": [n], "n_bytes": [size]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
+            yield finish(fs, writer, out, temp, final)
+
+    def finish(fs, writer: BundleWriter, out, temp: str, final: tuple[str, str]) -> pa.RecordBatch:
+        writer.close()
+        size = out.tell()
+        out.close()
+        fs.move(temp, final[0])
+        return pa.RecordBatch.from_pydict({"path": [final[1]], "n_records": [len(writer.places)], "n_bytes": [size]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
     manifest = dealt.mapInArrow(write, "path string, n_records long, n_bytes long")
     at = shared_dir(spark, "warc-manifest")
