@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from graphlode.llm.common import join_groups
 from graphlode.llm.components import components
 from graphlode.llm.exact_dedup import FuseFilter, exact_duplicates
 from graphlode.llm.line_dedup import dedup_lines
@@ -71,6 +72,33 @@ def test_line_dedup_odd_rows(odd_docs, no_docs):
     assert dedup_lines(no_docs).count() == 0
 
 
+def test_lines_of_rows_without_id(spark):
+    line = "a line that all documents hold"
+    rows = [(None, f"{line}\nonly {i} of these rows has this") for i in range(12)]
+    got = [(r.n_lines, r.n_dropped, r.kept_text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(x[:2] for x in got) == [(2, 0)] + [(2, 1)] * 11 and {x[2].split("\n")[-1] for x in got} == {r[1].split("\n")[1] for r in rows}
+    last = 2**63 - 1
+    mixed = spark.createDataFrame([*rows, (last, line.upper()), (7, "short")], "doc_id long, text string")
+    assert sum(r.n_dropped for r in dedup_lines(mixed).collect()) == 12
+    assert [r.kept_text for r in dedup_lines(mixed).where(f"doc_id = {last}").collect()] == [line.upper()]
+
+
+@pytest.mark.parametrize("share", [2, 10_000])
+def test_groups_of_any_share_are_joined_alike(spark, share):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"k{i // 4}", None if i % 5 else "x") for i in range(300)], "id long, k string, v string")
+    groups = rows.groupBy("k").count().where("count > 1").cache()
+    got = join_groups(rows, groups, ["k"], "count", rows.count(), share)
+    want = rows.join(groups, "k", "left")
+    assert got.columns == want.columns and sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
+
+
+def test_a_third_of_all_rows_equal(spark):
+    rows = [(i, "the same text " * 20 if i % 3 == 0 else f"text number {i} of its own") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_duplicates(docs).collect()}
+    assert got == {i: ((2997, 1000) if i % 3 == 0 else (i, 1)) for i, _ in rows}
+
+
 def brute_near(rows):
     sets = {}
     for doc_id, text in rows:

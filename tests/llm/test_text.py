@@ -287,3 +287,52 @@ def test_toxic_documents_do_not_set_the_threshold(spark):
     labels = spark.createDataFrame([(i, 1, int(k == "toxic")) for i, k in enumerate(kinds) if i < 80], "doc_id long, quality int, toxic int")
     out = quality_rules(docs, labels).where("not base_failed").collect()
     assert out and all(r.kept == (r.doc_id % 2 == 0) for r in out)
+
+
+def test_bundles_are_cut_by_size(spark, tmp_path):
+    rng = random.Random(2)
+    pages = spark.createDataFrame([(i, f"u{i}", rng.randbytes(2000).hex() if i % 3 else "same") for i in range(90)], "page_id long, url string, html string").repartition(2)
+    folder = str(tmp_path / "w")
+    written = write_archives(pages, path=folder, frame_bytes=4000, file_bytes=20_000).collect()
+    # a file ends with the frame that passes the limit (here at most two records above it) and its tables
+    assert len(written) > 4 and max(r.n_bytes for r in written) < 20_000 + 8_000 and sum(r.n_records for r in written) == 90
+    got = read_archives(spark, folder).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode() if r.record_type == "response" else "same") for r in got) == sorted((r.page_id, r.html) for r in pages.collect())
+    assert {r.page_id: r.refers_to for r in got if r.refers_to is not None} == dict.fromkeys(range(3, 90, 3), 0)
+
+
+def test_scores_and_verdicts_equal_a_plain_version(spark, docs, corpus):
+    """The score from n-grams in plain Python: one added to every bucket, mean log ratio over words and pairs; the cut by trying all."""
+    import numpy as np
+
+    from graphlode.llm.quality import _buckets
+    from graphlode.llm.textvec import Words
+
+    buckets, labels = 64, [(i, int(i % 3 != 0), int(i % 7 == 0)) for i in range(0, 60, 2)]
+    texts = {r[0]: r[1] or "" for r in corpus}
+    grams = {}
+    for i, t in texts.items():
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        alone = {x: int(_buckets(Words([x.encode()]), buckets)[0][0]) for x in set(w)}
+        pairs = {p: int(_buckets(Words([" ".join(p).encode()]), buckets)[0][2]) for p in set(zip(w, w[1:], strict=False))}
+        grams[i] = [alone[x] for x in w] + [pairs[p] for p in zip(w, w[1:], strict=False)]
+
+    def share(ids):
+        n = Counter(g for i in ids for g in grams[i])
+        return [math.log((n[k] + 1) / (sum(n.values()) + buckets)) for k in range(buckets)]
+
+    trusted = {i for i, q, toxic in labels if q and not toxic}
+    target, raw = share(trusted), share(texts)
+    score = {i: sum(target[k] - raw[k] for k in g) / max(1, len(g)) for i, g in grams.items()}
+    judged = [i for i, *_ in labels if not (brute_base(texts[i])[0] < 50 or 100 * brute_base(texts[i])[4] > 50 * brute_base(texts[i])[0])]
+    good, bad = ([score[i] for i in judged if (i in trusted) == t] for t in (True, False))
+    cuts = sorted({*good, *bad})
+    best = max(range(len(cuts)), key=lambda k: (sum(x >= cuts[k] for x in good) / len(good) + sum(x < cuts[k] for x in bad) / len(bad), -k))
+    cut = cuts[best] if best == 0 else (cuts[best] + cuts[best - 1]) / 2
+    cut = min(cut, float(np.quantile(good, 0.005)))
+    got = {r.doc_id: r for r in quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), buckets=buckets).collect()}
+    assert len(good) > 5 and len(bad) > 5
+    for i in texts:
+        assert got[i].score == pytest.approx(score[i], abs=1e-9)
+        if abs(score[i] - cut) > 1e-9:
+            assert got[i].kept == (not got[i].base_failed and score[i] >= cut)

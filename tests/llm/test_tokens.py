@@ -148,3 +148,16 @@ def test_packing_gives_the_ids(docs, corpus):
 def test_packing_odd_rows(odd_docs, no_docs):
     assert pack_documents(no_docs, BYTE, 2).count() == 0
     assert pack_documents(odd_docs, BYTE, 2).select("row_no").distinct().count() == odd_docs.count()
+
+
+def test_shards_are_cut_by_size(spark, docs, tmp_path):
+    one, many = (str(tmp_path / x) for x in ("one", "many"))
+    whole = write_shards(docs, BYTE, end_id=0, path=one)
+    cut = write_shards(docs, BYTE, end_id=0, path=many, block_bytes=256, file_bytes=1500)
+    assert cut.count() > 3 * whole.count()
+    rows = [sorted(tuple(-1 if x is None else x for x in r) for r in read_shards(spark, f, m).collect()) for f, m in ((one, whole), (many, cut))]
+    assert rows[0] == rows[1]
+    start = 0
+    for r in sorted(rows[1]):
+        assert r[1] == start
+        start += r[2]
