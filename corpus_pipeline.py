@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a
 Parquet to the shared folder and reads it again for the next stage. All stages but the last return the columns
 of documents. A filtering stage keeps a row unless its operator rejects it. Rows with a null id, and rows that share an id with others, are
 judged by their own text alone, in groups of near duplicates after all rows with an id of their own (lines: rows that share an id are one
-document there). An empty table goes through all stages.
+document there, and each row without an id is a document after all others). An empty table goes through all stages.
 """
 
 from __future__ import annotations
