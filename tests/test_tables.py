@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from graphlode.functions.distance import cos_at, occludes
 from graphlode.model import LID, RESULT_COLUMNS, BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, HNSWParams, KeepEdges, NSSGParams, RNGGParams
 from graphlode.operators import graphs, selectors, stats
+from graphlode.operators import knn as blocks
 from graphlode.operators.experiments import Experiment, Level, Select, describe_levels, preset, run_experiments
 from graphlode.operators.hierarchy import build_hierarchy, layer_ids, level_plan, merge_under_hnsw, next_layer_ids, to_index, top_entries, up_to_level
 from graphlode.operators.knn import knn, knn_graph
@@ -41,6 +42,28 @@ def test_knn_by_brute_force(vectors):
         assert got[i] == grid[i] == set(np.argsort(((x - x[i]) ** 2).sum(1))[:5].tolist())
 
 
+def test_blocks_of_neighbours_are_bounded_and_exact(monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    for offset, copies in ((0.0, 1), (1e6, 1), (0.0, 50)):
+        x = np.tile(offset + rng.normal(size=(600 // copies, 6)), (copies, 1))
+        ids = rng.permutation(len(x))
+        for skip in (False, True):
+            found = list(blocks.tops(ids, x, ids, x, 5, skip))
+            assert max(len(f[0]) for f in found) <= 5 * blocks.QUERIES < len(x) * 5
+            owner, near, _ = map(np.concatenate, zip(*found, strict=True))
+            for i in (0, 300, 599):
+                d = ((x - x[i]) ** 2).sum(1)
+                order = [int(j) for j in ids[np.lexsort((ids, d))] if not skip or j != ids[i]]
+                assert near[owner == ids[i]].tolist() == order[:5]
+
+
+def test_grid_cells_grow_with_the_table():
+    assert blocks.cells_of(150, 40) == 4
+    assert blocks.cells_of(100_000, 200) == blocks.GRID
+    assert blocks.cells_of(6_000_000, 200) == 6_000_000 // blocks.GRID_ROWS
+
+
 def test_knn_of_few_and_equal_rows(spark):
     v = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(4)], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in knn(v, v.withColumnRenamed("vec_id", "query_id").where("query_id = 2"), 9).orderBy("rank").collect()] == [(2, 1, 0), (2, 2, 1), (2, 3, 2), (2, 4, 3)]
