@@ -19,7 +19,7 @@ from .evaluate import evaluate, level_wise
 from .hierarchy import Hierarchy, build_hierarchy
 from .nssg import nssg_graph
 from .results import max_heap_sizes, write_results
-from .sharded import build_index, index_edges
+from .sharded import build_index, index_edges, index_nodes
 
 #: Parameters that suit the known data sets, by builder. DEG: dimensionality, edges, heap.
 DEG = {
@@ -163,7 +163,7 @@ def run_one(data: Dataset, dataset: str, e: Experiment) -> list[tuple]:
     began = time.time()
     if e.flat:
         built = build_index(vectors, e.levels[0].params, e.levels[0].start)
-        nodes, edges = built.select("level", "vec_id"), index_edges(built)
+        nodes, edges = index_nodes(built), index_edges(built)
         params = e.levels[0].params.describe()
     else:
         built = build_hierarchy(vectors, [x.builder() for x in e.levels], [x.selector for x in e.levels], e.hierarchy, e.sizes)

@@ -6,12 +6,13 @@ from graphlode.functions.distance import cos_at, occludes
 from graphlode.model import LID, RESULT_COLUMNS, BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, HNSWParams, KeepEdges, NSSGParams, RNGGParams
 from graphlode.operators import graphs, selectors, stats
 from graphlode.operators import knn as blocks
+from graphlode.operators import sharded
 from graphlode.operators.experiments import Experiment, Level, Select, describe_levels, preset, run_experiments
 from graphlode.operators.hierarchy import build_hierarchy, layer_ids, level_plan, merge_under_hnsw, next_layer_ids, to_index, top_entries, up_to_level
 from graphlode.operators.knn import knn, knn_graph
 from graphlode.operators.nndescent import nn_descent
 from graphlode.operators.results import gains, has_nan, latex_table, plot_rows, read_results, write_results
-from graphlode.operators.sharded import build_index, index_from_edges, neighbours_of, search
+from graphlode.operators.sharded import build_index, index_edges, index_from_edges, index_nodes, neighbours_of, search
 from graphlode.sources.datasets import Dataset
 from graphlode.sources.synthetic import vectors as generated
 
@@ -58,6 +59,17 @@ def test_blocks_of_neighbours_are_bounded_and_exact(monkeypatch):
                 assert near[owner == ids[i]].tolist() == order[:5]
 
 
+@pytest.mark.parametrize("params", [BruteforceKNNParams(5), *(RNGGParams(5, prune_extend_degree=12, prune=m) for m in KeepEdges)])
+def test_beyond_one_shard_a_graph_on_tables_is_the_same(vectors, monkeypatch, params):
+    odd = vectors.select((F.col("vec_id") * 3 + 7).alias("vec_id"), "embedding")  # ids with gaps
+    one = build_index(odd, params)
+    monkeypatch.setattr(sharded, "SHARD_ROWS", 40)
+    many = build_index(odd, params)
+    assert sorted(index_edges(many).collect()) == sorted(index_edges(one).collect())
+    assert sorted(index_nodes(many).collect()) == sorted(index_nodes(one).collect())
+    assert sorted(neighbours_of(many, 0, 10).collect()) == sorted(neighbours_of(one, 0, 10).collect())
+
+
 def test_grid_cells_grow_with_the_table():
     assert blocks.cells_of(150, 40) == 4
     assert blocks.cells_of(100_000, 200) == blocks.GRID
