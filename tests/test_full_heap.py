@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from graphlode.model import DEGParams, HNSWParams
 from graphlode.operators import beam, kernels
 from graphlode.operators.knn import knn, knn_graph
@@ -65,3 +66,9 @@ def test_shards_are_scanned_as_they_are_searched(spark, monkeypatch, params, how
     got = rows(search(index, asked(v), 10, **how))
     monkeypatch.setattr("graphlode.operators.sharded._never_stops", lambda *_: False)
     assert got == rows(search(index, asked(v), 10, **how))
+
+
+def test_searches_without_sql_ask_every_fiftieth_row(spark):
+    found = entry.queries()["srch3_hill_climb"](spark, "/root/testdata/sf0.001")
+    assert sorted(r.query_id for r in found.select("query_id").distinct().collect()) == list(range(0, 500, 50))
+    assert "srch3_hill_climb" not in entry.oracle_sql()
