@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from graphlode.llm.html_text import extract, main_text, mark_shared, page_lines, shared_lines
-from graphlode.llm.language import held_out, language_id, sampled
+from graphlode.llm.language import coverage_floor, fit, held_out, identify, language_id, sampled
 from graphlode.llm.quality import quality_rules, threshold_of
 from graphlode.llm.warc import parse, read_archives, read_record, write_archives
 
@@ -208,6 +208,19 @@ def test_equal_evidence_goes_to_the_first_name(spark):
     assert {(r.lang_pred, round(r.score, 6)) for r in language_id(docs).collect()} == {("a", 0.5)}
 
 
+def test_coverage_floor_counts_every_row(spark):
+    """One row in 150 has little coverage, each another: only a count of all rows gives the quantile's own."""
+    known, strange = " ".join(["the water"] * 15), lambda i: " ".join(["the"] + ["qzx"] * (25 + i))
+    model = fit(spark.createDataFrame([(i, "the water", "en") for i in range(4)], "doc_id long, text string, lang string"))
+    rows = [(i, strange(i // 150) if i % 150 == 0 else known, "en") for i in range(12_000)]
+    held = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = sorted(r.coverage for r in identify(held, model).collect())
+    assert told[79] < 0.2 <= told[80]
+    assert coverage_floor(held, model) == told[59]  # the 60th of 12,000
+    assert coverage_floor(held.where("doc_id % 150 <> 0"), model) == 0.2
+    assert coverage_floor(held.limit(0), model) == 0.0
+
+
 def test_sample_takes_the_smallest_hashes(spark):
     rows = spark.range(20_000).selectExpr("id as doc_id", "if(id < 30, 'few', if(id % 3 = 0, 'b', 'a')) as lang")
     got = {(r.doc_id, r.lang) for r in sampled(rows, 100).collect()}
