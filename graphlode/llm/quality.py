@@ -5,14 +5,14 @@ added to every count: of the trusted target (labelled documents of good quality
 raw corpus (all documents). A document's score is the mean log ratio of the two over its
 n-grams; it is kept if the score reaches a threshold and no base rule fails it. Nothing is drawn at random.
 
-The raw counts cover every document. The target and the threshold come from a sample of labelled documents,
-bounded by `sample` rows a class (those with the smallest hash of the id), whose ids are broadcast. The
-threshold is the score between the trusted and the others (poor or toxic) that gives the best balance of recalls, moved
-down, if need be, to where `keep_share` of the sample's trusted documents stay.
+All documents give the raw counts, all trusted ones the target, and all labelled ones that pass the base rules the threshold: the
+score between the trusted and the others (poor or toxic) that gives the best balance of recalls, moved
+down, if need be, to where `keep_share` of the trusted documents stay. Of texts only those are shuffled that a filter of trusted ids
+lets through; scores are ranked by ranges.
 
 Where there are no labelled documents of both kinds the base rules alone decide. Null and empty texts have no
 words and fail the base rule. Labels without id or quality are not used, and a null toxic counts as 0. Of clashing labels of one id the worse
-counts: the least quality and the largest toxic. Rows that repeat an id are judged one by one, and are all in the sample if one is.
+counts: the least quality and the largest toxic. Rows that repeat an id are judged one by one, and each of them teaches.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, frugal, staged
+from .idfilter import id_filter, slots
 from .textvec import Words, slices, windows
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -130,7 +131,7 @@ def score_documents(docs: DataFrame, log_ratio: np.ndarray, keep: tuple[str, ...
 
 
 def threshold_of(good: np.ndarray, bad: np.ndarray, keep_share: float) -> float:
-    """The cut with the best sum of recalls, in the middle of its gap; at most the score that keep_share of the good reach."""
+    """The cut with the best sum of recalls, in the middle of its gap; at most the score that keep_share of the good reach. `exact_threshold` finds it on tables."""
     if not len(good) or not len(bad):
         return -np.inf
     cuts = np.unique(np.concatenate([good, bad]))
@@ -141,28 +142,65 @@ def threshold_of(good: np.ndarray, bad: np.ndarray, keep_share: float) -> float:
     return float(min(cut, np.quantile(good, 1 - keep_share)))
 
 
+def exact_threshold(scored: DataFrame, keep_share: float) -> float:
+    """threshold_of over a table (trusted boolean, score double) of any size: scores are counted, ranked by ranges, and a few rows come to the driver."""
+    good, bad = (F.sum((F.col("trusted") == t).cast("long")) for t in (True, False))
+    counted = scored.groupBy("score").agg(good.alias("good"), bad.alias("bad")).repartitionByRange("score").withColumn("part", F.spark_partition_id())
+    counted = staged(counted, "score-counts")
+    n_good = n_bad = 0
+    starts = []
+    for r in counted.groupBy("part").agg(F.sum("good"), F.sum("bad")).orderBy("part").collect():  # a row for each range
+        starts.append((r[0], n_good, n_bad))
+        n_good, n_bad = n_good + r[1], n_bad + r[2]
+    if not n_good or not n_bad:
+        return -np.inf
+    before = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = [F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"{c}_start") for c in ("good", "bad")]
+    of_part = F.broadcast(scored.sparkSession.createDataFrame(starts, "part int, good_start long, bad_start long"))
+    ranked = staged(counted.join(of_part, "part").select("score", "good", below[0].alias("good_below"), below[1].alias("bad_below")), "score-ranks")
+    # the sum of recalls less one, times both counts: exact, where sums of shares are rounded
+    gain = F.col("bad_below").cast("decimal(19,0)") * n_good - F.col("good_below").cast("decimal(19,0)") * n_bad
+    cut = ranked.agg(F.min_by("score", F.struct(-gain, "score"))).head()[0]
+    last = ranked.where(F.col("score") < F.lit(cut)).agg(F.max("score")).head()[0]
+    place = (n_good - 1) * (1 - keep_share)
+    ranks = [int(place), min(int(place) + 1, n_good - 1)]
+    at = [ranked.where((F.col("good_below") <= r) & (F.col("good_below") + F.col("good") > r)).head()[0] for r in ranks]
+    floor = at[0] + (at[1] - at[0]) * (place - ranks[0])
+    return float(min(cut if last is None else (cut + last) / 2, floor))
+
+
 def base_failed(n_words="n_words", n_repeat="n_repeat_words"):
     return (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat) > REPEAT_PERCENT * F.col(n_words))
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, sample: int = 10_000, keep_share: float = 0.995) -> QualityModel:
-    """docs: doc_id, text. labels: doc_id, quality, toxic."""
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """text of the rows of docs whose doc_id is in ids (stored, distinct): what a filter rules out is not shuffled."""
+    wanted = id_filter(ids, ids.count())
+
+    def sift(batches):
+        for b in batches:
+            keys = b.column("doc_id")
+            found = wanted[slots(keys.fill_null(0).to_numpy(zero_copy_only=False), len(wanted))] & keys.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(found))
+
+    return docs.select("doc_id", "text").mapInArrow(sift, "doc_id long, text string").join(ids, "doc_id").select("text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, keep_share: float = 0.995) -> tuple[QualityModel, DataFrame]:
+    """The model, and base counts and score of each row (stored). docs: doc_id, text. labels: doc_id, quality, toxic."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    parts = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    sampled = parts[0].unionByName(parts[1]).withColumn("trusted", F.expr("quality = 1 and coalesce(toxic, 0) = 0"))
-    chosen = staged(docs.join(F.broadcast(sampled), "doc_id"), "labelled")
-    target, raw = gram_counts(chosen.where("trusted"), buckets), gram_counts(docs, buckets)
+    known = staged(known.where("quality in (0, 1)").selectExpr("doc_id", "quality = 1 and coalesce(toxic, 0) = 0 as trusted"), "known")
+    target, raw = gram_counts(with_ids(docs, known.where("trusted").select("doc_id")), buckets), gram_counts(docs, buckets)
     ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
-    scored = score_documents(chosen, ratio, ("trusted",)).where(~base_failed()).select("trusted", "score").collect()  # at most 2 * sample rows
-    good, bad = (np.array([r.score for r in scored if r.trusted == t]) for t in (True, False))
-    return QualityModel(ratio, threshold_of(good, bad, keep_share))
+    scored = staged(score_documents(docs, ratio), "scored")
+    judged = scored.where(~base_failed()).select("doc_id", "score").join(known, "doc_id").select("trusted", "score")
+    return QualityModel(ratio, exact_threshold(judged, keep_share)), scored
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **params) -> DataFrame:
     """doc_id, base counts, base_failed, score, kept for each row; `keep` names columns of docs to carry along."""
-    rows = documents(docs, id_col, text_col)
-    model = fit(rows, labels, **params)
-    if keep:
+    model, out = fit(documents(docs, id_col, text_col), labels, **params)
+    if keep:  # texts that are carried along are scored again, not joined
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*keep).alias("row"))
-    out = score_documents(rows, model.log_ratio, ("row",) if keep else ())
+        out = score_documents(rows, model.log_ratio, ("row",))
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(model.threshold)))

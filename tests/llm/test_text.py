@@ -349,3 +349,32 @@ def test_scores_and_verdicts_equal_a_plain_version(spark, docs, corpus):
         assert got[i].score == pytest.approx(score[i], abs=1e-9)
         if abs(score[i] - cut) > 1e-9:
             assert got[i].kept == (not got[i].base_failed and score[i] >= cut)
+
+
+def test_threshold_on_tables_equals_the_plain_one(spark):
+    import numpy as np
+
+    from graphlode.llm.quality import exact_threshold
+
+    rng = np.random.default_rng(3)
+    for n, digits in ((700, 1), (400, 6), (3, 6)):
+        good, bad = rng.normal(0.4, 1, n).round(digits), rng.normal(-0.4, 1, n // 2).round(digits)
+        rows = spark.createDataFrame([(True, float(x)) for x in good] + [(False, float(x)) for x in bad], "trusted boolean, score double").repartition(3)
+        for share in (0.995, 0.6, 0.0):
+            assert exact_threshold(rows, share) == pytest.approx(threshold_of(good, bad, share), abs=1e-12)
+    assert exact_threshold(rows.where("trusted"), 0.995) == -np.inf
+
+
+def test_every_trusted_document_teaches(spark):
+    """More than 10,000 labelled documents of a class: none is left out of the model."""
+    import numpy as np
+
+    from graphlode.llm.quality import fit as fit_quality
+    from graphlode.llm.quality import gram_counts
+
+    n = 10_500
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id, ' and w', id % 7) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    model, scored = fit_quality(docs, labels, buckets=256)
+    raw = gram_counts(docs, 256)
+    assert scored.count() == n and np.abs(model.log_ratio).max() < 1e-12 and raw.sum() == 5 * n
