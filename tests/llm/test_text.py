@@ -378,3 +378,21 @@ def test_every_trusted_document_teaches(spark):
     model, scored = fit_quality(docs, labels, buckets=256)
     raw = gram_counts(docs, 256)
     assert scored.count() == n and np.abs(model.log_ratio).max() < 1e-12 and raw.sum() == 5 * n
+
+
+def test_differencing_reads_pages_with_an_article(spark):
+    def page(i, inside, outside):
+        return f"<div>Site menu of this host</div><article><p>{inside}</article><div>{outside}</div><div>About us and the host</div>"
+
+    def story(i):
+        return f"The story {i} is long and tells of {i * i} things that stand on no other page"
+
+    teasers = [(i, f"http://t.x/{i}", page(i, f"Teaser {i}", story(i))) for i in range(4)]
+    articles = [(i, f"http://a.x/{i}", page(i, f"{story(i)}<p>A quoted passage that two articles share", f"By {i}")) for i in range(10, 14)]
+    # no template is known: of one page alone, and of pages that share nothing
+    alone = [(20, "http://l.x/1", page(20, "Teaser", story(20)))]
+    unlike = [(i, f"http://u.x/{i}", f"<div>Menu {i}</div><article><p>Short {i}</article><div>{story(i)}</div>") for i in range(30, 32)]
+    got = texts_of(spark, teasers + articles + alone + unlike + teasers[:1], 3)
+    want = {i: f"Teaser {i}\n\n{story(i)}" for i in range(4)} | {i: f"{story(i)}\n\nA quoted passage that two articles share" for i in range(10, 14)}
+    assert got == want | {20: "Teaser", 30: "Short 30", 31: "Short 31"}
+    assert extract(spark.createDataFrame(teasers + teasers[:1], "page_id long, url string, html string")).count() == 5
