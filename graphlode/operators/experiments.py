@@ -101,11 +101,12 @@ class Level:
     cell_rows: int = 1_000_000
 
     def builder(self) -> Callable[[DataFrame], DataFrame]:
-        """vectors -> edges: in one task up to cell_rows rows, beyond that by overlapping cells (angle-pruned graphs on tables)."""
+        """vectors -> edges: in one task up to cell_rows rows, beyond that by overlapping cells (angle-pruned graphs on tables). Random and exact neighbour graphs have the same edges on tables, beyond the rows of a shard."""
 
         def build(vectors: DataFrame) -> DataFrame:
             if vectors.count() <= self.cell_rows:
-                return index_edges(build_index(vectors, self.params, self.start, shard_rows=self.cell_rows)).where("level = 0").select("src", "dst", "slot")
+                rows = None if isinstance(self.params, BruteforceKNNParams | RNGGParams) else self.cell_rows
+                return index_edges(build_index(vectors, self.params, self.start, shard_rows=rows)).where("level = 0").select("src", "dst", "slot")
             if isinstance(self.params, NSSGParams):
                 return nssg_graph(vectors, self.params, self.start)[0].edges
             return cell_graph(vectors, self.params, self.cell_rows, start=self.start).edges.select("src", "dst", "slot")

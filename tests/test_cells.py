@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from graphlode.model import BruteforceKNNParams, DEGParams, EfannaParams, HierarchyParams, RNNParams
@@ -38,3 +39,16 @@ def test_hierarchies_of_cells_keep_ids_in_their_level(spark):
     queries = v.where("vec_id % 30 = 0").withColumnRenamed("vec_id", "query_id")
     found, want = (sorted((r.query_id, r.vec_id) for r in df.collect()) for df in (search(to_index(h, v), queries, 5, 300), knn(v, queries, 5)))
     assert found == want
+
+
+def test_levels_of_exact_neighbours_are_no_single_task(spark, monkeypatch):
+    """Beyond a shard the level's graph comes from tables, with the edges of one shard."""
+    from graphlode.operators import sharded
+
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    edges = lambda: {tuple(r) for r in Level(BruteforceKNNParams(5)).builder()(v).select("src", "dst", "slot").collect()}
+    one = edges()
+    monkeypatch.setattr(sharded, "SHARD_ROWS", 20)
+    monkeypatch.setattr(sharded, "local_builder", lambda *_: lambda x: pytest.fail("all rows in one task"))
+    assert edges() == one and len(one) == 300
