@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -161,3 +162,12 @@ def test_shards_are_cut_by_size(spark, docs, tmp_path):
     for r in sorted(rows[1]):
         assert r[1] == start
         start += r[2]
+
+
+def test_words_are_split_from_punctuation_and_encoded_without_the_pattern():
+    """Each word of letters is encoded once, with whatever punctuation it comes; marks of the split in a text change nothing."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, texts = Encoder(path), ["One, two. One; two!\nOne two... être,\nêtre.", "it's, don't. x×. ß, ÿ: 1, 2.", "a\x01, b.\x01", "\x01,", "\x01, \n x, y", None, "", ","]
+    for t, (_, ids) in zip(texts, e.each(list(range(len(texts))), pa.array(texts)), strict=True):
+        assert ids.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert {"One", "two", "être", "\x01,", "\x01.", "\x01..."} <= e.places.keys() and not {"One,", "two.", "One;", "être,"} & e.places.keys()
