@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, staged
+from .common import documents, frugal, frugal_group, join_groups, staged
 from .components import components
 from .idfilter import id_filter, slots
 from .textvec import Words, mix, slices, windows
@@ -50,7 +50,7 @@ CELLS = 1 << 24
 MOST_FREQUENT = 1 << 22
 LEAST_FREQUENT = 4
 #: Elements that a task counts before it sends the counts on, and elements of a bucket that are counted together.
-CHUNK, BUCKET = 1 << 21, 1 << 21
+CHUNK, BUCKET = 1 << 20, 1 << 20
 #: Bits by which the elements of a bucket are told apart when they are counted.
 REST = 26
 #: A key that more documents hold is dealt to several tasks.
@@ -146,7 +146,7 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
         if held:
             yield counts()
 
-    return docs.mapInArrow(run, PROFILE)
+    return docs.mapInArrow(frugal(run), PROFILE)
 
 
 def frequent(profiled: DataFrame, bits: int) -> np.ndarray:
@@ -165,7 +165,7 @@ def frequent(profiled: DataFrame, bits: int) -> np.ndarray:
         logs = np.log2(total[often])
         return pa.table([pa.array(cells), pa.array(logs.astype(np.int32) + 1), pa.array((logs * 4).astype(np.int32))], schema=schema)
 
-    found = staged(profiled.where("kind = 1").select(F.col("doc_id").alias("bucket"), "gaps", "times").groupBy("bucket").applyInArrow(count, "cell int, rank int, level int"), "frequent")
+    found = staged(profiled.where("kind = 1").select(F.col("doc_id").alias("bucket"), "gaps", "times").groupBy("bucket").applyInArrow(frugal_group(count), "cell int, rank int, level int"), "frequent")
     levels, least, room = {r.level: r["count"] for r in found.groupBy("level").count().collect()}, 0, MOST_FREQUENT  # at most 256 rows
     for level in sorted(levels, reverse=True):
         room -= levels[level]
@@ -209,7 +209,7 @@ def keys(docs: DataFrame, n: int, percent: int, bits: int, ranks: np.ndarray) ->
                     part = np.where(shares > 1, 1 + (s1 & (shares - 1)), 0)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(part), pa.array(s1), pa.array(s2)], schema=schema)
 
-    return docs.mapInArrow(run, "key long, part long, s1 long, s2 long")
+    return docs.mapInArrow(frugal(run), "key long, part long, s1 long, s2 long")
 
 
 def blocks(keyed: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def blocks(keyed: DataFrame) -> DataFrame:
         if held is not None and (had or held[1, 0] > 0):
             yield emit(held, np.array([True]))
 
-    return dealt.mapInArrow(run, "key long, s1 long, s2 long")
+    return dealt.mapInArrow(frugal(run), "key long, s1 long, s2 long")
 
 
 def to_all(rows: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def dealt(jobs: DataFrame, holders: DataFrame, ddl: str, run) -> DataFrame:
         columns = run(ids, right, [(at[x][side[x] == 0], at[x][side[x] == 1]) for x in cut])
         return pa.table([pa.array(np.asarray(x, np.int64)) for x in columns], names=names)
 
-    return jobs.groupBy("g").cogroup(holders.groupBy("of")).applyInArrow(task, ddl)
+    return jobs.groupBy("g").cogroup(holders.groupBy("of")).applyInArrow(frugal_group(task), ddl)
 
 
 def forest(jobs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -471,7 +471,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 sigs = np.array([signature(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    found = docs.mapInArrow(run, "doc_id long, s1 long, s2 long, elements binary")
+    found = docs.mapInArrow(frugal(run), "doc_id long, s1 long, s2 long, elements binary")
     # rows that repeat an id may repeat a set, which changes nothing
     return staged(found.join(to_all(wanted), ["doc_id", "s1", "s2"]).select("c", F.col("c").alias("label"), "elements"), "sets")
 

@@ -174,16 +174,20 @@ def base_failed(n_words="n_words", n_repeat="n_repeat_words"):
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """text of the rows of docs whose doc_id is in ids (stored, distinct): what a filter rules out is not shuffled."""
-    wanted = id_filter(ids, ids.count())
+    """text of the rows of docs whose doc_id is in ids (stored, distinct): what a filter rules out is not shuffled.
+
+    The join is a merge at any size, so that its reader's Python and the filter's are of two stages: in one, each core would have two workers, which live on.
+    """
+    passes = np.packbits(id_filter(ids, ids.count()))
 
     def sift(batches):
+        wanted = np.unpackbits(passes).view(bool)
         for b in batches:
             keys = b.column("doc_id")
             found = wanted[slots(keys.fill_null(0).to_numpy(zero_copy_only=False), len(wanted))] & keys.is_valid().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(found))
 
-    return docs.select("doc_id", "text").mapInArrow(sift, "doc_id long, text string").join(ids, "doc_id").select("text")
+    return docs.select("doc_id", "text").mapInArrow(frugal(sift), "doc_id long, text string").join(ids.hint("merge"), "doc_id").select("text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, keep_share: float = 0.995) -> tuple[QualityModel, DataFrame]:

@@ -6,6 +6,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from brute import lines_kept, near_kept
+from graphlode.llm.common import staged
+from graphlode.llm.quality import with_ids
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = list(corpus_pipeline.COLUMNS)
@@ -34,6 +36,17 @@ def test_stages(spark):
     assert lengths == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts[4].items()}
 
 
+def test_no_stage_holds_two_workers_a_core(spark, docs):
+    ids = staged(spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long"), "ids")
+    found = with_ids(docs, ids)
+    assert sorted(r.text for r in found.collect() if r.text) == sorted(r.text for r in docs.where("doc_id < 40 and doc_id % 3 = 0").collect() if r.text)
+    read = found.mapInArrow(lambda batches: batches, "text string")
+    read.collect()
+    plan = read._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    for part in plan.split("Exchange"):  # what runs in one task
+        assert part.count("MapInArrow") <= 1, plan
+
+
 def test_empty(spark, no_docs):
     docs = no_docs.select(*COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
