@@ -47,6 +47,26 @@ def test_word_bpe_equals_library():
         assert m.encode_decode(t) == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), repr(t)
 
 
+def test_merge_queues_agree_and_tables_make_a_piece_once():
+    m = WordBpe(WORD)
+    rng = random.Random(11)
+    for n in (1, 2, 3, 9, 40, 48, 49, 300):
+        for _ in range(40):
+            piece = "".join(rng.choice("theraninoust") for _ in range(n))
+            first = [*(m.first[c] for c in piece[:-1]), m.last[piece[-1]]]
+            assert m._merge_short([*first], m.merges.get) == m._merge_long(first) == m.merge(piece)
+    made = []
+    merge, m.merge = m.merge, lambda piece: made.append(piece) or merge(piece)
+    words = ["".join(rng.choice("theraninoust") for _ in range(12)) for _ in range(400_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+    first, again = [m.encode_decode(t) for t in texts], [m.encode_decode(t) for t in texts]
+    assert first == again and len(made) == len(set(words))  # tables of 8 Mi characters were emptied in between
+    library = Tokenizer.from_file(WORD)
+    for t, (n, ids, decoded) in list(zip(texts, first, strict=True))[::100]:
+        found = library.encode(t, add_special_tokens=False).ids
+        assert (n, ids, decoded) == (len(found), " ".join(map(str, found)), library.decode(found, skip_special_tokens=False))
+
+
 def test_bpe_query(docs, corpus, no_docs, odd_docs):
     library = Tokenizer.from_file(WORD)
     got = {r.doc_id: r for r in bpe_round_trip(docs, WORD, with_texts=True).collect()}
