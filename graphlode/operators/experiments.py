@@ -185,18 +185,25 @@ def run_one(data: Dataset, dataset: str, e: Experiment) -> list[tuple]:
     return rows
 
 
-def run_experiments(spark: SparkSession, data: Dataset, dataset: str, experiments: list[Experiment], path: str | None = None) -> DataFrame:
-    """The rows of all experiments with `seq`, their order. One that fails is logged and leaves the others' rows; path: where each one's rows and configuration are kept."""
+def run_experiments(spark: SparkSession, data: Dataset, dataset: str, experiments: list[Experiment], path: str | None = None, strict: bool = False) -> DataFrame:
+    """The rows of all experiments with `seq`, their order. One that fails is logged and leaves the others' rows; path: where each one's rows and configuration are kept.
+
+    strict: if any failed, an error tells so once the others are done, so that what is returned is whole.
+    """
     rows: list[tuple] = []
+    failed: list[Exception] = []
     schema = f"seq long, {RESULT_COLUMNS}"
     for e in experiments:
         for _ in range(e.iters):
             try:
                 own = [(len(rows) + i, *r) for i, r in enumerate(run_one(data, dataset, e))]
-            except Exception:
+            except Exception as error:
                 logging.getLogger(__name__).exception("%s failed", e.name)
+                failed.append(error)
                 continue
             rows += own
             if path:
                 write_results(spark.createDataFrame(own, schema).drop("seq"), path, f"name={e.name}\ndataset={dataset}\nk={e.ks}\nheap_sizes={e.heap_sizes}\n{describe_levels(e.levels)}")
+    if strict and failed:
+        raise ExceptionGroup("experiments without rows", failed)
     return staged(spark.createDataFrame(rows, schema), "experiments")
