@@ -14,12 +14,17 @@ from ..model import LID, RESULT_COLUMNS, BruteforceKNNParams, DEGParams, EfannaP
 from ..sources.datasets import Dataset, reduced_truth
 from ..storage import staged
 from . import selectors
-from .cells import cell_graph
-from .evaluate import evaluate, level_wise
-from .hierarchy import Hierarchy, build_hierarchy
-from .nssg import nssg_graph
+from .cells import cell_graph, degree_of
+from .evaluate import Scans, evaluate, level_wise
+from .hierarchy import build_hierarchy, to_index
+from .knn import knn_graph
+from .nndescent import nn_descent
+from .nssg import connect, connect_both_ways, nssg_graph
+from .graphs import rng_graph
 from .results import max_heap_sizes, write_results
-from .sharded import build_index, index_edges, index_nodes
+from .rnn import rnn_graph
+from .selectors import numbered
+from .sharded import UNREAD, index_from_edges
 
 #: Parameters that suit the known data sets, by builder. DEG: dimensionality, edges, heap.
 DEG = {
@@ -91,6 +96,34 @@ class Select:
         return f"{self.kind}={self.value}" + ("|repeat" if self.repeat else "")
 
 
+#: Rows of a cell of point-by-point builders.
+CELL_ROWS = 100_000
+
+
+def table_graph(vectors: DataFrame, params, start=None) -> DataFrame:
+    """src, dst, slot: the graph of a builder that has a form on tables. Rows may have any ids: random ends are drawn among their numbers in order of vec_id."""
+    for name in UNREAD.get(type(params), ()):
+        if getattr(params, name) != getattr(type(params)(), name):
+            raise ValueError(f"{type(params).__name__}.{name} is not implemented")
+    if isinstance(params, BruteforceKNNParams):
+        return knn_graph(vectors, params.degree)
+    numbers = staged(numbered(vectors.select("vec_id")), "graph-numbers")
+    rows = staged(vectors.join(numbers, vectors.vec_id == numbers.global_id).select(F.col("local_id").alias("vec_id"), "embedding"), "graph-rows")
+    match params:
+        case RNNParams():
+            edges = rnn_graph(rows, params)
+        case RNGGParams():
+            edges = rng_graph(rows, params)
+        case EfannaParams():
+            edges = nn_descent(rows, params)
+        case NSSGParams():
+            edges = nssg_graph(rows, params, start)[0].edges
+        case _:
+            raise ValueError(f"no graph on tables for {params}")
+    named = lambda a, b: numbers.select(F.col("local_id").alias(a), F.col("global_id").alias(b))
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "slot").join(named("a", "src"), "a").join(named("b", "dst"), "b").select("src", "dst", "slot")
+
+
 @dataclass(frozen=True)
 class Level:
     """How a level is built (parameters of a builder) and how the nodes of the one above are chosen."""
@@ -98,18 +131,15 @@ class Level:
     params: object
     selector: Select = field(default_factory=Select)
     start: object = None
-    cell_rows: int = 1_000_000
+    cell_rows: int | None = None
 
     def builder(self) -> Callable[[DataFrame], DataFrame]:
-        """vectors -> edges: in one task up to cell_rows rows, beyond that by overlapping cells (angle-pruned graphs on tables). Random and exact neighbour graphs have the same edges on tables, beyond the rows of a shard."""
+        """vectors -> edges (src, dst, slot), by one way at any number of rows: on tables, and of point-by-point builders, which have no such form, or where cell_rows is given, by overlapping cells."""
 
         def build(vectors: DataFrame) -> DataFrame:
-            if vectors.count() <= self.cell_rows:
-                rows = None if isinstance(self.params, BruteforceKNNParams | RNGGParams) else self.cell_rows
-                return index_edges(build_index(vectors, self.params, self.start, shard_rows=rows)).where("level = 0").select("src", "dst", "slot")
-            if isinstance(self.params, NSSGParams):
-                return nssg_graph(vectors, self.params, self.start)[0].edges
-            return cell_graph(vectors, self.params, self.cell_rows, start=self.start).edges.select("src", "dst", "slot")
+            if self.cell_rows or isinstance(self.params, DEGParams | HNSWParams):
+                return cell_graph(vectors, self.params, self.cell_rows or CELL_ROWS, start=self.start).edges.select("src", "dst", "slot")
+            return table_graph(vectors, self.params, self.start).select("src", "dst", "slot")
 
         return build
 
@@ -158,17 +188,23 @@ class Experiment:
 
 
 def run_one(data: Dataset, dataset: str, e: Experiment) -> list[tuple]:
-    """A row of RESULT_COLUMNS for each k (from the largest), heap sizes and, in hierarchies, top level."""
+    """A row of RESULT_COLUMNS for each k (from the largest), heap sizes and, in hierarchies, top level.
+
+    The bottom is connected, in both directions under levels, so that a search can go on to all rows wherever it begins.
+    """
     vectors = data.vectors.select("vec_id", "embedding")
     n, nq, dim = vectors.count(), data.queries.count(), vectors.select(F.size("embedding")).head()[0]
-    began = time.time()
+    began, most = time.time(), degree_of(e.levels[0].params) + 2
+    least = vectors.agg(F.min("vec_id")).head()[0]
+    build, scans = e.levels[0].builder(), Scans()
     if e.flat:
-        built = build_index(vectors, e.levels[0].params, e.levels[0].start)
-        nodes, edges = index_nodes(built), index_edges(built)
+        index, built = index_from_edges(vectors, connect(build(vectors), vectors, least, most).edges), None
+        nodes, edges = vectors.select(F.lit(0).alias("level"), "vec_id"), index.levels[0].edges.withColumn("level", F.lit(0))
         params = e.levels[0].params.describe()
     else:
-        built = build_hierarchy(vectors, [x.builder() for x in e.levels], [x.selector for x in e.levels], e.hierarchy, e.sizes)
-        nodes, edges = built.nodes.select("level", F.col("global_id").alias("vec_id")), built.edges
+        bottom = lambda rows: connect_both_ways(build(rows), rows, least, most).edges  # noqa: E731  # entered anywhere
+        built = build_hierarchy(vectors, [bottom, *(x.builder() for x in e.levels[1:] or e.levels)], [x.selector for x in e.levels], e.hierarchy, e.sizes)
+        index, nodes, edges = to_index(built, vectors), built.nodes.select("level", F.col("global_id").alias("vec_id")), built.edges
         params = f"{e.hierarchy.describe()}|{describe_levels(e.levels)}"
     took = time.time() - began
     about, rows = _as_text(index_report(nodes, edges).head()), []
@@ -176,10 +212,10 @@ def run_one(data: Dataset, dataset: str, e: Experiment) -> list[tuple]:
         truth = reduced_truth(data.truth, k)
         for eh in e.ef_higher:
             for ef in max_heap_sizes(k, e.heap_sizes):
-                if isinstance(built, Hierarchy):
-                    found = level_wise(built, vectors, data.queries, truth, k, ef, eh).collect()  # a row for each level
+                if built:
+                    found = level_wise(built, vectors, data.queries, truth, k, ef, eh, index=index, scans=scans).collect()  # a row for each level
                 else:
-                    found = [evaluate(built, data.queries, truth, k, ef, ef_higher=eh)]
+                    found = [evaluate(index, data.queries, truth, k, ef, 1, scans, ef_higher=eh)]
                 for layers, _, _, _, query_time, qps, recall in found:
                     rows.append((recall, qps, e.name, dataset, took, n, nq, dim, k, ef, layers, query_time, *about, params, eh))
     return rows
