@@ -64,3 +64,15 @@ def test_a_graph_in_parts_shares_no_scan_with_a_whole_one(copies):
     truth = knn(copies, q, 4).select("query_id", "rank", "vec_id").cache()
     got = evaluate.level_wise(h, copies, q, truth, 4, 120).collect()
     assert [r.layer_count for r in got] == list(range(len(h.sizes), 0, -1)) and got[-1].recall < 100
+
+
+@pytest.mark.parametrize("how", [{"ef": 20}, {"ef": 12, "max_frontier": 4}, {"eps": 0.2}])
+def test_walks_are_the_same_in_rounds_and_held(spark, copies, monkeypatch, how):
+    """Entries and ends that are no rows, repeated ends, ids with gaps."""
+    edges = knn_graph(copies, 8).select("src", "dst", "slot")
+    edges = edges.unionByName(spark.createDataFrame([(0, 1, 0), (0, 9, 8), (0, 9, 9), (7, 3, 0)], "src long, dst long, slot int")).cache()
+    asked = copies.where("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.array(F.lit(0), F.lit(45), F.lit(1)).cast("array<long>").alias("entries"))
+    rows = lambda: sorted(map(tuple, beam.walk(copies, edges, asked, 6, how.get("ef", 6), how.get("max_frontier"), how.get("eps")).collect()))
+    one = rows()
+    monkeypatch.setattr(beam, "HELD_MB", 0)
+    assert one == rows() and len(one) == 36
